@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastline.llm import mixing
+from coastline.llm import decontaminate, langid, mixing, tokens
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +25,38 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return out.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), with_text=False)
+    return out.select(
+        "doc_id", F.col("decon_words").alias("n_words"), F.col("decon_hits").alias("n_hit"), F.col("decon_n_items").alias("n_items"),
+        F.sha2(F.array_join("decon_items", ","), 256).alias("items_sha256"), (F.col("decon_hits") > 0).alias("contaminated"),
+    )
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    parser = langid.learn(docs.where(~F.coalesce(held_out(), F.lit(True))))
+    out = langid.identify(docs.select("doc_id", "text"), parser, with_text=False)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing}
+    return {f.__name__: f for f in (op1_mixing, op3_token_counts, op6_decontamination, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastline.llm import decontaminate, langid, minhash, mixing, tokens
+from coastline.llm import decontaminate, fingerprints, langid, minhash, mixing, pii, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -48,6 +48,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(pii.of_kind("pii_base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.written(F.col("pii_base")), 256).alias("base_sha256"), pii.written(F.col("pii_all")).alias("spans"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return out.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.text_of(own).alias("fingerprint"), fingerprints.text_of(edited).alias("edited_fingerprint"),
+        fingerprints.likeness(own, edited).alias("near_edited"), fingerprints.likeness(own, following).alias("near_next"),
+    )
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
 
@@ -60,7 +75,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash_dedup, op3_token_counts, op6_decontamination, op9_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_minhash_dedup, op3_token_counts, op4_pii, op6_decontamination, op7_fingerprints, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

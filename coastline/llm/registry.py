@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastline.llm import decontaminate, fingerprints, html_extract, langid, minhash, mixing, pii, tokens
+from coastline.llm import decontaminate, fingerprints, html_extract, langid, licenses, minhash, mixing, pii, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -79,9 +79,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("license_ids").cast("long").alias("n_sentences"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash_dedup, op3_token_counts, op4_pii, op6_decontamination, op7_fingerprints, op8_html_extraction, op9_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_minhash_dedup, op3_token_counts, op4_pii, op6_decontamination, op7_fingerprints, op8_html_extraction, op9_language_id, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_license_scan": licenses.oracle_sql()}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastline.llm import decontaminate, fingerprints, html_extract, langid, licenses, minhash, mixing, pii, tokens
+from coastline.llm import decontaminate, fingerprints, html_extract, langid, licenses, minhash, mixing, pii, suffixes, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -40,6 +40,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("partner").alias("partner_id"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), with_text=False)
     return out.select(
@@ -85,7 +90,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash_dedup, op3_token_counts, op4_pii, op6_decontamination, op7_fingerprints, op8_html_extraction, op9_language_id, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mixing, op2_minhash_dedup, op3_token_counts, op4_pii, op5_suffix_dedup, op6_decontamination, op7_fingerprints, op8_html_extraction, op9_language_id, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,18 +19,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` into the folder the cluster shares.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (a local session, as in tests) a folder of this machine is taken.
+    Only where that is unset (a local session, as in tests) a folder of this
+    machine is taken.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and not sc.getCheckpointDir():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "coastline-checkpoints"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "coastline-checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` into the folder the cluster shares, which cuts its lineage."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

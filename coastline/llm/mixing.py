@@ -130,9 +130,14 @@ def mix(
     max_repeats: int = MAX_REPEATS,
     bucket_rows: int = BUCKET_ROWS,
     steps: int = NEWTON_STEPS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, rate, copies."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    """One row per document: id, source, size, source_size, target, rate, copies.
+
+    ``keep``: columns of ``docs`` that pass through, whole.
+    """
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
+    sized = docs.select(kept.alias("_row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     cells = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     targets = source_targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, max_repeats)
     t = targets.withColumnRenamed("source", "_s")
@@ -146,4 +151,5 @@ def mix(
     out = out.withColumns({"_m": F.count(F.lit(1)).over(bucket), "_k": F.row_number().over(bucket.orderBy("_h", "id"))})
     base = F.floor(F.col("_c") / F.col("n"))
     extra = F.floor((F.col("_c") - base * F.col("n")) * F.col("_m") / F.col("n") + 0.5)
-    return out.select("id", "source", "size", "source_size", "target", (F.col("_c") / F.col("n")).alias("rate"), (base + F.when(F.col("_k") <= extra, 1).otherwise(0)).cast("long").alias("copies"))
+    own = [F.col(f"_row.{c}") for c in keep] if keep else [F.col("id"), F.col("source")]
+    return out.select(*own, "size", "source_size", "target", (F.col("_c") / F.col("n")).alias("rate"), (base + F.when(F.col("_k") <= extra, 1).otherwise(0)).cast("long").alias("copies"))

@@ -89,16 +89,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the first); the edited text has its last quarter of characters replaced by
     as many of the next text's first (or all).
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumns({"k": F.coalesce("id", F.lit(0).cast("long")), "last": F.col("id").isNull()})
-    base = base.withColumns({"h": F.xxhash64("text", "last"), "n_chars": F.char_length("text").cast("long")})
-    keys = base.groupBy("k", "last", "h").agg(F.max("n_chars").alias("n"))
-    before = previous(keys)
-    sketched = with_sketch(base, "text", "sketch", scale)
-    follows = sketched.select("k", "h", "text", F.col("sketch").alias("next_sketch")).join(before, ["k", "h"])
-    follows = follows.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("substring(text, 1, int(floor(pn / 4)))").alias("head"), "next_sketch")
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(~1)).bitwiseOR(F.col(id_col).isNull().cast("bigint"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0).cast("bigint")).alias("k"), h.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    no_id = F.col("h").bitwiseAND(F.lit(1)) == 1
+    keys = base.groupBy("k", "h").agg(F.max(F.char_length("text").cast("long")).alias("n"))
+    before = previous(keys.withColumn("last", no_id))
+    # both uses of ``base`` need the same columns by the same key, so its texts are shuffled once
+    follows = base.join(before, ["k", "h"]).select(F.col("pk").alias("k"), F.col("ph").alias("h"), "text", "pn")
+    follows = with_sketch(follows, "text", "next_sketch", scale).select("k", "h", F.expr("substring(text, 1, int(floor(pn / 4)))").alias("head"), "next_sketch")
     follows = follows.groupBy("k", "h").agg(F.first("head").alias("head"), F.first("next_sketch").alias("next_sketch"))
-    both = sketched.join(follows, ["k", "h"])
+    both = base.join(follows, ["k", "h"]).withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 4)))"), "head"))
-    both = both.select("id", "n_chars", "edited", "sketch", "next_sketch")
+    both = with_sketch(both.select(F.when(~no_id, F.col("k")).alias("id"), "n_chars", "text", "edited", "next_sketch"), "text", "sketch", scale).drop("text")
     return with_sketch(both, "edited", "edited_sketch", scale)

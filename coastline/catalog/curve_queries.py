@@ -6,20 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coastline.catalog import sql
+from coastline.catalog.registering import register_into
 from coastline.catalog.tables import event_curves, order_curves, rounded
 from coastline.operators import boxcount, curves, features, rotation, rules, sensitivity
 
 QUERIES, ORACLES = {}, {}
 
 
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
+query = register_into(QUERIES, ORACLES)
 
 
 def _with(*parts: str, recursive: bool = False) -> str:

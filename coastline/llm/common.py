@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` into the folder the cluster shares, which cuts its lineage."""
+    """``df`` as a table written to the folder the cluster shares, which cuts its lineage.
+
+    Unlike a checkpoint, the table read back carries no constraints of the plan
+    behind it; those that a loop piles up take the optimizer ever longer. It is
+    compressed, and read by column. The tables may go when the application ends.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/coastline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed into the shared folder: for large tables outside loops, since it writes row by row and needs no buffers."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))

@@ -2,7 +2,8 @@
 
 Every step is a minimum per node (aggregated before it is shuffled) joined back
 to the edges, so that a node with very many edges is a skewed join, which
-Spark splits, and never one group in one task.
+Spark splits, and never one group in one task. The minima are cut off from
+their aggregation, since Spark splits only joins of two plain shuffles.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from coastline.llm.common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
     return both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges point from the larger node a to the smaller b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"))
     joined = edges.join(least, F.col("a") == F.col("k"))
     return joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
 

@@ -204,7 +204,8 @@ def decontaminate(
     ]
     if with_text:
         added.append(("decon_text", "string", pa.string()))
-    kept = [f for f in docs.schema.fields if with_text or f.name != text_col]
+    new = {n for n, _, _ in added}
+    kept = [f for f in docs.schema.fields if f.name not in new and (with_text or f.name != text_col)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [b.value for b in shared]

@@ -87,8 +87,10 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 class CrossParser:
     """Transition tables of all languages in one array.
 
-    An entry is twice the next state, plus 1 where a phrase ends before the
-    symbol; the next state is then the one of the symbol from the root.
+    An entry is four times the next state, plus the phrases that end there: one
+    where the symbol doesn't go on with the phrase so far (the next state is
+    then the one of the symbol from the root), and one more for a symbol that
+    the sample doesn't have, which is a phrase of its own.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -105,8 +107,10 @@ class CrossParser:
             table = np.full((len(nxt), self.width), -1, np.int64)
             for s, to in enumerate(nxt):
                 table[s, list(to.keys())] = list(to.values())
-            root = np.where(table[0] < 0, 0, table[0]) + first
-            table = np.where(table < 0, 2 * root + 1, 2 * (table + first))
+            root, lacks = np.where(table[0] < 0, 0, table[0]) + first, (table[0] < 0).astype(np.int64)
+            ends = 1 + np.repeat(lacks[None, :], len(table), 0)
+            ends[0] = lacks
+            table = np.where(table < 0, 4 * root + ends, 4 * (table + first))
             tables.append(table.astype(np.int32))
             self.roots.append(first)
             self.bits.append(np.log2(max(2, len(sample))))
@@ -147,11 +151,12 @@ class CrossParser:
         for t in range(int(size[0]) if len(size) else 0):
             n = active[t]
             step = self.table[state[:, :n] * self.width + symbols[at[:n] + t]]
-            count[:, :n] += step & 1
-            state[:, :n] = step >> 1
+            count[:, :n] += step & 3
+            state[:, :n] = step >> 2
+        count += state != np.array(self.roots, np.int32)[:, None]  # the last phrase of each piece
         out = np.zeros((len(self.roots), len(ends)), np.int64)
         for row, c in zip(out, count, strict=True):
-            np.add.at(row, owner, c + 1)
+            np.add.at(row, owner, c)
         return out.T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -192,7 +197,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_bits; without its texts unless ``with_text``."""
     shared = docs.sparkSession.sparkContext.broadcast(parser)
-    kept = [f for f in docs.schema.fields if with_text or f.name != text_col]
+    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score", "lang_bits") and (with_text or f.name != text_col)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

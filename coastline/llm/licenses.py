@@ -53,9 +53,10 @@ def sentences() -> dict[str, str]:
     for verb in ("released", "licensed", "distributed", "available"):
         out |= {f"{verb} under the {name} license": f"{key}-line" for key, name in (("mit", "mit"), ("bsd", "bsd"), ("isc", "isc"))}
         out |= {f"{verb} under the apache license version {v.replace('.', ' ')}": f"apache-{v}-line" for v in ("1.1", "2.0")}
-        for part in CC_PARTS:
-            for v in CC_VERSIONS:
-                out[f"{verb} under cc {part.replace('-', ' ')} {v.replace('.', ' ')}"] = f"cc-{part}-{v}-line"
+    for part in CC_PARTS:
+        for v in CC_VERSIONS:
+            for head in ("licensed", "this work is licensed"):
+                out[f"{head} under cc {part.replace('-', ' ')} {v.replace('.', ' ')}"] = f"cc-{part}-{v}-line"
     for key, name in GNU.items():
         for v in GNU_VERSIONS:
             for head in ("this work is licensed", "this program is licensed", "this software is licensed", "licensed", "released", "distributed"):

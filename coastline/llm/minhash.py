@@ -39,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coastline.llm.common import cut
+from coastline.llm.common import checkpointed, cut
 from coastline.llm.components import components
 from coastline.llm.shingles import SHINGLE, mix, shingle_set, word_hashes
 
 BANDS, ROWS = 40, 4
 SIMILARITY = 75
-CENTRES = 8
+CENTRES = 4
+LEAST_BANDS = 2
 _PROBES = 1024
 
 
@@ -125,36 +126,49 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(each, "a bigint, b bigint")
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in ``LEAST_BANDS`` bands or more, so that far fewer texts have to move.
+
+    At a similarity of 0.75 a pair agrees in fewer than two of 40 bands with a
+    probability of 5e-6.
+    """
+    right, left = nodes.select(F.col("node").alias("right"), F.col("bands").alias("rb")), nodes.select(F.col("node").alias("left"), F.col("bands").alias("lb"))
+    both = pairs.join(right, F.col("b") == F.col("right")).join(left, F.col("a") == F.col("left"))
+    return both.where(F.size(F.array_intersect("lb", "rb")) >= LEAST_BANDS).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, percent: int = SIMILARITY
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = cut(sketches(docs, id_col, text_col, bands, rows, size))
-    nodes = marked.where("id is not null and n_shingles > 0").groupBy("key").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"))
-    nodes = cut(nodes)
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    ends = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
-    members = cut(banded.join(ends, "bucket"))
-    proposed = members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    texts = cut(texts.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
-    links = cut(confirmed(proposed, texts, size, percent))
+    marked = checkpointed(sketches(docs, id_col, text_col, bands, rows, size))
+    nodes = marked.where("id is not null and n_shingles > 0").groupBy("key").agg(F.min("id").alias("node"), F.min("n_shingles").alias("n"), F.min_by("bands", "id").alias("bands"))
+    nodes = checkpointed(nodes)
+    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    # cut off from its aggregation, so that both sides of the join are plain shuffles, of which Spark can split hot ones
+    ends = cut(banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last"))
+    members = checkpointed(banded.join(ends, "bucket"))
+    proposed = cut(members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    texts = checkpointed(texts.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
+    links = cut(confirmed(plausible(proposed, nodes), texts, size, percent))
     tried = proposed
     found = components(links)
     turn = 0
     while True:
-        own = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        own = members.select("bucket", "node", "n").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
         parts = own.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
-        mixed = own.join(parts.select("bucket"), "bucket")
-        draws = [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn * CENTRES + c)).alias("h"), "node", "component")) for c in range(CENTRES)]
-        picked = mixed.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*draws), lambda x: F.struct(x["node"].alias("centre"), x["component"].alias("theirs")))).alias("c"))
-        centres = picked.select(F.col("bucket").alias("k"), F.inline("c"))
-        across = mixed.join(centres, (F.col("bucket") == F.col("k")) & (F.col("component") != F.col("theirs")))
+        mixed = own.join(cut(parts.select("bucket")), "bucket")
+        draws = [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn * CENTRES + c)).alias("h"), "node", "component", "n")) for c in range(CENTRES)]
+        picked = mixed.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*draws), lambda x: F.struct(x["node"].alias("centre"), x["component"].alias("theirs"), x["n"].alias("m")))).alias("c"))
+        centres = cut(picked.select(F.col("bucket").alias("k"), F.inline("c")))
+        alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # no sets of other sizes can be similar enough
+        across = mixed.join(centres, (F.col("bucket") == F.col("k")) & (F.col("component") != F.col("theirs")) & alike)
         more = across.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         more = cut(more.join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
-        new = cut(confirmed(more, texts, size, percent))
+        new = cut(confirmed(plausible(more, nodes), texts, size, percent))
         if new.isEmpty():
             break
         turn += 1

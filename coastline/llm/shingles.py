@@ -8,7 +8,7 @@ import numpy as np
 
 SHINGLE = 5
 #: Bytes that are hashed at a time; cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

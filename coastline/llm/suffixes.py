@@ -125,7 +125,8 @@ def repeated_passages(
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, owners, places)], names=["h", "doc", "pos"])
 
     marked = texts.mapInArrow(mark, "h bigint, doc bigint, pos bigint")
-    repeated = marked.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h")
+    # cut off from its aggregation, so that both sides of the join are plain shuffles, of which Spark can split hot ones
+    repeated = cut(marked.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h"))
     kept = marked.join(repeated, "h").groupBy("doc").agg(F.collect_set(F.struct("pos", "h")).alias("at"))  # the suffixes of one document
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,7 +168,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", chunk: int
     short = rows.where(~is_long).mapInArrow(each, schema)
     if not spliceable(path):
         return short
-    long_rows = rows.where(is_long).withColumn("digest", F.sha2(F.col("text"), 256))
-    counted = _long_counts(long_rows.select("digest", "text"), path, chunk, overlap).withColumnRenamed("digest", "d")
-    joined = long_rows.drop("text").join(counted, F.col("digest") == F.col("d")).select(*[f"`{x}`" for x in names], "n_tokens")
+    long_rows = rows.where(is_long).withColumn("_digest", F.sha2(F.col("text"), 256))
+    counted = _long_counts(long_rows.select(F.col("_digest").alias("digest"), "text"), path, chunk, overlap).select(F.col("digest").alias("_d"), "n_tokens")
+    joined = long_rows.drop("text").join(counted, F.col("_digest") == F.col("_d")).select(*[f"`{x}`" for x in names], "n_tokens")
     return short.unionByName(joined)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from coastline.llm.crf import ChainCRF
 from coastline.llm.html_blocks import Block, blocks
 
-TRAINING_PAGES = 240
+TRAINING_PAGES = 480
 
 
 @lru_cache(maxsize=4096)
@@ -120,12 +120,12 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
                 inner, labels = inner + f"<h2>{words(1, 5)}</h2>", [*labels, 1]
             elif r < 0.85:
                 inner, labels = inner + f"<ul><li>{sentences(1, 1)}</li><li>{words(1, 6)}</li></ul>", [*labels, 1, 1]
-            elif r < 0.9:
+            elif r < 0.88:
                 inner, labels = inner + f"<blockquote>{sentences(1, 3)}</blockquote>", [*labels, 1]
-            elif r < 0.93:
+            elif r < 0.9:
                 inner, labels = inner + f"<pre>{words(2, 8)}</pre>", [*labels, 1]
             else:
-                more, own = boiler(pick(["ad", "aside", "form", "ad"]))
+                more, own = boiler(pick(["ad", "aside", "form", "comments", "notice"]))
                 inner, labels = inner + more, labels + own
         return wrapped(["article", "main", "article"], ["content", "post", "entry", "article", "story", "main-content", "post-body"], inner, 0.75), labels
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastline.llm import decontaminate, fingerprints, html_extract, langid, licenses, minhash, mixing, pii, suffixes, tokens
+from coastline.llm import decontaminate, fingerprints, html_extract, langid, licenses, minhash, mixing, oracles, pii, suffixes, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -94,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": licenses.oracle_sql()}
+    return oracles.oracle_sql()

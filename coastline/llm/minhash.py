@@ -18,6 +18,14 @@ centres as it shares buckets with a group, times the draws. Proposals are confir
 full sets, built again from the two texts. At a similarity of 0.75 the default
 bands miss a pair with a probability of 3e-7.
 
+The draws are only a first pass. Members of buckets of three or more that still
+span several components are finished exactly (``candidates``): in one fixed order of
+all shingles, about the rarest first, two sets that are similar enough have their
+first common shingle among the first ``prefix_lengths`` of each; every other pair
+across components is ruled out by that, and what is left is confirmed on the full
+sets. The order comes from a table of ``SLOTS`` counters; it decides how many pairs
+are left, not which links are found.
+
 At scale: exact copies are collapsed first, so a group of copies that holds a
 third of all rows is one node. Bucket minima are aggregated before they are
 shuffled; joins on hot buckets and hot centres are plain joins that Spark
@@ -48,6 +56,8 @@ BANDS, ROWS = 40, 4
 SIMILARITY = 75
 CENTRES = 4
 LEAST_BANDS = 2
+#: Counters of shingles by their hash, for an order from about the rarest to the most frequent.
+SLOTS = 1 << 18
 _PROBES = 1024
 
 
@@ -138,6 +148,76 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("lb", "rb")) >= LEAST_BANDS).select("a", "b")
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of the texts' sets fall on each slot; texts: (id, text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                counts += np.bincount(_slots(shingle_set(word_hashes(text.as_py()), size)), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(each, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many first shingles of a set of n, in any fixed order, must hold the first one in common: with a set of n or more, and with any set similar enough."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+
+
+def candidates(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of nodes in different components that can be similar enough; left: (node, component), texts: (id, text)."""
+    own = cut(texts.join(left, F.col("id") == F.col("node")).select("node", "component", "text"))
+    counts = own.sparkSession.sparkContext.broadcast(shingle_counts(own, size))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, firsts, sizes = batch.slice(at, 500), [], []
+                for text in part.column(2):
+                    shingles = shingle_set(word_hashes(text.as_py()), size)
+                    order = np.lexsort((shingles, counts.value[_slots(shingles)]))
+                    sizes.append(len(shingles))
+                    firsts.append(shingles[order[: prefix_lengths(len(shingles), percent)[1]]].view(np.int64))
+                times = [len(s) for s in firsts]
+                owner = pa.array(np.repeat(np.arange(len(times)), times))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(firsts)), part.column(0).take(owner), part.column(1).take(owner), pa.array(np.repeat(sizes, times)),
+                        pa.array(np.concatenate([np.arange(k) for k in times])), pa.array(np.repeat([prefix_lengths(n, percent)[0] for n in sizes], times)),
+                    ],
+                    names=["shingle", "node", "component", "n", "at", "short"],
+                )
+
+    firsts = own.mapInArrow(each, "shingle bigint, node bigint, component bigint, n bigint, at bigint, short bigint")
+    firsts = cut(firsts.withColumn("short", F.col("at") < F.col("short")))
+    sizes = firsts.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short"))
+    shared = sizes.groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("k"), F.max("short").alias("s")).where("k > 1 and s")
+    firsts = cut(firsts.join(cut(shared.select("shingle", "largest")), "shingle"))
+    others = firsts.select("shingle", F.col("node").alias("other"), F.col("component").alias("theirs"), F.col("n").alias("m"), F.col("at").alias("there"), "largest")
+    # the first shingle in common leaves room for no more than the rest of either set
+    room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there"))
+    fits = ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("other")))) & (room * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+
+    def paired(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+        both = mine.drop("largest").join(theirs.drop("largest"), "shingle").where((F.col("component") != F.col("theirs")) & fits)
+        return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+    # one of the two is outside the shingle's largest component, which so never meets itself
+    short = firsts.where("short")
+    pairs = paired(short.where("component != largest"), others).unionByName(paired(short.where("component = largest"), others.where("theirs != largest")))
+    return pairs.distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, percent: int = SIMILARITY
 ) -> DataFrame:
@@ -178,6 +258,12 @@ def near_duplicates(
         tried, links = tried.unionByName(more), links.unionByName(new)
         found = components(links)
         fresh = cut(new.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("fresh", F.lit(True)))
+    own = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    unsettled = own.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("k")).where("first < last and k > 2")
+    left = cut(own.join(cut(unsettled.select("bucket")), "bucket").select("node", "component").distinct())
+    new = cut(confirmed(cut(candidates(left, texts, size, percent)), texts, size, percent))
+    if not new.isEmpty():
+        found = components(links.unionByName(new))
     named = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = marked.select("id", "key", "n_shingles").join(named, "key", "left")
     linked = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

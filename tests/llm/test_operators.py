@@ -92,6 +92,19 @@ def test_near_copies_of_one_text(spark):
     assert got == brute.near_components(texts)
 
 
+def test_rare_links_in_a_large_family(spark):
+    """Filled-in forms, all just below the limit, of which a few pairs have one more run in common."""
+    rng = random.Random(6)
+    form, pairs = " ".join(f"f{k}" for k in range(104)), 12
+    own = lambda: " ".join(f"o{rng.random()}" for _ in range(16))
+    texts = [(i, f"{form} p{i if i >= 2 * pairs else i // 2} {own()}") for i in range(600)]
+    got = {r.id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), bands=10).collect()}
+    sets = [brute.shingles(t) for _, t in texts[:26]]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert like(sets[0], sets[1]) >= 0.75 > like(sets[24], sets[25])
+    assert got == {i: i - i % 2 if i < 2 * pairs else i for i, _ in texts}
+
+
 def test_near_duplicates_odd_rows(odd, spark):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)

@@ -31,7 +31,7 @@ def _names(attrs: str) -> str:
     if "=" not in attrs:
         return ""
     words = [w for m in _NAMES.finditer(attrs) for w in _PART.findall((m[1] or m[2] or m[3] or "").lower())]
-    return " ".join(words[:6])
+    return " ".join(dict.fromkeys(words))
 
 
 def blocks(html: str | None) -> list[Block]:

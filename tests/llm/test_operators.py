@@ -313,6 +313,16 @@ def test_broken_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_telling_names_after_layout_classes(spark):
+    layout = "col-md-4 col-lg-3 pull-right hidden-xs offset-top clearfix"
+    said = "Readers of this page also liked another story. It was told at length, and they say so here."
+    parts = [f'<div class="{layout} sidebar"><p>{said}</p></div>', f'<div class="{layout}" id="comments"><p>{said}</p></div>', f'<div class="{layout}" role="navigation"><p>{said}</p></div>', f'<div class="{layout} advert"><p>{said}</p></div>']
+    body = "<article><h1>Title of it</h1><p>Body text, long enough to count. More of it follows here.</p><p>And a second paragraph of the body, with its own words.</p></article>"
+    assert all({"sidebar", "comments", "navigation", "advert"} & set(blocks(p)[0].path[0].split()) for p in parts)
+    got = html_extract.extract(spark.createDataFrame([(k, f"<html><body>{body}{p}</body></html>") for k, p in enumerate(parts)], "page_id long, html string")).collect()
+    assert {r.main_text for r in got} == {"Title of it Body text, long enough to count. More of it follows here. And a second paragraph of the body, with its own words."}
+
+
 # 9: languages
 
 

@@ -6,6 +6,11 @@ against ordered rules: a rule is a sequence of identifiers, at most
 ``gap`` other known sentences apart, and what one rule has matched is not seen
 by later ones. Longer rules stand before the single sentences they contain.
 
+Before the cut, the real sentences of MIT, BSD, ISC, Apache and GNU notices
+(``notices``) are found wherever their lines are wrapped, also inside comments,
+and each is put on a line of its own in the known form; a line break between two
+words that follow each other in a known one-line sentence is joined.
+
 All of it is built-in functions on the rows where they lie. A text without any
 of a few cue words, one of which every known sentence has, isn't cut at all.
 
@@ -64,6 +69,62 @@ def sentences() -> dict[str, str]:
     return out
 
 
+#: Between two words of a notice: marks, white space, line breaks and comment marks.
+GAPS = "[^0-9A-Za-z]++"
+#: A single line break, and the comment mark the next line may begin with.
+BREAK = r"[ \t]*+\r?\n[ \t]*+(?:(?://++|#++|[*]++|;++|--++|%++)[ \t]*+)?"
+
+#: How the real notices' sentences go on after the known ones.
+TAILS = {
+    "mit-grant": "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "as-is": "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "bsd-grant": "",
+    "bsd-source": "",
+    "bsd-binary": "",
+    "isc-grant": "",
+    "apache-copy": "",
+    "apache-obtain": "",
+    "mit-notice": "",
+}
+
+
+def notices() -> list[tuple[str, str]]:
+    """(pattern of a real sentence however it is wrapped, what stands for it)."""
+    wrapped = lambda words: words.replace(" ", GAPS)
+    out = []
+    for key, tail in TAILS.items():
+        body = wrapped(PERMISSIVE[key])
+        if key == "isc-grant":
+            body = body.replace(f"and{GAPS}or{GAPS}distribute", f"and{GAPS}(?:or{GAPS})?distribute")
+        if key == "bsd-binary":
+            body = body.replace(f"and{GAPS}or{GAPS}other", f"and{GAPS}(?:or{GAPS})?other")
+        more = f"(?:{GAPS}{wrapped(tail)}\\b)?" if tail else ""
+        out.append((rf"(?i)\b{body}\b{more}[.;:,]?", f"\n{PERMISSIVE[key]}\n"))
+    disclaims = wrapped("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness")
+    out.append((rf"(?i)\b{disclaims}\b[.]?", f"\n{PERMISSIVE['as-is']}\n"))
+    out.append((rf"(?i)\b{wrapped('licensed under the apache license version 2 0 the license')}\b[;,]?", "\nlicensed under the apache license version 2 0\n"))
+    free = wrapped("is free software you can redistribute it and or modify it under the terms of the gnu")
+    option = wrapped("or at your option any later version")
+    for kind in GNU.values():
+        gnu = rf"(?i)\b(?:this{GAPS})?[0-9a-z_-]+{GAPS}{free}{GAPS}{wrapped(kind)}{GAPS}license{GAPS}{wrapped('as published by the free software foundation')}{GAPS}(?:either{GAPS})?version{GAPS}(2[.]1|[23])(?![.]?[0-9])(?:{GAPS}{wrapped('of the license')}\b)?(?:{GAPS}{option}\b)?[.]?"
+        out.append((gnu, f"\nlicensed under the gnu {kind} license version $1\n"))
+    return out
+
+
+def joined(text: Column) -> Column:
+    """The text with its notices in their known form and known one-line sentences unwrapped."""
+    follows: dict[str, set[str]] = {}
+    for sentence, identifier in sentences().items():
+        if identifier.endswith("-line"):
+            words = sentence.split(" ")
+            for a, b in zip(words, words[1:]):
+                if a.isalpha():
+                    follows.setdefault(a, set()).add(b)
+    ahead = "|".join(f"{a},?{BREAK}(?:{'|'.join(sorted(b))})" for a, b in sorted(follows.items()))
+    out = F.regexp_replace(text, rf"(?i)\b(?=(?:{ahead})\b)([a-z]+,?){BREAK}", "$1 ")
+    return reduce(lambda t, n: F.regexp_replace(t, *n), notices(), out)
+
+
 def rules() -> list[tuple[str, tuple[str, ...]]]:
     """(licence, identifiers in order), the first that matches wins."""
     out = [
@@ -100,7 +161,7 @@ def scan(docs: DataFrame, text_col: str = "text", gap: int = GAP) -> DataFrame:
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     cued = reduce(lambda a, b: a | b, [low.contains(c) for c in CUES])
-    cut = F.split(F.col(text_col), SENTENCE_END)
+    cut = F.split(joined(F.col(text_col)), SENTENCE_END)
     docs = docs.withColumn("_n", F.when(cued, F.transform(F.filter(cut, lambda s: reduce(lambda a, b: a | b, [F.lower(s).contains(c) for c in CUES])), normalised)))
     docs = docs.withColumn("license_ids", F.coalesce(F.filter(F.transform("_n", lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull()), F.array().cast("array<string>")))
     docs = docs.withColumn("_s", F.when(F.size("license_ids") > 0, F.array_join(F.transform("license_ids", lambda i: F.concat(F.lit(";"), i, F.lit(";"))), "")))

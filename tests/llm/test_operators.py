@@ -374,6 +374,57 @@ def test_licence_rules(spark):
     assert len(got[1].license_ids) == 3
 
 
+def test_wrapped_notices(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+    bsd = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are met:
+//
+// 1. Redistributions of source code must retain the above copyright notice,
+//    this list of conditions and the following disclaimer.
+// 2. Redistributions in binary form must reproduce the above copyright notice,
+//    this list of conditions and the following disclaimer in the documentation
+//    and/or other materials provided with the distribution."""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS."""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    lesser = gpl.replace("program", "library").replace("GNU", "GNU Lesser").replace("3 of", "2.1 of")
+    texts = [(1, mit), (2, bsd), (3, isc), (4, apache), (5, gpl), (6, lesser), (7, "x. This work is licensed under the\nGNU General Public License,\nversion 3."), (8, "Released under the MIT License\nLicensed under CC BY 4.0"), (9, mit.replace("\n", "\r\n * "))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = {1: ["MIT"], 2: ["BSD"], 3: ["ISC"], 4: ["Apache-2.0"], 5: ["GPL-3"], 6: ["LGPL-2.1"], 7: ["GPL-3"], 8: ["CC-BY-4.0", "MIT"], 9: ["MIT"]}
+    assert {i: r.licenses for i, r in got.items()} == want
+    assert [len(got[i].license_ids) for i in (1, 2, 3, 4)] == [3, 3, 2, 3]
+
+
 def test_every_sentence_has_a_cue():
     assert all(any(c in s for c in licenses.CUES) for s in licenses.sentences())
 

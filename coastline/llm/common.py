@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,10 +24,13 @@ def ascii_lower(text: Column) -> Column:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a folder of this
-    machine is taken.
+    Only a session on one machine (``local[...]``, as in tests) may leave it
+    unset; it then gets a folder of this machine.
     """
-    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "coastline-checkpoints")
+    given = spark.conf.get("spark.checkpoint.dir", "")
+    if not given and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return given or os.path.join(tempfile.gettempdir(), "coastline-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,11 +38,19 @@ def cut(df: DataFrame) -> DataFrame:
 
     Unlike a checkpoint, the table read back carries no constraints of the plan
     behind it; those that a loop piles up take the optimizer ever longer. It is
-    compressed, and read by column. The tables may go when the application ends.
+    compressed, and read by column. The tables go when the application ends.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/coastline-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/coastline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(n: int = 1) -> list[str]:
+    """Names of columns that no caller's table has."""
+    return [f"_{uuid.uuid4().hex}" for _ in range(n)]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -8,15 +8,15 @@ with a probability that is their similarity. ``rows`` bins make a band, and
 texts that agree in a band share a bucket.
 
 A bucket proposes no pairs among its members but a star, from its smallest
-member to all others. Where a bucket's members turn out to be in several
-components after the proposals are confirmed, ``CENTRES`` members drawn at
-random become further centres, each against the members outside its own
-component; this is repeated with new draws for each bucket until a round confirms
-no new link of any of its members, so that a bucket that has settled costs nothing
-while others go on. A bucket of n members thus proposes O(n) pairs a round, and a text meets as many
-centres as it shares buckets with a group, times the draws. Proposals are confirmed on the
-full sets, built again from the two texts. At a similarity of 0.75 the default
-bands miss a pair with a probability of 3e-7.
+member to all others. A bucket of ``CROWD`` members or more, of which one component
+holds an eighth and not all, is a group of near copies that its centre joined in
+part: ``CENTRES`` members drawn at random become further centres, each against the
+members outside its own component, for ``TURNS`` turns at most. A bucket of n
+members thus proposes O(n) pairs in all.
+Proposals that agree in ``LEAST_BANDS`` bands are confirmed on the full sets, built
+again from the two texts. Two sets at a similarity of 0.75 have fewer than two of
+the default 40 bands in common with a probability of 5e-6, which is the chance of
+missing a link that no other text makes.
 
 The draws are only a first pass. Members of buckets of three or more that still
 span several components are finished exactly (``candidates``): in one fixed order of
@@ -55,6 +55,9 @@ from coastline.llm.shingles import SHINGLE, mix, shingle_set, word_hashes
 BANDS, ROWS = 40, 4
 SIMILARITY = 75
 CENTRES = 4
+#: Turns of further centres; what they leave open is finished exactly.
+TURNS = 3
+CROWD, SHARE = 16, 8
 LEAST_BANDS = 2
 #: Counters of shingles by their hash, for an order from about the rarest to the most frequent.
 SLOTS = 1 << 18
@@ -235,13 +238,10 @@ def near_duplicates(
     links = cut(confirmed(plausible(proposed, nodes), texts, size, percent))
     tried = proposed
     found = components(links)
-    turn, fresh = 0, None
-    while True:
-        state = found.withColumn("fresh", F.lit(True)) if fresh is None else found.join(fresh, "node", "full")
-        own = members.select("bucket", "node", "n").join(state, "node", "left")
-        own = own.select("bucket", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("fresh", F.lit(fresh is None)).alias("fresh"))
-        parts = own.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.max("fresh").alias("fresh")).where("first < last and fresh")
-        mixed = own.join(cut(parts.select("bucket")), "bucket")
+    for turn in range(TURNS):
+        own = members.select("bucket", "node", "n").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+        parts = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("k"), F.max("c").alias("most"))
+        mixed = own.join(cut(parts.where(f"k >= {CROWD} and most < k and most * {SHARE} >= k").select("bucket")), "bucket")
         draws = [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn * CENTRES + c)).alias("h"), "node", "component", "n")) for c in range(CENTRES)]
         picked = mixed.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*draws), lambda x: F.struct(x["node"].alias("centre"), x["component"].alias("theirs"), x["n"].alias("m")))).alias("c"))
         centres = cut(picked.select(F.col("bucket").alias("k"), F.inline("c")))
@@ -252,12 +252,8 @@ def near_duplicates(
         if more.isEmpty():
             break
         new = cut(confirmed(plausible(more, nodes), texts, size, percent))
-        if new.isEmpty():
-            break
-        turn += 1
         tried, links = tried.unionByName(more), links.unionByName(new)
         found = components(links)
-        fresh = cut(new.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("fresh", F.lit(True)))
     own = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     unsettled = own.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("k")).where("first < last and k > 2")
     left = cut(own.join(cut(unsettled.select("bucket")), "bucket").select("node", "component").distinct())

@@ -14,9 +14,10 @@ next one, which is encoded again, whole.
 Equal long texts are encoded once. Tokenizers for which the proof doesn't hold
 (a normaliser, sentencepiece models) encode every text whole.
 
-Rows: a null text counts as the empty one, with 0 bytes and 0 tokens; repeated
-rows each get their row; an empty table gives an empty result; further columns
-pass through, but for the texts.
+Rows: a null text counts as the empty one, with 0 bytes and 0 tokens; texts of any
+length are counted whole; repeated rows each get their row; an empty table gives
+an empty result; further columns pass through unchanged, whatever their names,
+but for the texts and for columns named n_bytes or n_tokens, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from coastline.llm.common import cut as cut_off
 from coastline.llm.common import shuffle_partitions
 
 CHUNK = 65_536
@@ -38,6 +41,8 @@ OVERLAP = 1_024
 MARGIN = 64
 #: Characters that are encoded at a time.
 BATCH = 500_000
+#: Pieces of a text that are handed on at a time.
+PIECES = 16
 
 
 @cache
@@ -98,14 +103,15 @@ def _in_batches(texts: list[str], counts) -> list[int]:
 
 def _long_counts(long_rows: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """(digest, n_tokens) of the long texts (digest, text)."""
-    texts = long_rows.groupBy("digest").agg(F.first("text").alias("text"))
+    texts = cut_off(long_rows.groupBy("digest").agg(F.first("text").alias("text")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                for i in range(-(-len(text) // chunk)):
-                    yield pa.RecordBatch.from_pylist([{"digest": digest, "i": i, "last": (i + 1) * chunk >= len(text), "piece": text[i * chunk : (i + 1) * chunk + overlap]}])
+                n = -(-len(text) // chunk)
+                for a in range(0, n, PIECES):
+                    yield pa.RecordBatch.from_pylist([{"digest": digest, "i": i, "last": (i + 1) * chunk >= len(text), "piece": text[i * chunk : (i + 1) * chunk + overlap]} for i in range(a, min(n, a + PIECES))])
 
     pieces = texts.select("digest", "text").mapInArrow(cut, "digest string, i bigint, last boolean, piece string")
     pieces = pieces.repartition(shuffle_partitions(long_rows.sparkSession), "digest", "i")
@@ -152,23 +158,22 @@ def _long_counts(long_rows: DataFrame, path: str, chunk: int, overlap: int) -> D
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` without its texts, with n_bytes and n_tokens of each."""
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, "n_bytes", "n_tokens")]
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = [f.name for f in docs.schema.fields if f.name not in (text_col, "n_bytes", "n_tokens")]
+    # the caller's columns travel as one, so that their names can't clash with those in here
+    rows = docs.select(F.struct(F.lit(0).alias("n_tokens"), *[F.col(f"`{x}`") for x in kept]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    is_long = F.length("text") > chunk if spliceable(path) else F.lit(False)
-    names = [f.name for f in kept] + ["n_bytes"]
+    is_long = F.col("n_bytes") > chunk if spliceable(path) else F.lit(False)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, _ = encoder(path)
         for batch in batches:
-            n = _in_batches(batch.column(batch.schema.get_field_index("text")).to_pylist(), counts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in names), pa.array(n, pa.int64())], names=[*names, "n_tokens"])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "n_bytes bigint, n_tokens bigint"
-    short = rows.where(~is_long).mapInArrow(each, schema)
-    if not spliceable(path):
-        return short
-    long_rows = rows.where(is_long).withColumn("_digest", F.sha2(F.col("text"), 256))
-    counted = _long_counts(long_rows.select(F.col("_digest").alias("digest"), "text"), path, chunk, overlap).select(F.col("digest").alias("_d"), "n_tokens")
-    joined = long_rows.drop("text").join(counted, F.col("_digest") == F.col("_d")).select(*[f"`{x}`" for x in names], "n_tokens")
-    return short.unionByName(joined)
+            n = _in_batches(batch.column(1).to_pylist(), counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["row", "n_bytes", "n_tokens"])
+
+    schema = StructType([rows.schema["row"], StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
+    out = rows.where(~is_long).mapInArrow(each, schema)
+    if spliceable(path):
+        long_rows = rows.where(is_long).withColumn("digest", F.sha2(F.col("text"), 256))
+        counted = _long_counts(long_rows.select("digest", "text"), path, chunk, overlap)
+        out = out.unionByName(long_rows.drop("text").join(counted, "digest").select("row", "n_bytes", "n_tokens"))
+    return out.select(*[F.col("row").getField(x).alias(x) for x in kept], "n_bytes", "n_tokens")

@@ -6,16 +6,21 @@ the automaton knows the longest run ending there that occurs in some item. A
 run of ``window`` words or more is contaminated, all of it; so is an occurrence
 of a whole item that is shorter than a window.
 
-The items are read in blocks of at most ``block_words`` words. A block's
-automaton is built on the driver and sent to the executors, where it takes
-about 1 KB a word; texts stream through all blocks in the same stage. The
-corpus itself is neither shuffled nor gathered, and a text is looked at once.
+The items are dealt by their ids into blocks of about ``block_words`` words. A
+block's automaton, about 1 KB a word, is built on the driver and sent to the
+executors; the documents pass through it, and what it hits is kept with them.
+With more blocks than one the documents pass once for each, and are written to
+the shared folder in between: never is more than one block in memory anywhere,
+and a benchmark of any size takes longer, not more. The corpus itself is neither
+shuffled nor gathered.
 
 Rows: a null text has no words and no hits; an item that is null or has no
 words occurs nowhere; items that share an id count as one; an item without an
 id contaminates and counts (all such items as one) but is left out of the list
 of ids; repeated rows are handled row by row; an empty benchmark or an empty
-table gives no hits; further columns pass through.
+table gives no hits; items are met in no particular order, and equal passages
+count once; texts of any length are streamed to their end; further columns pass
+through, but those named like a new column, which it replaces.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coastline.llm.common import UPPER, cut, fresh
+
 WINDOW = 10
 BLOCK_WORDS = 200_000
 #: Spans are cut out of texts; a text of which a larger share is hit goes.
@@ -142,19 +149,14 @@ class Automaton:
         return runs, items, longest
 
 
-def automata(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """One automaton for each block of items."""
-    block: list[tuple[str | None, list[bytes]]] = []
-    size = 0
-    for item, text in bench.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        words = words_of(text)
-        if block and size + len(words) > block_words:
-            yield Automaton(block, window)
-            block, size = [], 0
-        block.append((item, words))
-        size += len(words)
-    if block:
-        yield Automaton(block, window)
+def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> list[DataFrame]:
+    """The items (item, text) in blocks of about ``block_words`` words; items that share an id are in one block."""
+    size = F.regexp_count(F.translate(text_col, UPPER, UPPER.lower()), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"))
+    n = bench.agg(F.sum(size.cast("long"))).first()[0] or 0
+    count = max(1, -(-n // block_words))
+    rows = bench.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    place = F.pmod(F.when(F.col("item").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item")), F.lit(count))
+    return [rows.where(place == k) for k in range(count)]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -197,7 +199,6 @@ def decontaminate(
     words is over ``max_coverage``) and, if ``with_text``, decon_text (the text
     without the hit spans). Without ``with_text`` the texts are not returned.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(bench, bench_id, bench_text, window, block_words)]
     added = [
         ("decon_words", "bigint", pa.int64()), ("decon_hits", "bigint", pa.int64()), ("decon_items", "array<string>", pa.list_(pa.string())), ("decon_n_items", "bigint", pa.int64()),
         ("decon_longest", "bigint", pa.int64()), ("decon_spans", "array<array<bigint>>", pa.list_(pa.list_(pa.int64()))), ("decon_drop", "boolean", pa.bool_()),
@@ -206,28 +207,47 @@ def decontaminate(
         added.append(("decon_text", "string", pa.string()))
     new = {n for n, _, _ in added}
     kept = [f for f in docs.schema.fields if f.name not in new and (with_text or f.name != text_col)]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [b.value for b in shared]
-        names = [f.name for f in kept]
-        for batch in batches:
-            columns: list[list] = [[] for _ in added]
-            for text in batch.column(batch.schema.get_field_index(text_col)):
-                text = text.as_py()
-                words = words_of(text)
-                found = [m.scan(words) for m in machines]
-                runs = found[0][0] if len(found) == 1 else merged([r for f in found for r in f[0]])
-                items = set().union(*(f[1] for f in found))
-                hits = sum(b - a for a, b in runs)
-                row = [len(words), hits, sorted(x for x in items if x is not None), len(items), max((f[2] for f in found), default=0), [list(r) for r in runs], hits > max_coverage * len(words)]
-                if with_text:
-                    row.append(without(text, runs) if runs else text)
-                for c, v in zip(columns, row, strict=True):
-                    c.append(v)
-            old = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*old, *(pa.array(c, t) for c, (_, _, t) in zip(columns, added, strict=True))], names=[*names, *(n for n, _, _ in added)])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + "".join(f", {n} {t}" for n, t, _ in added)
-    return docs.mapInArrow(each, schema)
-
-
+    spans_col, items_col, longest_col = fresh(3)
+    state = [(spans_col, "array<array<bigint>>", pa.list_(pa.list_(pa.int64()))), (items_col, "array<string>", pa.list_(pa.string())), (longest_col, "bigint", pa.int64())]
+
+    def through(rows: DataFrame, block: DataFrame, first: bool, final: bool) -> DataFrame:
+        """``rows`` with what they meet in one block beside what they met before; at last with the columns of the result."""
+        machine = Automaton([(r.item, words_of(r.text)) for r in block.toLocalIterator()], window)
+        shared = rows.sparkSession.sparkContext.broadcast(machine)
+        whole = [f for f in docs.schema.fields if f.name not in new]
+        old = kept if final else whole
+        out = added if final else state
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns: list[list] = [[] for _ in out]
+                place = batch.schema.get_field_index
+                before = [[None] * batch.num_rows] * 3 if first else [batch.column(place(n)).to_pylist() for n, _, _ in state]
+                for text, *had in zip(batch.column(place(text_col)), *before, strict=True):
+                    text = text.as_py()
+                    words = words_of(text)
+                    runs, items, longest = shared.value.scan(words)
+                    if had[0]:
+                        runs = merged(runs + [tuple(r) for r in had[0]])
+                    if not first:
+                        items, longest = items | set(had[1]), max(longest, had[2])
+                    if not final:
+                        row = [[list(r) for r in runs], list(items), longest]
+                    else:
+                        hits = sum(b - a for a, b in runs)
+                        row = [len(words), hits, sorted(x for x in items if x is not None), len(items), longest, [list(r) for r in runs], hits > max_coverage * len(words)]
+                        if with_text:
+                            row.append(without(text, runs) if runs else text)
+                    for c, v in zip(columns, row, strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(place(f.name)) for f in old), *(pa.array(c, t) for c, (_, _, t) in zip(columns, out, strict=True))], names=[*(f.name for f in old), *(n for n, _, _ in out)]
+                )
+
+        return rows.mapInArrow(each, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in old), *(f"`{n}` {t}" for n, t, _ in out)]))
+
+    todo = blocks(bench, bench_id, bench_text, block_words)
+    for k, block in enumerate(todo[:-1]):
+        docs_now = docs if k == 0 else rows
+        rows = cut(through(docs_now, block, k == 0, False))
+    return through(docs if len(todo) == 1 else rows, todo[-1], len(todo) == 1, True)

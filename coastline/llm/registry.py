@@ -65,6 +65,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.text_of(own).alias("fingerprint"), fingerprints.text_of(edited).alias("edited_fingerprint"),
         fingerprints.likeness(own, edited).alias("near_edited"), fingerprints.likeness(own, following).alias("near_next"),
+        fingerprints.containment(edited, own).alias("held_edited"),
     )
 
 

@@ -11,19 +11,28 @@ iteration that is kept within a bracket.
 Documents of one source and one size have the same rate, so everything up to
 the rounding runs on the table of (source, size, number of documents): its
 size grows with the number of different sizes, not with the corpus, and it is
-aggregated before it is shuffled. The Newton steps are window sums over it
-that all share one partitioning, without a further shuffle.
+aggregated before it is shuffled. A Newton step is an aggregation of that table
+by source, with one row a source coming out; steps are taken until all sources
+are within ``TOLERANCE`` of their targets.
 
 Rounding: sizes are walked from the largest down, each cell taking the whole
 number of copies that brings the running total nearest to its running target,
 so that the small documents at the end settle the rest. Within a cell
-the extra copies go to the documents with the smallest hash of their id; large
-cells are split into sub-buckets of about ``bucket_rows`` documents that get
-their share each, so that no group lands in one task.
+the extra copies go to the documents with the smallest hash of their id and text.
+The largest such hash is looked for in slices of about ``bucket_rows`` documents:
+slices are counted, and only the one that the last extra copy falls into is
+ranked, so that no group lands in one task. A document then knows its copies
+from its own hash and its cell's limit. The texts are not shuffled, unless there
+are more than ``BROADCAST_CELLS`` cells; then the join with the cells is a
+shuffle join, of which Spark splits hot keys.
 
 Rows: a null text has size 0, is never taken twice and adds nothing; a null
 source is a source of its own and the last one; repeated rows count one by
-one; an empty table gives an empty result; further columns pass through.
+one, and rows equal in id and text share their hash, so which of them get an
+extra copy is told by their place in the table; null ids differ by their texts;
+texts of any length are counted whole; an empty table gives an empty result;
+columns named in ``keep`` pass through, but those named like a column of the result,
+which it replaces.
 """
 
 from __future__ import annotations
@@ -33,14 +42,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coastline.llm.common import WORD
+from coastline.llm.common import WORD, cut
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEATS = 2
-NEWTON_STEPS = 24
+TOLERANCE = 1e-7
+#: A bracket of 128 that is halved at the worst is at the limit of doubles by then.
+MOST_STEPS = 64
 BUCKET_ROWS = 10_000
 RUN = 256
+#: Cells of at most about 100 bytes that are sent to all executors.
+BROADCAST_CELLS = 200_000
+RESULT = ("id", "source", "size", "source_size", "target", "rate", "copies")
 
 
 def word_count(text: Column) -> Column:
@@ -69,32 +83,35 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share
     return out.select("source", "source_size", "weight", target.alias("target"))
 
 
-def tilt(cells: DataFrame, max_repeats: float = MAX_REPEATS, steps: int = NEWTON_STEPS) -> DataFrame:
+def tilt(cells: DataFrame, max_repeats: float = MAX_REPEATS, tolerance: float = TOLERANCE) -> DataFrame:
     """(source, size, n, source_size, target) -> with the rate of each cell.
 
     Newton on log(words taken) against the log of the target, which is nearly
     linear in the multiplier; a step that leaves the bracket known so far is
     replaced by its middle. A target at the cap needs no multiplier.
     """
-    own = Window.partitionBy("source")
     cap, n, z = F.lit(float(max_repeats)), F.col("n"), F.col("size")
-    mean = F.sum(n * z * z).over(own) / F.sum(n * z).over(own)
-    out = cells.withColumn("_x", F.when(F.col("source_size") > 0, z / mean).otherwise(F.lit(0.0)))
-    out = out.withColumns({"_lam": F.lit(0.0), "_lo": F.lit(-64.0), "_hi": F.lit(64.0)})
-    for _ in range(steps):
-        power = F.exp(F.least(F.col("_lam") * F.col("_x"), F.lit(50.0)))
-        took = F.sum(n * z * F.least(cap, power)).over(own)
-        slope = F.sum(F.when(power < cap, n * z * F.col("_x") * power).otherwise(F.lit(0.0))).over(own)
-        out = out.withColumns({"_took": took, "_slope": slope})
-        above = F.col("_took") > F.col("target")
-        out = out.withColumns({"_lo": F.when(above, F.col("_lo")).otherwise(F.col("_lam")), "_hi": F.when(above, F.col("_lam")).otherwise(F.col("_hi"))})
-        step = F.when((F.col("_slope") > 0) & (F.col("_took") > 0) & (F.col("target") > 0), F.col("_lam") - F.log(F.col("_took") / F.col("target")) * F.col("_took") / F.col("_slope"))
-        inside = (step > F.col("_lo")) & (step < F.col("_hi"))
-        out = out.withColumn("_lam", F.when(inside, step).otherwise((F.col("_lo") + F.col("_hi")) / 2))
-    full = F.col("target") >= F.col("source_size") * cap
-    rate = F.when(full, cap).otherwise(F.least(cap, F.exp(F.least(F.col("_lam") * F.col("_x"), F.lit(50.0)))))
-    rate = F.when(z == 0, F.lit(1.0)).otherwise(rate)
-    return out.select("source", "size", "n", "source_size", "target", rate.alias("rate"))
+    exact = lambda c: F.sum(c.cast("decimal(34,8)")).cast("double")  # noqa: E731 - the same in any order of the rows
+    means = cells.groupBy("source").agg((F.sum(n * z.cast("decimal(19,0)") * z).cast("double") / F.nullif(F.sum(n * z), F.lit(0))).alias("mean"), F.max("target").alias("aim"), (F.max("target") >= F.max("source_size") * cap).alias("full"))
+    state = cut(means.select(F.col("source").alias("_s"), "mean", "aim", "full", F.lit(0.0).alias("lam"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi")))
+    own = F.col("source").eqNullSafe(F.col("_s"))
+    x = F.when(F.col("mean") > 0, z / F.col("mean")).otherwise(F.lit(0.0))
+    power = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
+    for _ in range(MOST_STEPS):
+        sums = cells.join(state, own).groupBy("_s", "mean", "aim", "full", "lam", "lo", "hi").agg(
+            exact(n * z * F.least(cap, power)).alias("took"), exact(F.when(power < cap, n * z * x * power).otherwise(F.lit(0.0))).alias("slope")
+        )
+        above = F.col("took") > F.col("aim")
+        sums = sums.withColumns({"lo": F.when(above, F.col("lo")).otherwise(F.col("lam")), "hi": F.when(above, F.col("lam")).otherwise(F.col("hi"))})
+        newton = F.when((F.col("slope") > 0) & (F.col("took") > 0) & (F.col("aim") > 0), F.col("lam") - F.log(F.col("took") / F.col("aim")) * F.col("took") / F.col("slope"))
+        moved = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+        there = F.col("full") | F.col("mean").isNull() | (F.abs(F.col("took") - F.col("aim")) <= tolerance * F.col("aim")) | (F.col("hi") - F.col("lo") < 1e-15)
+        state = cut(sums.select("_s", "mean", "aim", "full", F.when(there, F.col("lam")).otherwise(moved).alias("lam"), "lo", "hi", there.alias("there")))
+        if state.where("not there").isEmpty():
+            break
+        state = state.drop("there")
+    rate = F.when(z == 0, F.lit(1.0)).when(F.col("full"), cap).otherwise(F.least(cap, power))
+    return cells.join(state, own).select("source", "size", "n", "source_size", "target", rate.alias("rate"))
 
 
 def round_cells(cells: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -107,19 +124,43 @@ def round_cells(cells: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFrame
     cells = cells.withColumn("_run", F.floor((F.row_number().over(order) - 1) / RUN))
     row = F.struct((-F.col("size")).alias("minus"), "size", "n", "rate")
     lists = cells.groupBy("source", "_run", "source_size", "target").agg(F.array_sort(F.collect_list(row)).alias("_cells"))
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>").alias("done"))
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<size:bigint,n:bigint,rate:double,copies:bigint>>").alias("done"))
 
     def step(acc: Column, c: Column) -> Column:
         words = c["n"] * c["rate"] * c["size"] + acc["owed"]
         most = (c["n"] * F.lit(int(max_repeats))).cast("long")
         copies = F.when(c["size"] == 0, c["n"]).otherwise(F.least(most, F.greatest(F.lit(0).cast("long"), F.round(words / c["size"]).cast("long"))))
         owed = F.when(c["size"] == 0, acc["owed"]).otherwise(words - copies * c["size"])
-        return F.struct(owed.alias("owed"), F.concat(acc["done"], F.array(F.struct(c["size"].alias("size"), c["n"].alias("n"), copies.alias("copies")))).alias("done"))
+        return F.struct(owed.alias("owed"), F.concat(acc["done"], F.array(F.struct(c["size"].alias("size"), c["n"].alias("n"), c["rate"].alias("rate"), copies.alias("copies")))).alias("done"))
 
     done = F.aggregate("_cells", start, step, lambda acc: acc["done"])
     return lists.select("source", "source_size", "target", F.inline(done))
 
 
+def limits(keys: DataFrame, cells: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """cells (source, size, n, copies, ...) -> with base, last and share.
+
+    A row of the cell gets ``base`` copies, one more if its hash is below
+    ``last``, and one more with the probability ``share`` if it is ``last``.
+    keys: (source, size, h) of each row.
+    """
+    parts = F.ceil(F.col("n") / F.lit(int(bucket_rows)))
+    base = F.floor(F.col("copies") / F.col("n"))
+    cells = cells.withColumns({"parts": parts, "base": base, "extra": F.col("copies") - base * F.col("n")})
+    some = cells.where("extra > 0").select(F.col("source").alias("_s"), F.col("size").alias("_z"), "parts", "extra")
+    # slices of the hashes' range, in its order: a bit shift keeps the product within a bigint
+    high = F.shiftright("h", 31) + F.lit(1 << 32)
+    ours = keys.join(some, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).select("_s", "_z", "h", "extra", F.floor(high * F.col("parts") / F.lit(1 << 33)).alias("slice"))
+    slices = ours.groupBy("_s", "_z", "slice", "extra").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("_s", "_z").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = cut(slices.withColumn("before", before).where("before < extra and before + c >= extra").select(F.col("_s").alias("_a"), F.col("_z").alias("_b"), F.col("slice").alias("_at"), "before"))
+    near = ours.join(at, F.col("_s").eqNullSafe(F.col("_a")) & (F.col("_z") == F.col("_b")) & (F.col("slice") == F.col("_at")))
+    near = near.groupBy("_s", "_z", "h", "extra", "before").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("_s", "_z").orderBy("h")) + F.col("before")
+    last = near.withColumn("upto", upto).where("upto >= extra and upto - m < extra").select(F.col("_s").alias("_a"), F.col("_z").alias("_b"), F.col("h").alias("last"), ((F.col("extra") - F.col("upto") + F.col("m")) / F.col("m")).alias("share"))
+    return cells.join(last, F.col("source").eqNullSafe(F.col("_a")) & (F.col("size") == F.col("_b")), "left").drop("_a", "_b", "parts", "extra")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -129,27 +170,24 @@ def mix(
     share: float = SHARE,
     max_repeats: int = MAX_REPEATS,
     bucket_rows: int = BUCKET_ROWS,
-    steps: int = NEWTON_STEPS,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, rate, copies.
-
-    ``keep``: columns of ``docs`` that pass through, whole.
-    """
-    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
-    sized = docs.select(kept.alias("_row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    cells = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    """One row per document: id, source, size, source_size, target, rate, copies; and the columns of ``docs`` named in ``keep``."""
+    kept = [c for c in keep if c not in RESULT]
+    hashed = F.xxhash64(F.lit("mix"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    row = F.struct(F.lit(0).alias("id"), *[F.col(f"`{c}`") for c in kept])
+    sized = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("h"))
+    keys = cut(sized.select("id", "source", "size", "h"))
+    cells = keys.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     targets = source_targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, max_repeats)
     t = targets.withColumnRenamed("source", "_s")
-    cells = cells.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "weight")
-    rates = tilt(cells, max_repeats, steps)
-    copies = round_cells(rates, max_repeats).select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "source_size", "target", F.col("copies").alias("_c"))
-    out = sized.join(copies, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-    parts = F.ceil(F.col("n") / F.lit(int(bucket_rows)))
-    out = out.withColumn("_h", F.xxhash64(F.lit("mix"), "id")).withColumn("_b", F.pmod(F.col("_h"), parts))
-    bucket = Window.partitionBy("source", "size", "_b")
-    out = out.withColumns({"_m": F.count(F.lit(1)).over(bucket), "_k": F.row_number().over(bucket.orderBy("_h", "id"))})
-    base = F.floor(F.col("_c") / F.col("n"))
-    extra = F.floor((F.col("_c") - base * F.col("n")) * F.col("_m") / F.col("n") + 0.5)
-    own = [F.col(f"_row.{c}") for c in keep] if keep else [F.col("id"), F.col("source")]
-    return out.select(*own, "size", "source_size", "target", (F.col("_c") / F.col("n")).alias("rate"), (base + F.when(F.col("_k") <= extra, 1).otherwise(0)).cast("long").alias("copies"))
+    cells = cut(cells.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "weight"))
+    copies = cut(round_cells(tilt(cells, max_repeats), max_repeats))
+    done = cut(limits(keys, copies, bucket_rows).withColumnsRenamed({"source": "_s", "size": "_z"}))
+    if done.count() <= BROADCAST_CELLS:
+        done = F.broadcast(done)
+    out = (sized if kept else keys.withColumn("row", F.struct(F.lit(0).alias("id")))).join(done, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
+    # rows of one hash are told apart by their place; there is one, as a rule, and its share is 1
+    luck = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / F.lit(1 << 20)
+    more = F.when(F.col("h") < F.col("last"), 1).when((F.col("h") == F.col("last")) & (luck < F.col("share")), 1).otherwise(0)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "id", "source", "size", "source_size", "target", "rate", (F.col("base") + more).cast("long").alias("copies"))

@@ -62,11 +62,42 @@ def test_mixing_splits_hot_cells(spark):
 
 
 def test_mixing_odd_rows(odd, spark):
-    out = mixing.mix(odd.drop("size"))
+    out = mixing.mix(odd, keep=odd.columns)
     assert out.count() == len(ODD) and out.where("size = 0").count() == 3
+    assert out.where("key = 'x' and h = 'x' and digest = 'x' and node = 'x'").count() == len(ODD) and sorted(out.columns) == sorted({*odd.columns, *mixing.RESULT})
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_rates_are_tilted_and_meet_targets(spark, docs):
+    """Against a plain solution: bisection on each source's multiplier, over all documents."""
+    import math
+
+    got = mixing.mix(docs).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    for rows in by.values():
+        size, target = rows[0].source_size, rows[0].target
+        if target >= 2 * size - 1e-6:
+            assert all(r.rate == 2 for r in rows if r.size)
+            continue
+        mean = sum(r.size**2 for r in rows) / size
+        low, high = -64.0, 64.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            took = sum(r.size * min(2.0, math.exp(min(50, lam * r.size / mean))) for r in rows)
+            low, high = (low, lam) if took > target else (lam, high)
+        assert all(abs(r.rate - min(2.0, math.exp(min(50, lam * r.size / mean)))) < 1e-6 for r in rows if r.size)
+
+
+def test_mixing_of_rows_without_ids(spark):
+    """Null ids in one source and size, and rows that are equal throughout, are no hot key."""
+    df = spark.range(4000).selectExpr("cast(null as long) as doc_id", "case when id % 2 = 0 then concat('a b c d', id) else 'p q r s' end as text", "case when id % 4 < 2 then 'x' else 'y' end as source")
+    out = mixing.mix(df, bucket_rows=100).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("t"), F.max("copies").alias("c"))
+    for r in out.collect():
+        assert abs(r.taken - r.t) <= 0.05 * r.t and r.c <= 2
+
+
 # 2: near-duplicates
 
 

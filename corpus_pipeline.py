@@ -53,7 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, with the number of the copy."""
-    mixed = mixing.mix(docs, keep=COLUMNS)
+    mixed = mixing.mix(docs, keep=("doc_id", "text", "lang", "n_chars"))
     return mixed.where("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
 
 

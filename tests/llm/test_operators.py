@@ -233,14 +233,40 @@ def test_pii_odd_rows(odd, spark, detector):
 # 5: repeated passages
 
 
-def test_repeats_are_found(docs, rows):
+def repeated(spark, texts, **settings):
     got = {}
-    for r in suffixes.repeated_passages(docs).collect():
+    for r in suffixes.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string"), **settings).collect():
         got.setdefault(r.id, set()).update(range(r.start, r.end))
-    want = brute.repeats(rows)
-    assert set(got) == set(want)
-    assert all(got[i] <= want[i] for i in got)
-    assert sum(len(want[i] - got[i]) for i in want) <= 0.002 * sum(map(len, want.values()))
+    return got
+
+
+def plain_repeats(texts):
+    return {i: w for i, w in brute.repeats(texts).items() if w}
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 20])
+def test_repeats_are_exact(spark, rows, hot):
+    assert repeated(spark, rows, hot=hot) == plain_repeats(rows)
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 40])
+def test_rare_words_before_a_hot_line(spark, hot):
+    """Pairs share ten words and a line that hundreds of documents have with other words after it."""
+    rng = random.Random(3)
+    line = [f"f{k}" for k in range(42)]
+    after = lambda: [f"c{rng.randrange(40)}" for _ in range(40)]
+    texts = [(i, " ".join([f"u{rng.randrange(50)}" for _ in range(30)] + line + after())) for i in range(200)]
+    for i in range(30):
+        rare = [f"r{i}_{k}" for k in range(10)]
+        texts += [(1000 + 2 * i + j, " ".join([f"z{rng.random()}" for _ in range(20)] + rare + line + after())) for j in (0, 1)]
+    want = plain_repeats(texts)
+    assert repeated(spark, texts, hot=hot) == want and set(range(1000, 1060)) <= set(want)
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 7])
+def test_texts_that_say_one_thing(spark, hot):
+    texts = [(1, "la " * 3000), (2, "la " * 70), (3, "x y z " * 500), (4, "q " + "x y z " * 30), (5, "la " * 49), (6, " ".join(["la"] * 60 + ["no"] * 60)), (7, "mm " * 200_000)]
+    assert repeated(spark, texts, hot=hot) == plain_repeats(texts[:-1])
 
 
 def test_planted_passage(spark):
@@ -377,22 +403,49 @@ def test_languages_held_out(spark, docs):
     assert out.where("lang_score < 0 or lang_score > 1").count() == 0
 
 
-def test_phrases_are_greedy():
-    """Against a plain parse of one short text."""
-    parser = langid.CrossParser({"a": "the cat sat on the mat", "b": "der hund lief in den wald"})
-    text = "the hund sat in the wald xyz"
-    symbols, ends, _ = parser.encode([text])
-    counts = parser.phrases(symbols, ends)[0]
-    for k, sample in enumerate(("the cat sat on the mat", "der hund lief in den wald")):
-        known = [parser.symbols.get(ord(c), 0 if c == " " else 1) for c in sample]
-        have = {tuple(known[i:j]) for i in range(len(known)) for j in range(i + 1, len(known) + 1)}
-        n, at, s = 0, 0, symbols.tolist()
+SAMPLES = {"en": "the cat sat on the mat and ran " * 3, "de": "der hund lief in den wald äöü", "zh": "我们今天去公园玩他们明天也会来这里学习中文很有意思", "ja": "わたしたちは今日公園で遊びます明日も学習"}
+
+
+@pytest.mark.parametrize("dense", [langid.DENSE, 300])
+def test_phrases_are_greedy(dense, monkeypatch):
+    """Against a plain parse, also over many pieces and chunks, and with letters of which few are frequent."""
+    monkeypatch.setattr(langid, "DENSE", dense)
+    parser = langid.CrossParser(SAMPLES)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["the ", "cat", "hund ", "wald", "我们", "今天", "x", "q!", "aaaa", "学习中", "é", "ます"]) for _ in range(rng.randint(1, 300))) for _ in range(20)] + ["a" * 1500, "the " * 400]
+
+    def plain(text, sample):
+        s, known = (",".join(map(str, parser.encode([t])[0].tolist())).split(",") for t in (text, sample))
+        whole, n, at = f",{','.join(known)},", 0, 0
         while at < len(s):
             end = at
-            while end < len(s) and tuple(s[at : end + 1]) in have:
+            while end < len(s) and f",{','.join(s[at : end + 1])}," in whole:
                 end += 1
             n, at = n + 1, max(end, at + 1)
-        assert int(counts[k]) == n
+        return n
+
+    symbols, ends, _ = parser.encode(texts)
+    want = [[plain(t, SAMPLES[k]) for k in parser.languages] for t in texts]
+    for piece in (7, 64, 512):
+        assert parser.phrases(symbols, ends, piece).tolist() == want
+    for k in (0, -2):
+        alone, end, _ = parser.encode([texts[k]])
+        assert parser.phrases(alone, end, 64, 400).tolist() == [want[k]]
+
+
+def test_languages_of_many_letters(spark):
+    """Chinese and Japanese are told apart by letters of which each is rare."""
+    parser = langid.CrossParser(SAMPLES)
+    assert parser.width == 2 + len({c for s in SAMPLES.values() for c in s if c.isalpha()})
+    rows = [(1, "他们今天去公园学习", "zh"), (2, "明日も公園で遊びます", "ja"), (3, "the mat", "en"), (4, "ж" * 50, None)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), parser).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if lang)
+
+
+def test_learning_takes_whole_texts(spark):
+    rows = [(i, f"{'abc ' * 300} tail{'xyz'[i % 3]}", "l1") for i in range(50)] + [(100, "long " * 30_000, "l1"), (101, "only " * 30_000, "l2")]
+    parser = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_per_language=10, sample_chars=3000)
+    assert parser.languages == ["l1", "l2"] and {ord(c) for c in "tailonly"} <= set(parser.symbols) and ord("g") not in parser.symbols
 
 
 def test_languages_odd_rows(odd, spark):
@@ -468,6 +521,46 @@ AND FITNESS."""
     assert [len(got[i].license_ids) for i in (1, 2, 3, 4)] == [3, 3, 2, 3]
 
 
+def test_other_notices(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Some University nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    zlib = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software."""
+    want = {
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0\nInternational License.",
+        "CC-BY-NC-SA-3.0": "It is under the Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.",
+        "Apache-2.0,MIT": "// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;",
+        "GPL-2.0-only": "/* SPDX-License-Identifier: GPL-2.0-only */",
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy.",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file",
+        "EPL-2.0": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at",
+        "AGPL-3": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+        "BSD-3-Clause": bsd, "Zlib": zlib, "": "The poet had a licence. Creative commons attribution is a thing. Permission is granted to dream.",
+    }
+    got = licenses.scan(spark.createDataFrame(list(want.items()), "want string, text string")).collect()
+    assert {r.want: ",".join(r.licenses) for r in got} == {w: w for w in want}
+
+
 def test_every_sentence_has_a_cue():
     assert all(any(c in s for c in licenses.CUES) for s in licenses.sentences())
 

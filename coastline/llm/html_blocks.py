@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
-from typing import NamedTuple
 
 #: Elements whose content is no text of the page.
-RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "title", "select", "button", "object", "canvas", "math")
+RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "title", "select")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math mi mn mo mrow ms mtext msup msub mfrac msqrt object q s samp small span strike strong sub sup time tt u var wbr".split()
+)
 #: An open one ends where another of its group begins.
-SELF_CLOSING = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
+SELF_CLOSING = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>?",
@@ -19,25 +21,51 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]{2,}")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
+class Node:
+    """An open element: its parent, and the features that its ancestors don't have."""
+
+    __slots__ = ("depth", "fresh", "parent", "score", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, fresh: tuple[str, ...]):
+        self.tag, self.parent, self.fresh, self.score = tag, parent, fresh, None
+        self.depth = parent.depth + 1 if parent else 1
 
+    def features(self) -> set[str]:
+        """Those of the element and all around it."""
+        out, node = set(), self
+        while node:
+            out.update(node.fresh)
+            node = node.parent
+        return out
 
-class Block(NamedTuple):
-    text: str
-    path: tuple[str, ...]  # the open elements, outermost first: "tag name name"
-    linked: int  # characters inside links
 
+class Block:
+    __slots__ = ("linked", "node", "text")
 
-def _names(attrs: str) -> str:
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked  # linked: characters inside links
+
+
+def _names(attrs: str) -> list[str]:
+    """Words of class, id and role names; "mainContent" has two."""
     if "=" not in attrs:
-        return ""
-    words = [w for m in _NAMES.finditer(attrs) for w in _PART.findall((m[1] or m[2] or m[3] or "").lower())]
-    return " ".join(dict.fromkeys(words))
+        return []
+    return [w for m in _NAMES.finditer(attrs) for w in _PART.findall(_HUMP.sub(" ", m[1] or m[2] or m[3] or "").lower())]
 
 
 def blocks(html: str | None) -> list[Block]:
-    """The page's non-empty blocks in order; white space inside each is one space."""
+    """The page's non-empty blocks in order; white space inside each is one space.
+
+    Time and memory grow with the page's length, whatever its depth: an
+    element knows its parent, and only what it adds to it.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[Node, list[str]]] = []
+    seen: Counter = Counter()  # features of the open elements
+    tags: Counter = Counter()
     parts: list[str] = []
     linked, links = 0, 0
     html = html or ""
@@ -47,7 +75,7 @@ def blocks(html: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(f"{t} {n}" if n else t for t, n in stack), linked))
+                out.append(Block(text, stack[-1][0] if stack else None, linked))
             parts.clear()
         linked = 0
 
@@ -59,6 +87,11 @@ def blocks(html: str | None) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
+    def pop() -> None:
+        node, own = stack.pop()
+        tags[node.tag] -= 1
+        seen.subtract(own)
+
     at = 0
     while at < len(html):
         m = _TOKEN.search(html, at)
@@ -84,16 +117,19 @@ def blocks(html: str | None) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    links = 0
-                    break
+            if tags[tag]:
+                while stack[-1][0].tag != tag:
+                    pop()
+                pop()
+                links = 0
             continue
-        group = SELF_CLOSING.get(tag)
-        if group and stack and stack[-1][0] in group.split():
-            stack.pop()
+        group = SELF_CLOSING.get(tag, "").split()
+        while stack and stack[-1][0].tag in group:
+            pop()
         if not attrs.endswith("/"):
-            stack.append((tag, _names(attrs)))
+            own = [] if tag in ("html", "body") else list(dict.fromkeys([f"in:{tag}", *(f"name:{n}" for n in _names(attrs))]))
+            stack.append((Node(tag, stack[-1][0] if stack else None, tuple(f for f in own if not seen[f])), own))
+            seen.update(own)
+            tags[tag] += 1
     flush()
     return out

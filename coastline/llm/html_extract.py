@@ -2,58 +2,89 @@
 
 A page is cut into leaf blocks, each with the chain of elements it stands in.
 Features are those elements' tags and the words of their class, id and role
-names, and the block's length, punctuation and share of linked text. A
-linear-chain field, trained on labelled pages, says by Viterbi decoding which
-blocks are the article; their texts are joined.
-
-The labelled pages are ``TRAINING_PAGES`` pages made from layouts, fitted on
-the driver in a few seconds. Pages are handled one by one where they lie; there
-is no shuffle.
-
-Rows: a null or empty page has an empty text; broken markup, unclosed elements
-and cut-off pages are read as far as they go; repeated rows get the same
-answer; an empty table gives an empty result; further columns pass through, but
-for the page.
+names; the block's length, end, share of linked text and words that boilerplate
+uses; its place in the page; and the kinds of its neighbours. A linear-chain
+field, trained on labelled pages, says by Viterbi decoding which blocks are the
+article; their texts are joined.
+
+The labelled pages are ``TRAINING_PAGES`` pages made from layouts: with telling
+tags, names or roles, with other names around them, in tables, and, in a third of
+them, with none, where only menus and footers stand beside the article. They are
+fitted on the driver in some seconds. Pages are handled one by one where they lie;
+there is no shuffle.
+
+Rows: a null or empty page has an empty text; broken markup, unclosed elements of
+any depth and cut-off pages are read as far as they go, in time linear in their
+length; repeated rows get the same answer; labels that are equally probable go to
+boilerplate; an empty table gives an empty result; further columns pass through,
+but for the page and one named main_text, which is replaced.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from coastline.llm.crf import ChainCRF
-from coastline.llm.html_blocks import Block, blocks
+from coastline.llm.html_blocks import Block, Node, blocks
 
-TRAINING_PAGES = 480
+TRAINING_PAGES = 640
 
 
-@lru_cache(maxsize=4096)
-def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    out = {"bias"}
-    for element in path:
-        tag, *names = element.split(" ")
-        if tag not in ("html", "body"):
-            out.add(f"in:{tag}")
-            out.update(f"name:{n}" for n in names)
-    last = path[-1].split(" ", 1)[0] if path else ""
-    return tuple(sorted(out | {f"last:{last}"}))
+#: Words that boilerplate says.
+SAYS = {
+    "legal": r"©|\(c\) ?[12]|copyright|rights reserved|privacy|terms of|imprint|impressum|disclaimer",
+    "cookie": r"cookie|consent|gdpr|accept all|we use|tracking",
+    "ask": r"subscribe|newsletter|sign ?up|log ?in|sign ?in|register|password|your e-?mail|search",
+    "social": r"share (?:this|on)|tweet|follow us|facebook|twitter|instagram|whatsapp",
+    "reply": r"^repl(?:y|ies)|comments?\b|says?:$|wrote:$|leave a",
+    "ad": r"advert|sponsor|promot|buy now|special offer|% off|shop now|free trial",
+    "more": r"^related|read (?:more|next|also)|you (?:may|might) (?:also )?like|trending|most (?:read|popular)|recommended|recent posts|^tags?:|^categor",
+    "menu": r"^(?:home|about|contact|menu|news|archive|sitemap|skip to|back to top|next|previous|prev)\b",
+}
+_SAYS = {k: re.compile(v, re.IGNORECASE) for k, v in SAYS.items()}
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def text_features(b: Block) -> tuple[str, ...]:
-    n = len(b.text)
-    size = 0 if n < 12 else 1 if n < 40 else 2 if n < 120 else 3 if n < 400 else 4
-    share = 0 if not b.linked else 1 if 2 * b.linked < n else 2
-    return f"size:{size}", f"links:{share}", f"stop:{b.text[-1] in '.!?'}"
+def _size(n: int) -> int:
+    return 0 if n < 12 else 1 if n < 40 else 2 if n < 120 else 3 if n < 400 else 4
+
+
+def path_features(node: Node | None) -> set[str]:
+    return (node.features() if node else set()) | {"bias", f"last:{node.tag if node else ''}"}
+
+
+def text_features(found: list[Block]) -> list[tuple[str, ...]]:
+    """For each block of a page what its text, its place and its neighbours say."""
+    n = len(found)
+    size = [_size(len(b.text)) for b in found]
+    share = [0 if not b.linked else 1 if 2 * b.linked < len(b.text) else 2 for b in found]
+    kind = [f"{s}{k}{'h' if b.node and b.node.tag in HEADINGS else ''}" for s, k, b in zip(size, share, found, strict=True)]
+    out = []
+    before = max(len(b.text) for b in found) if found else 0
+    for i, b in enumerate(found):
+        has = [f"says:{k}" for k, p in _SAYS.items() if p.search(b.text)]
+        stop = b.text[-1] in ".!?…\"”»)"
+        out.append(
+            (
+                f"size:{size[i]}", f"links:{share[i]}", f"stop:{stop}", f"kind:{kind[i]}:{stop}", f"place:{8 * i // n}", f"edge:{min(i, 2)}:{min(n - 1 - i, 2)}", f"before:{kind[i - 1] if i else ''}",
+                f"after:{kind[i + 1] if i + 1 < n else ''}", f"most:{4 * len(b.text) >= before}", f"same:{bool(i) and b.node is found[i - 1].node}", f"beside:{bool(i) and b.node is not None and found[i - 1].node is not None and b.node.parent is found[i - 1].node.parent}", *has,
+            )
+        )
+    return out
 
 
 def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, list[int]]]:
     """(page, label of each of its blocks): pages made from layouts."""
     rng = random.Random(seed)
     pick = rng.choice
+    unnamed = False
+    plain_letters = str.maketrans("äéñ", "aen")
 
     def words(a: int, b: int) -> str:
         return " ".join("".join(pick("bcdfghklmnprstvwz") + pick("aeiouäéñ") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(a, b)))
@@ -61,11 +92,19 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
     def sentences(a: int, b: int) -> str:
         return " ".join(f"{words(4, 14).capitalize()}{pick('...!?')}" for _ in range(rng.randint(a, b)))
 
-    def wrapped(tags: list[str], names: list[str], inner: str, semantic: float = 0.5) -> str:
-        tag = pick(tags) if rng.random() < semantic else pick(["div", "section", "div"])
+    odd = lambda: pick([words(1, 1).lower().translate(plain_letters) + pick(["", "-x", "2", "_box"]), "row", "col-md-8", "inner", "wrap", "clearfix", "css-1x9", "block"])
+
+    def wrapped(tags: list[str], names: list[str], inner: str, semantic: float = 0.5, role: str = "") -> str:
+        """The inner part in an element with a telling tag, name or role, with telling and other names, or with none of them."""
+        if unnamed and rng.random() < 0.8:
+            return pick(["<div>{}</div>", "<section>{}</section>", "<td>{}</td>", '<div class="{}">{{}}</div>'.format(odd()), '<div id="{}">{{}}</div>'.format(odd())]).format(inner)
+        tag = pick(tags) if tags and rng.random() < semantic else pick(["div", "section", "div", "td"])
         if tag in tags and rng.random() < 0.6:
             return f"<{tag}>{inner}</{tag}>"
-        return f'<{tag} {pick(["class", "class", "id"])}="{pick(names)}">{inner}</{tag}>'
+        if role and rng.random() < 0.25:
+            return f'<{tag} role="{role}">{inner}</{tag}>'
+        around = [odd() for _ in range(rng.choice([0, 0, 1, 4]))]
+        return f'<{tag} {pick(["class", "class", "id"])}="{" ".join([*around, pick(names)])}">{inner}</{tag}>'
 
     def links(a: int, b: int) -> tuple[str, int]:
         k = rng.randint(a, b)
@@ -78,18 +117,24 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
     def boiler(kind: str) -> tuple[str, list[int]]:
         if kind == "nav":
             inner, k = links(3, 8)
-            return wrapped(["nav"], ["nav", "menu", "navbar", "topnav", "breadcrumb", "navigation"], inner), [0] * k
+            return wrapped(["nav"], ["nav", "menu", "navbar", "topnav", "breadcrumb", "navigation", "toc"], inner, role="navigation"), [0] * k
         if kind == "header":
-            return wrapped(["header"], ["header", "site-header", "masthead", "banner"], f"<h1>{words(1, 3)}</h1><p>{words(2, 8)}</p>"), [0, 0]
+            return wrapped(["header"], ["header", "site-header", "masthead", "banner"], f"<h1>{words(1, 3)}</h1><p>{words(2, 8)}</p>", role="banner"), [0, 0]
         if kind == "footer":
-            return wrapped(["footer"], ["footer", "site-footer", "copyright"], f"&copy; {words(1, 3)} {sentences(1, 3)}"), [0]
+            mark = pick(["&copy; {}", "&copy; {} All rights reserved.", "Copyright {}", "{} Privacy policy.", "{}"]) if not unnamed else pick(["&copy; {}", "Copyright {}", "&copy; 20{} Terms of use"])
+            inner, k = (f"<p>{mark.format(words(1, 3))} {sentences(1, 3) if rng.random() < 0.6 else ''}</p>", 1)
+            if rng.random() < 0.3:
+                more, n_more = links(2, 5)
+                inner, k = inner + more, k + n_more
+            return wrapped(["footer"], ["footer", "site-footer", "copyright", "colophon"], inner, role="contentinfo"), [0] * k
         if kind == "ad":
             if rng.random() < 0.5:
                 return wrapped([], ["ad", "ads", "advert", "sponsored", "promo", "advertisement", "ad-box", "banner-ad"], sentences(1, 3), 0), [0]
             inner, k = notes(1, 2)
             return wrapped([], ["ad", "ads", "advert", "sponsored", "promo"], inner, 0), [0] * k
         if kind == "notice":
-            return wrapped([], ["cookie", "cookies", "notice", "alert", "consent", "gdpr", "popup", "modal", "cookie-banner"], f"<p>{sentences(1, 3)}</p>", 0), [0]
+            said = pick(["We use cookies. ", "This site uses cookies. ", "Please accept. ", ""]) + sentences(1, 2)
+            return wrapped([], ["cookie", "cookies", "notice", "alert", "consent", "gdpr", "popup", "modal", "cookie-banner"], f"<p>{said}</p><button>{words(1, 2)}</button>", 0), [0, 0]
         if kind == "aside":
             if rng.random() < 0.5:
                 inner, k = links(2, 6)
@@ -97,7 +142,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
             inner, k = notes(1, 3)
             return wrapped(["aside"], ["sidebar", "related", "widget", "share", "social"], inner), [0] * k
         if kind == "form":
-            return wrapped(["form"], ["form", "search", "newsletter", "subscribe", "login", "signup"], f"<p>{sentences(1, 2)}</p><label>{words(1, 3)}</label><input>", 0.7), [0, 0]
+            return wrapped(["form"], ["form", "search", "newsletter", "subscribe", "login", "signup"], f"<p>{pick(['Subscribe to our newsletter. ', 'Sign up. ', 'Search ', ''])}{sentences(1, 2)}</p><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>", 0.7, role="search"), [0, 0, 0]
         inner, k = "", rng.randint(1, 5)
         for _ in range(k):
             inner += f'<div class="{pick(["comment", "comment-body", "reply"])}"><p>{sentences(1, 5)}</p></div>'
@@ -111,6 +156,9 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
             r = rng.random()
             if r < 0.7:
                 text = pick([sentences(1, 8), words(1, 3) + ".", sentences(1, 2), words(1, 12)])
+                if not unnamed and rng.random() < 0.15:  # an article may say what boilerplate says
+                    said = pick(["All rights reserved.", "Share this", "Read more", "We use cookies.", "Subscribe to our newsletter.", "Copyright", "Terms of use", "Home", "Sign up", "Comments", "Buy now"])
+                    text = pick([said, said, f"{text} {said}", f"{said} {text}"])
                 if rng.random() < 0.2:
                     text = f"<b>{text}</b>"
                 if rng.random() < 0.15:
@@ -125,50 +173,62 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
             elif r < 0.9:
                 inner, labels = inner + f"<pre>{words(2, 8)}</pre>", [*labels, 1]
             else:
+                if unnamed:
+                    continue
                 more, own = boiler(pick(["ad", "aside", "form", "comments", "notice"]))
                 inner, labels = inner + more, labels + own
-        return wrapped(["article", "main", "article"], ["content", "post", "entry", "article", "story", "main-content", "post-body"], inner, 0.75), labels
+        return wrapped(["article", "main", "article"], ["content", "post", "entry", "article", "story", "main-content", "post-body", "bodyContent", "page-content", "text", "body-text"], inner, 0.6, role="main"), labels
 
     out = []
     for _ in range(n):
         page, labels = "", []
-        before = [k for k in ("notice", "header", "nav", "ad", "aside") if rng.random() < 0.55]
-        after = [k for k in ("aside", "comments", "form", "ad", "footer", "notice") if rng.random() < 0.5]
+        unnamed = rng.random() < 0.35  # then only what can be told without names
+        before = [k for k in ("notice", "header", "nav", "ad", "aside") if rng.random() < 0.55 and (not unnamed or k == "nav")]
+        after = [k for k in ("aside", "comments", "form", "ad", "footer", "notice") if rng.random() < 0.5 and (not unnamed or k == "footer")]
         rng.shuffle(before)
         for make in [*before, None, *after]:
             html, own = article() if make is None else boiler(make)
             page, labels = page + pick(["", "\n", " "]) + html, labels + own
         if rng.random() < 0.3:
             page = f'<div class="{pick(["wrapper", "container", "page", "row"])}">{page}</div>'
+        elif rng.random() < 0.2 or "<td" in page:
+            page = f"<table><tr>{page}</tr></table>"
         out.append((f"<html><head><title>{words(1, 4)}</title></head><body>{page}</body></html>", labels))
     return out
 
 
+def page_features(found: list[Block]) -> list[list[str]]:
+    return [[*sorted(path_features(b.node)), *more] for b, more in zip(found, text_features(found), strict=True)]
+
+
 @cache
 def trained(n: int = TRAINING_PAGES) -> ChainCRF:
-    pages = []
-    for html, labels in labelled_pages(n):
-        found = blocks(html)
-        pages.append(([path_features(b.path) + text_features(b) for b in found], labels))
-    return ChainCRF().fit(pages)
+    return ChainCRF().fit([(page_features(blocks(html)), labels) for html, labels in labelled_pages(n)])
 
 
 class Extractor:
     def __init__(self, model: ChainCRF):
         self.model = model
-        self.known: dict[tuple[str, ...], float] = {}
 
-    def _score(self, b: Block) -> float:
-        if b.path not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            self.known[b.path] = self.model.score(path_features(b.path))
-        return self.known[b.path] + self.model.score(text_features(b))
+    def _path(self, node: Node | None) -> float:
+        """The score of an element: that of its parent and of what it adds."""
+        todo = []
+        while node is not None and node.score is None:
+            todo.append(node)
+            node = node.parent
+        score = node.score if node is not None else self.model.score(("bias",))
+        for n in reversed(todo):
+            score = n.score = score + self.model.score(n.fresh)
+        return score
+
+    def labels(self, found: list[Block]) -> list[int]:
+        last = {t: self.model.score((f"last:{t}",)) for t in {b.node.tag if b.node else "" for b in found}}
+        scores = [self._path(b.node) + last[b.node.tag if b.node else ""] + self.model.score(more) for b, more in zip(found, text_features(found), strict=True)]
+        return self.model.decode(scores)
 
     def text(self, html: str | None) -> str:
         found = blocks(html)
-        labels = self.model.decode([self._score(b) for b in found])
-        return " ".join(b.text for b, y in zip(found, labels, strict=True) if y)
+        return " ".join(b.text for b, y in zip(found, self.labels(found), strict=True) if y)
 
 
 def extract(pages: DataFrame, html_col: str = "html", training_pages: int = TRAINING_PAGES) -> DataFrame:

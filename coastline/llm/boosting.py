@@ -1,39 +1,38 @@
 """Small boosted trees for a bounded labelled sample, applied as SQL expressions.
 
-The trees are fitted on the driver, in NumPy, and become one column expression
-(nested conditions on the feature columns), so that scoring runs inside Spark's
-own code.
+The trees are fitted on the driver, in NumPy, and become one SQL expression
+(nested conditions on the features), so that scoring runs inside Spark's own code.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def _leaf(g: np.ndarray, h: np.ndarray) -> float:
     return float(-g.sum() / (h.sum() + 1.0))
 
 
-def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
-    """A leaf's value, or (feature, threshold, tree if at most, tree if above)."""
-    if depth == 0:
+def _tree(x: np.ndarray, bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int):
+    """A leaf's value, or (feature, threshold, tree if at most, tree if above); bins: each feature's values by rank."""
+    if depth == 0 or len(g) < 2:
         return _leaf(g, h)
     whole, best = g.sum() ** 2 / (h.sum() + 1.0), (1e-9, None)
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= t
-            gain = g[low].sum() ** 2 / (h[low].sum() + 1.0) + g[~low].sum() ** 2 / (h[~low].sum() + 1.0) - whole
-            if gain > best[0]:
-                best = (gain, (f, float(t), low))
+    for f, cut in enumerate(cuts):
+        if not len(cut):
+            continue
+        gl, hl = (np.cumsum(np.bincount(bins[:, f], v, len(cut) + 1))[:-1] for v in (g, h))
+        gain = gl**2 / (hl + 1.0) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1.0) - whole
+        k = int(gain.argmax())
+        if gain[k] > best[0]:
+            best = (float(gain[k]), (f, float(cut[k])))
     if best[1] is None:
         return _leaf(g, h)
-    f, t, low = best[1]
-    return f, t, _tree(x[low], g[low], h[low], depth - 1), _tree(x[~low], g[~low], h[~low], depth - 1)
+    f, t = best[1]
+    low = x[:, f] <= t
+    return f, t, _tree(x[low], bins[low], cuts, g[low], h[low], depth - 1), _tree(x[~low], bins[~low], cuts, g[~low], h[~low], depth - 1)
 
 
 def _apply(tree, x: np.ndarray) -> np.ndarray:
@@ -49,12 +48,15 @@ class BoostedTrees:
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 2, rate: float = 0.4):
         held = np.arange(len(y)) % 3 == 2
         self.rate, self.trees = rate, []
-        score = np.zeros(int((~held).sum()))
+        score, own = np.zeros(int((~held).sum())), x[~held]
+        values = [np.unique(own[:, f]) for f in range(x.shape[1])]
+        cuts = [(v[1:] + v[:-1]) / 2 for v in values]
+        bins = np.stack([np.searchsorted(v, own[:, f]) for f, v in enumerate(values)], 1)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-score))
-            tree = _tree(x[~held], p - y[~held], p * (1 - p), depth)
+            tree = _tree(own, bins, cuts, p - y[~held], p * (1 - p), depth)
             self.trees.append(tree)
-            score += rate * _apply(tree, x[~held])
+            score += rate * _apply(tree, own)
         self.held, self.scale, self.shift = held, *self._calibrate(self.raw(x[held]), y[held])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
@@ -75,27 +77,22 @@ class BoostedTrees:
             a, b = a - step[0], b - step[1]
         return float(a), float(b)
 
-    def threshold(self, x: np.ndarray, y: np.ndarray, precision: float) -> float:
-        """The smallest probability from which on held-out rows reach the precision; above 1 if none does."""
-        p, y = self.probability(x[self.held]), y[self.held]
+    def threshold(self, x: np.ndarray, y: np.ndarray, precision: float, own: np.ndarray) -> float:
+        """The smallest probability from which on the held-out rows among ``own`` reach the precision; above 1 if none does."""
+        p, y = self.probability(x[self.held & own]), y[self.held & own]
         order = np.argsort(-p)
         right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
         ends = np.flatnonzero(np.append(p[order][1:] < p[order][:-1], True))  # ties count together
         good = [k for k in ends if right[k] >= precision]
         return float(p[order][good[-1]]) - 1e-9 if good else 2.0
 
-    def column(self, features: Sequence[Column]) -> Column:
-        """The calibrated probability as an expression of the feature columns."""
+    def sql(self, feature: Callable[[int], str]) -> str:
+        """The calibrated probability as an SQL expression; feature: the expression of a feature by its number."""
 
-        def of(tree) -> Column:
+        def of(tree) -> str:
             if not isinstance(tree, tuple):
-                return F.lit(self.rate * tree)
+                return f"{self.rate * tree!r}D"
             f, t, low, high = tree
-            return F.when(features[f] <= F.lit(t), of(low)).otherwise(of(high))
-
-        total: Column = F.lit(0.0)
-        for tree in self.trees:
-            total = total + of(tree)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(total * F.lit(self.scale) + F.lit(self.shift))))
-
+            return f"CASE WHEN {feature(f)} <= {t!r}D THEN {of(low)} ELSE {of(high)} END"
 
+        return f"1D / (1D + exp(-({' + '.join(of(t) for t in self.trees)}) * {self.scale!r}D - {self.shift!r}D))"

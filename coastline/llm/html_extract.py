@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from coastline.llm.crf import ChainCRF
 from coastline.llm.html_blocks import Block, Node, blocks
 
-TRAINING_PAGES = 640
+TRAINING_PAGES = 800
 
 
 #: Words that boilerplate says.
@@ -145,7 +145,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
             return wrapped(["form"], ["form", "search", "newsletter", "subscribe", "login", "signup"], f"<p>{pick(['Subscribe to our newsletter. ', 'Sign up. ', 'Search ', ''])}{sentences(1, 2)}</p><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>", 0.7, role="search"), [0, 0, 0]
         inner, k = "", rng.randint(1, 5)
         for _ in range(k):
-            inner += f'<div class="{pick(["comment", "comment-body", "reply"])}"><p>{sentences(1, 5)}</p></div>'
+            said = pick([sentences(1, 5), words(1, 4) + "."])
+            inner += pick([f"<p>{said}</p>", f'<div class="{pick(["comment", "comment-body", "reply"])}"><p>{said}</p></div>'])
         return wrapped([], ["comments", "comment-list", "discussion", "responses", "disqus"], inner, 0), [0] * k
 
     def article() -> tuple[str, list[int]]:
@@ -154,7 +155,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
             inner, labels = f"<h1>{words(2, 9)}{pick(['', '', '.'])}</h1>", [1]
         for _ in range(rng.randint(1, 9)):
             r = rng.random()
-            if r < 0.7:
+            if r < 0.62:
                 text = pick([sentences(1, 8), words(1, 3) + ".", sentences(1, 2), words(1, 12)])
                 if not unnamed and rng.random() < 0.15:  # an article may say what boilerplate says
                     said = pick(["All rights reserved.", "Share this", "Read more", "We use cookies.", "Subscribe to our newsletter.", "Copyright", "Terms of use", "Home", "Sign up", "Comments", "Buy now"])
@@ -164,13 +165,13 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
                 if rng.random() < 0.15:
                     text += f' <a href="/x">{words(1, 3)}</a>'
                 inner, labels = inner + f"<p>{text}</p>", [*labels, 1]
-            elif r < 0.78:
+            elif r < 0.7:
                 inner, labels = inner + f"<h2>{words(1, 5)}</h2>", [*labels, 1]
-            elif r < 0.85:
+            elif r < 0.77:
                 inner, labels = inner + f"<ul><li>{sentences(1, 1)}</li><li>{words(1, 6)}</li></ul>", [*labels, 1, 1]
-            elif r < 0.88:
+            elif r < 0.8:
                 inner, labels = inner + f"<blockquote>{sentences(1, 3)}</blockquote>", [*labels, 1]
-            elif r < 0.9:
+            elif r < 0.82:
                 inner, labels = inner + f"<pre>{words(2, 8)}</pre>", [*labels, 1]
             else:
                 if unnamed:

@@ -1,133 +1,235 @@
 """Personal data: candidate spans, scored by boosted trees.
 
 Base patterns (``pii_patterns``) give spans that always stay. Beside them,
-high-recall generators propose spans that may overlap: addresses spelled with
-"at" and "dot", phone numbers without a country code, IPv6 addresses, and runs
-of card length that fail the check digit. Features of a candidate's format and
-of the text before it go into boosted trees; candidates whose calibrated
-probability reaches the threshold of their kind are added, unless they overlap
-a base span.
+high-recall generators, several a kind, propose spans that may overlap: addresses
+spelled with "at" and "dot" or with spaces, phone numbers in any grouping or none,
+IPv6 addresses with and without "::" and anything that looks like them, IPv4
+addresses with their dots spelled out, and runs of card length that fail the check
+digit or use other separators. Features of a candidate's format and of the text
+around it go into boosted trees, once a candidate. Those whose calibrated
+probability reaches the threshold of their kind are accepted; where accepted ones
+overlap, the most probable stays (the longer of equals, then the earlier, compared
+with the ``NEAR`` candidates on either side). A candidate that overlaps a base span
+is not scored: its place is taken.
 
 The trees are fitted on ``labelled_examples``: at most ``EXAMPLES`` short texts
-made from templates, with the features computed by the same expressions.
-Everything on the way of the documents is built-in functions: no shuffle, no
-Python on the executors.
-
-Rows: a null text is the empty one and has no spans; repeated rows get the same
-answer; an empty table gives an empty result; further columns pass through.
+made from templates, whose labels are drawn with a probability that depends on
+format and context, so that neither settles a label alone; the features are
+computed by the same expressions. A third of the examples is held out to calibrate
+the probabilities and to choose the thresholds. Everything on the way of the
+documents is built-in functions: no shuffle, no Python on the executors.
+
+Rows: a null text is the empty one and has no spans; texts of any length are read
+whole; repeated rows get the same answer; an empty table gives an empty result;
+further columns pass through, but those named pii_base or pii_all, which are
+replaced.
 """
 
 from __future__ import annotations
 
 import random
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coastline.llm.boosting import BoostedTrees
-from coastline.llm.pii_patterns import KINDS, LINEAR, NEEDS, SPAN, base_spans, digits, luhn, positions
-
-EXAMPLES = 1_200
-PRECISION = 0.98
-CONTEXT = 32
-
+from coastline.llm.common import fresh
+from coastline.llm.pii_patterns import KINDS, LINEAR, NEEDS, base_spans, digits, luhn, positions
+
+EXAMPLES = 2_400
+PRECISION = 0.9
+#: Characters before and after a candidate that features look at.
+CONTEXT = 40
+#: Candidates on either side that an accepted one is compared with.
+NEAR = 16
+
+_AT = r"(?:\x20?[(\[{<]\x20?at\x20?[)\]}>]\x20?|\x20at\x20)"
+_DOT = r"(?:\x20?[(\[{<]\x20?dot\x20?[)\]}>]\x20?|\x20dot\x20|\.)"
+#: Each takes time linear in the text: runs are possessive, or of a bounded length.
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": LINEAR["card"],
-    "phone": r"(?<![0-9A-Za-z+])(?<![0-9][\x20.-])\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z]|[\x20.-][0-9])",
-}
-GENERATOR_NEEDS = {"email": r"[(\[\x20]at[)\]\x20].*(?:[(\[\x20]dot[)\]\x20]|\.)", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]", "card": NEEDS["card"], "phone": r"[0-9][\x20.-][0-9]{3}"}
-
-#: Words before a span that speak for a kind, and those that speak against any.
+    "email": (
+        rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?@\x20?[A-Za-z0-9-]++(?:\x20?\.\x20?[A-Za-z0-9-]++)++",
+    ),
+    "ip": (
+        r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
+        r"(?i)(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[0-9]{1,3}){3}(?![0-9])",
+    ),
+    "card": (LINEAR["card"], r"(?<![0-9.])[0-9]{4}(?:[./_\x20-]{1,3}[0-9]{4}){2}[./_\x20-]{1,3}[0-9]{1,7}(?![0-9])"),
+    "phone": (
+        r"(?<![0-9A-Za-z+])(?<![0-9][\x20.-])\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z]|[\x20.-][0-9])",
+        r"(?<![0-9A-Za-z+.,/-])[0-9]{7,11}(?![0-9A-Za-z]|[.,/-][0-9])",
+        r"(?<![0-9A-Za-z+])(?<![0-9][\x20./-])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,8}){1,4}(?![0-9A-Za-z]|[\x20./-][0-9])",
+    ),
+}
+GENERATOR_NEEDS = {"email": r"(?i)[(\[{<\x20]at[)\]}>\x20]|[A-Za-z0-9]\x20?@", "ip": r"[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:|(?i)[0-9](?:.\.|\x20?.?dot)", "card": NEEDS["card"], "phone": r"(?:[0-9][\x20./()-]{0,2}){6}[0-9]"}
+
+#: Words around a span that speak for a kind, and those that speak against any.
 CUES = {
-    "email": r"\b(?:e-?mail|mail|write|contact|reach)\b",
-    "ip": r"\b(?:ip|address|host|server|login)\b",
-    "card": r"\b(?:card|visa|credit|debit|payment)\b",
-    "phone": r"\b(?:phone|call|tel|mobile|fax|whatsapp|sms)\b",
-    "none": r"\b(?:order|isbn|invoice|serial|version|page|ref|part|item|sku|batch|ticket|no)\b",
+    "email": r"\b(?:e-?mail|mail|write|contact|reach|address|send|inbox)\b",
+    "ip": r"\b(?:ip|ipv6|host|server|login|addr|ping|router|gateway|dns)\b",
+    "card": r"\b(?:card|visa|mastercard|amex|credit|debit|payment)\b",
+    "phone": r"\b(?:phone|call|calls|tel|telephone|mobile|cell|fax|whatsapp|sms|number|ring|dial|text)\b",
+    "none": r"\b(?:order|isbn|invoice|serial|version|page|pages|ref|part|item|sku|batch|ticket|no|nr|id|date|time|year|total|sum|price|code)\b",
 }
-CANDIDATE = "array<struct<start:bigint,end:bigint,kind:string,found:string,before:string,after:string>>"
+#: Ends of domain names that are common.
+ENDS = "com|org|net|edu|gov|info|biz|io|co|me|app|dev|ai|de|fr|es|it|nl|uk|eu|ch|at|se|no|pl|pt|ru|cn|jp|kr|in|br|ca|au|us|example|test"
+FOUND = "array<struct<start:bigint,end:bigint,kind:string,found:string,before:string,after:string>>"
+SPANS = "array<struct<start:bigint,p:int,end:bigint,kind:string>>"
 
 
-def candidates(text: Column, kind: str) -> Column:
-    """What the kind's generator proposes, with the text around it."""
+def candidates(text: str, kind: str) -> str:
+    """What the kind's generators propose, with the text around it, in SQL."""
+    before = f"lower(substring({text}, CAST(greatest(1, s.start - {CONTEXT - 1}) AS INT), CAST(least({CONTEXT}, s.start) AS INT)))"
+    after = f"lower(substring({text}, CAST(s.`end` + 1 AS INT), {CONTEXT}))"
+    row = f"named_struct('start', s.start, 'end', s.`end`, 'kind', '{kind}', 'found', s.found, 'before', {before}, 'after', {after})"
+    found = f"transform(array_distinct(concat({', '.join(positions(text, g) for g in GENERATORS[kind])})), s -> {row})"
+    return f"IF({text} RLIKE r'{GENERATOR_NEEDS[kind]}', {found}, CAST(array() AS {FOUND}))"
 
-    def row(s: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), s["start"]).cast("int")))
-        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(1))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["found"].alias("found"), before.alias("before"), after.alias("after"))
 
-    found = F.transform(positions(text, GENERATORS[kind]), row)
-    return F.when(text.rlike("(?s)" + GENERATOR_NEEDS[kind]), found).otherwise(F.array().cast(CANDIDATE))
+def features() -> list[str]:
+    """Numbers that describe a candidate ``c``'s format and context, in SQL."""
+    number = digits("c.found")
+    parts = "filter(split(c.found, '[^0-9]+'), x -> x != '')"
 
+    def flag(x: str) -> str:
+        return f"IF({x}, 1D, 0D)"
 
-def features(c: Column) -> list[Column]:
-    """Numbers that describe a candidate's format and context."""
-    found, before = c["found"], c["before"]
-    number = digits(found)
+    def cue(place: str, pattern: str = "{}") -> str:
+        return f"CASE c.kind {' '.join(f"WHEN '{k}' THEN {flag(f"c.{place} RLIKE r'{pattern.format(CUES[k])}'")}" for k in KINDS)} END"
 
-    def flag(x: Column) -> Column:
-        return F.when(x, 1.0).otherwise(0.0)
+    def shaped(pattern: str) -> str:
+        return flag(f"c.found RLIKE r'{pattern}'")
 
-    own = reduce(lambda a, k: F.when(c["kind"] == k, flag(before.rlike(CUES[k]))).otherwise(a), KINDS, F.lit(0.0))
     return [
-        reduce(lambda a, k: F.when(c["kind"] == k, F.lit(float(KINDS.index(k)))).otherwise(a), KINDS, F.lit(-1.0)),
-        F.char_length(number).cast("double"),
-        F.char_length(found).cast("double"),
-        F.char_length(F.regexp_replace(found, "[0-9A-Za-z]", "")).cast("double"),
-        flag(F.char_length(number).between(12, 19) & luhn(number)),
-        flag(found.contains("(")),
-        flag(found.rlike(r"dot|\.")),
-        flag(found.rlike(r"^\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}$|^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}$")),
-        own,
-        flag(before.rlike(CUES["none"])),
-        flag(before.rlike("[0-9A-Za-z]$")),
-        flag(c["after"].rlike("^[0-9A-Za-z]")),
-        flag(found.rlike(r"[(\[](?:at|dot)[)\]]")),
+        f"CASE c.kind {' '.join(f"WHEN '{k}' THEN {i}D" for i, k in enumerate(KINDS))} END",
+        f"char_length({number})",
+        "char_length(c.found)",
+        "char_length(regexp_replace(c.found, '[0-9A-Za-z]', ''))",
+        f"IF(char_length({number}) BETWEEN 12 AND 19, {flag(luhn(number))}, 0D)",
+        shaped("^[(]"),
+        f"size({parts})",
+        f"coalesce(char_length(try_element_at({parts}, -1)), 0)",
+        f"coalesce(char_length(try_element_at({parts}, 1)), 0)",
+        shaped("^[(]?0"),
+        shaped(rf"(?i)(?:[.]|dot[)\]}}>]?)\x20?(?:{ENDS})$"),
+        shaped(r"(?i)[(\[{<]\x20?(?:at|dot)\x20?[)\]}>]|\[[.]\]|[(][.][)]"),
+        shaped(r"(?i)\x20dot\x20|@"),
+        shaped("::"),
+        "char_length(regexp_replace(c.found, '[^:]', ''))",
+        shaped("[A-Fa-f]|[0-9]{3}"),
+        flag("size(filter(split(c.found, ':'), x -> char_length(x) = 2)) >= 3"),
+        cue("before"),
+        cue("before", r"{}(?:[^0-9a-z]*(?:is|me|at|to|or|on|from|us|under))?[^0-9a-z]*$"),
+        cue("after"),
+        flag(f"c.before RLIKE r'{CUES['none']}[^0-9a-z]*$'"),
+        flag("c.before RLIKE r'[0-9A-Za-z#$€£]$'"),
+        flag(r"c.after RLIKE r'^(?:[0-9a-z]|\x20?[%$€£°])'"),
+        shaped(r"^[(]?[0-9]{3}[)]?[ .-]?[0-9]{3}[ .-][0-9]{4}$"),
+        shaped(r"^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}$"),
+        shaped(r"^0[0-9](?:[ .-][0-9]{2}){4}$"),
+        shaped(r"^(?:19|20)[0-9]{2}[ ./-][01]?[0-9][ ./-][0-3]?[0-9]$|^[0-3]?[0-9][ ./-][0-3]?[0-9][ ./-](?:19|20)[0-9]{2}$"),
+        f"size(array_distinct(split({number}, '')))",
     ]
 
 
+def with_features(candidates_: str) -> str:
+    """An array of candidates as (start, end, kind, x), x their features, in SQL."""
+    x = ", ".join(f"CAST({f} AS DOUBLE)" for f in features())
+    return f"transform({candidates_}, c -> named_struct('start', c.start, 'end', c.`end`, 'kind', c.kind, 'x', array({x})))"
+
+
 def labelled_examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, int]]:
-    """(text, kind, label): one candidate each, made from templates."""
+    """(text, kind, label): made from templates; each label is drawn by a probability of its format and context."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
-    plain = lambda: " ".join(word() for _ in range(rng.randint(2, 6)))
-    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    pick = rng.choice
+    word = lambda: "".join(pick("bcdfglmnprst") + pick("aeiou") for _ in range(rng.randint(1, 4)))
+    plain = lambda: " ".join(word() for _ in range(rng.randint(1, 6)))
+    number = lambda k: "".join(pick("0123456789") for _ in range(k))
+    group = lambda k: "".join(pick("0123456789abcdef") for _ in range(k))
     cues = {
-        "email": ["email", "mail me:", "write to", "contact", "reach me:"],
-        "ip": ["ip", "ip address", "host", "server", "login from"],
-        "card": ["card", "credit card", "visa", "payment card:", "debit card"],
-        "phone": ["phone", "call", "tel", "mobile:", "fax", "whatsapp"],
+        "email": ["email", "e-mail", "mail me", "write to", "contact", "reach me", "send it to", "my address is"],
+        "ip": ["ip", "ip address", "host", "server", "login from", "ping", "router", "the gateway is", "dns"],
+        "card": ["card", "credit card", "visa", "payment card", "debit card", "my card is", "mastercard"],
+        "phone": ["phone", "call", "tel", "mobile", "fax", "whatsapp", "my number is", "ring", "dial", "text me at", "cell"],
     }
-    none = ["order", "isbn", "invoice", "serial", "version", "page", "ref", "part", "item", "sku", "batch", "ticket"]
-
-    def found(kind: str) -> str:
-        if kind == "email":
-            at, dot = rng.choice([(" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", "."), (" at ", ".")])
-            return f"{word()}{rng.choice(['', '.', '_'])}{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr'])}"
-        if kind == "ip":
-            return ":".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(1, 4))) for _ in range(8))
-        if kind == "card":
-            d = number(16)
-            return rng.choice([d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4)), number(rng.randint(12, 19))])
-        return rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(number(3), number(3), number(4))
-
+    none = ["order", "isbn", "invoice", "serial", "version", "page", "ref", "part", "item", "sku", "batch", "ticket", "id", "date", "total"]
+
+    def filled(shape: str) -> str:
+        return "".join(pick("0123456789") if c == "#" else c for c in shape)
+
+    def email() -> tuple[str, float]:
+        name, end = word() + pick(["", ".", "_", number(2)]) + pick(["", word()]), pick(ENDS.split("|"))
+        r = rng.random()
+        if r < 0.25:
+            at, dot = pick([("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", "."), (" (AT) ", " (DOT) "), ("{at}", "{dot}")])
+            return f"{name}{at}{word()}{dot}{end}", 0.98
+        if r < 0.5:
+            at, dot = pick([(" at ", " dot "), (" AT ", " DOT ")])
+            return f"{name}{at}{word()}{dot}{end}", 0.96
+        if r < 0.6:
+            return f"{name}{pick([' @ ', ' @', '@ '])}{word()}{pick(['.', ' . '])}{end}", 0.95
+        if r < 0.72:
+            return f"{name} at {word()}.{end}", 0.85
+        return f"{word()} at {word()}{pick(['.', ' dot '])}{word()}", 0.02
+
+    def ip() -> tuple[str, float]:
+        r = rng.random()
+        if r < 0.2:
+            return ":".join(group(rng.randint(1, 4)) for _ in range(8)), 0.98
+        if r < 0.5:
+            a, b = rng.randint(1, 4), rng.randint(0, 3)
+            return ":".join(group(rng.randint(1, 4)) for _ in range(a)) + "::" + ":".join(group(rng.randint(1, 4)) for _ in range(b)), 0.95 if a + b > 2 else 0.8
+        if r < 0.6:
+            return pick(["[.]", " dot ", "(.)", "[dot]"]).join(str(rng.randint(0, 255)) for _ in range(4)), 0.95
+        if r < 0.75:
+            return ":".join(group(2) for _ in range(6)), 0.03
+        if r < 0.8:
+            return "::", 0.0
+        return filled(pick(["##:##:##", "#:##:##", "##:##:##", "###:##:#"])), 0.02
+
+    def card() -> tuple[str, float]:
+        d = number(16)
+        text = pick([d, "-".join(d[i : i + 4] for i in range(0, 16, 4)), " ".join(d[i : i + 4] for i in range(0, 16, 4)), ".".join(d[i : i + 4] for i in range(0, 16, 4)), number(rng.randint(12, 19)), filled("###-#-##-######-#"), filled("#### ###### #####")])
+        return text, 0.05
+
+    def phone() -> tuple[str, float]:
+        r = rng.random()
+        if r < 0.3:
+            return filled(pick(["(###) ###-####", "###-###-####", "###.###.####", "### ### ####", "(###) ### ####"])), 0.8
+        if r < 0.4:
+            return filled(pick(["0# ## ## ## ##", "0#.##.##.##.##", "0#-##-##-##-##"])), 0.8
+        if r < 0.55:
+            return filled(pick(["0## #### ####", "0#### ######", "0##/#######", "0### ### ####", "00## ## ########", "0## ### ####"])), 0.6
+        if r < 0.75:
+            return number(rng.randint(7, 11)), 0.04
+        if r < 0.87:
+            return filled(pick(["19##-0#-1#", "20##.0#.2#", "1#/0#/20##", "0#-1#-19##", "20## 1# 0#"])), 0.0
+        return filled(pick(["### ### ####", "#### ####", "### ### ###", "## ### ## ###", "#### #### ###", "### ####"])), 0.06
+
+    make = {"email": email, "ip": ip, "card": card, "phone": phone}
     rows = []
     for i in range(n):
-        kind, good = KINDS[i % 4], rng.random() < 0.5
-        text = found(kind)
-        if good:
-            before = f"{plain()} {rng.choice(cues[kind])}"
-        else:
-            before = f"{plain()} {rng.choice(none)}" if rng.random() < 0.4 else plain()
-            if kind == "email":
-                text = f"{word()} at {word()}{rng.choice(['.', '. '])}{word()}"
-            elif kind == "phone" and rng.random() < 0.5:
-                text = f"{number(4)} {number(4)} {number(3)}"
-        rows.append((f"{before} {text} {plain()}", kind, int(good)))
+        kind = KINDS[i % 4]
+        text, p = make[kind]()
+        before, after, r = plain(), plain(), rng.random()
+        if r < 0.35:
+            before = f"{plain()} {pick(cues[kind])}{pick(['', ':', ' ', ' =', ','])}".rstrip()
+            p = max(p, 0.99) if p >= 0.04 else p
+        elif r < 0.42:
+            before = f"{pick(cues[kind])} {word()} {word()}"
+            p = min(0.97, p + 0.5) if p >= 0.04 else p
+        elif r < 0.5:
+            after = f"is my {pick(cues[kind])} {plain()}"
+            p = min(0.99, p + 0.9) if p >= 0.04 else p
+        elif r < 0.68:
+            before = f"{plain()} {pick(none)}{pick(['', ':', ' no', ' #'])}"
+            p = p * (0.9 if kind in ("email", "ip") else 0.06)
+        if rng.random() < 0.08 and kind in ("card", "phone"):
+            after = pick(["%", " €", "kg", " $"]) + after
+            p *= 0.1
+        rows.append((f"{before} {text}{pick(['', '.', ','])} {after}" if not after.startswith(("%", "kg", " €", " $")) else f"{before} {text}{after}", kind, int(rng.random() < p)))
     return rows
 
 
@@ -135,26 +237,30 @@ class Detector:
     """Fitted trees and the threshold of each kind."""
 
     def __init__(self, spark: SparkSession, examples: int = EXAMPLES, precision: float = PRECISION):
-        made = spark.createDataFrame(labelled_examples(examples), "text string, kind string, label int")
-        text = F.col("text")
-        pool = F.filter(F.concat(*[candidates(text, k) for k in KINDS]), lambda c: c["kind"] == F.col("kind"))
-        rows = made.select("label", "kind", F.explode(pool).alias("c")).select("label", "kind", F.array(*features(F.col("c"))).alias("x")).collect()
-        rows.sort(key=lambda r: tuple(r.x))
-        random.Random(3).shuffle(rows)
+        made = spark.createDataFrame([(i, *r) for i, r in enumerate(labelled_examples(examples))], "i int, text string, kind string, label int")
+        pool = f"filter(concat({', '.join(candidates('text', k) for k in KINDS)}), c -> c.kind = kind)"
+        # of the spans proposed for an example the longest is the one that was put there
+        longest = f"slice(array_sort({pool}, (a, b) -> CAST(b.`end` - b.start - a.`end` + a.start AS INT)), 1, 1)"
+        rows = made.select("i", "label", "kind", F.expr(longest).alias("c")).where("size(c) > 0")
+        rows = rows.select("i", "label", "kind", F.expr(f"{with_features('c')}[0].x").alias("x")).orderBy("i").collect()
         x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows], float)
         kinds = np.array([r.kind for r in rows])
-        self.trees = BoostedTrees(x, y)
-        held = self.trees.held
-        self.thresholds = {}
-        for k in KINDS:
-            own = kinds == k
-            part = BoostedTrees.__new__(BoostedTrees)
-            part.__dict__ = self.trees.__dict__ | {"held": held[own]}
-            self.thresholds[k] = max(0.5, part.threshold(x[own], y[own], precision))
+        self.trees = BoostedTrees(x, y, rounds=40, depth=3, rate=0.3)
+        self.thresholds = {k: max(0.5, self.trees.threshold(x, y, precision, kinds == k)) for k in KINDS}
+
+    def scored(self, column: str) -> Column:
+        """An array of candidates (start, end, kind, x) with their places in the order of kinds and their probabilities, where sure enough."""
+        places, limits = (" ".join(f"WHEN '{k}' THEN {v}" for k, v in of.items()) for of in ({k: i + 1 for i, k in enumerate(KINDS)}, {k: f"{v!r}D" for k, v in self.thresholds.items()}))
+        score = self.trees.sql(lambda i: f"c.x[{i}]")
+        each = f"named_struct('start', c.start, 'p', CASE c.kind {places} END, 'end', c.end, 'kind', c.kind, 'score', {score})"
+        return F.expr(f"array_sort(filter(transform(`{column}`, c -> {each}), c -> c.score >= CASE c.kind {limits} END))")
+
 
-    def accepts(self, c: Column) -> Column:
-        limit = reduce(lambda a, k: F.when(c["kind"] == k, F.lit(self.thresholds[k])).otherwise(a), KINDS, F.lit(2.0))
-        return self.trees.column(features(c)) >= limit
+def best(column: str) -> Column:
+    """Of sure candidates in order those that no better one overlaps; rank: probability, length, place."""
+    rank = lambda c: f"struct({c}.score, {c}.end - {c}.start, -{c}.start, -{c}.p)"
+    beaten = f"exists(slice(`{column}`, greatest(1, i + 1 - {NEAR}), {2 * NEAR + 1}), d -> d.start < c.end AND c.start < d.end AND {rank('d')} > {rank('c')})"
+    return F.expr(f"transform(filter(`{column}`, (c, i) -> NOT {beaten}), c -> named_struct('start', c.start, 'p', c.p, 'end', c.end, 'kind', c.kind))")
 
 
 def _place(kind: Column) -> Column:
@@ -178,16 +284,19 @@ def written(spans: Column) -> Column:
 def find(docs: DataFrame, detector: Detector | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with pii_base and pii_all: arrays of (start, p, end, kind) in order, p the kind's place."""
     detector = detector or Detector(docs.sparkSession)
-    docs = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    t = F.col("_t")
-    docs = docs.withColumns({f"_b_{k}": base_spans(t, k) for k in KINDS} | {f"_c_{k}": candidates(t, k) for k in KINDS})
-    docs = docs.withColumn("pii_base", in_order(F.concat(*[F.col(f"_b_{k}") for k in KINDS])))
-    docs = docs.withColumn("_c", F.concat(*[F.col(f"_c_{k}") for k in KINDS]))
-    apart = lambda c: ~F.exists("pii_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    docs = docs.withColumn("_a", F.filter("_c", apart))
-    added = F.when(F.size("_a") > 0, in_order(F.filter("_a", detector.accepts).cast(CANDIDATE)))
-    docs = docs.withColumn("pii_all", F.when(F.size("_a") > 0, F.array_sort(F.concat("pii_base", added))).otherwise(F.col("pii_base")))
-    return docs.drop("_t", "_c", "_a", *[f"_b_{k}" for k in KINDS], *[f"_c_{k}" for k in KINDS])
+    docs_columns = docs.columns
+    text, base, proposed, apart, sure, row = fresh(6)
+    kinds = {k: fresh(2) for k in KINDS}
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs_columns]).alias(row), F.coalesce(F.col(text_col), F.lit("")).alias(text))
+    found = docs.select(row, *[F.expr(base_spans(text, k)).alias(kinds[k][0]) for k in KINDS], *[F.expr(candidates(text, k)).alias(kinds[k][1]) for k in KINDS])
+    found = found.select(row, in_order(F.concat(*[F.col(kinds[k][0]) for k in KINDS])).alias(base), F.concat(*[F.col(kinds[k][1]) for k in KINDS]).alias(proposed))
+    free = f"filter({proposed}, c -> NOT exists({base}, b -> b.start < c.`end` AND c.start < b.`end`))"
+    found = found.select(row, base, F.expr(free).alias(apart))
+    found = found.select(row, base, F.expr(f"IF(size({apart}) > 0, {with_features(apart)}, NULL)").alias(apart))
+    found = found.select(row, base, F.when(F.col(apart).isNotNull(), detector.scored(apart)).alias(sure))
+    added = F.when(F.size(sure) > 0, F.array_sort(F.concat(base, best(sure).cast(SPANS)))).otherwise(F.col(base))
+    kept = [F.col(row).getField(c).alias(c) for c in docs_columns if c not in ("pii_base", "pii_all")]
+    return found.select(*kept, F.col(base).alias("pii_base"), added.alias("pii_all"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

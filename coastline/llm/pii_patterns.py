@@ -13,9 +13,6 @@ Card runs of fewer than 12 digits, which would be dropped, aren't matched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 KINDS = ("email", "ip", "card", "phone")
 
 #: The base patterns of the four kinds.
@@ -34,70 +31,54 @@ LINEAR = {
 #: What a text must have for a kind to be looked for at all.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
 
+PLACES = "array<struct<start:bigint,end:bigint,found:string>>"
 SPAN = "array<struct<start:bigint,end:bigint,kind:string,found:string>>"
-
-
 #: Matches that are added up together; a text may have any number of them.
 BLOCK = 128
 
 
-def positions(text: Column, pattern: str) -> Column:
-    """Where a pattern matches: an array of (start, end, found), in code points, end exclusive.
+def positions(text: str, pattern: str) -> str:
+    """Where a pattern matches, in SQL: an array of (start, end, found), in code points, end exclusive.
 
     The lengths are added up within blocks and then over the blocks, since
     appending to an array copies it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.filter(F.arrays_zip(between.alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
-
-    def length(x: Column) -> Column:
-        return (F.char_length(x["gap"]) + F.char_length(x["found"])).cast("bigint")
-
-    def locate(block: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            end = acc["at"] + length(x)
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct((end - F.char_length(x["found"])).alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
-
-        start = F.struct(block["at"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,found:string>>").alias("out"))
-        return F.aggregate(block["pairs"], start, step, lambda acc: acc["out"])
-
-    def place(acc: Column, block: Column) -> Column:
-        at = acc["at"] + F.aggregate(block, F.lit(0).cast("bigint"), lambda a, x: a + length(x))
-        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), block.alias("pairs")))).alias("out"))
-
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<at:bigint,pairs:array<struct<gap:string,found:string>>>>").alias("out"))
-    placed = F.aggregate(blocks, empty, place, lambda acc: acc["out"])
-    none = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
-    return F.when(F.size(pairs) > 0, F.flatten(F.transform(placed, locate))).otherwise(none)
+    pairs = f"filter(arrays_zip(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0)), x -> x.`1` IS NOT NULL)"
+    length = "CAST(char_length(x.`0`) + char_length(x.`1`) AS BIGINT)"
+    blocks = f"transform(sequence(0, CAST(floor((size(ps) - 1) / {BLOCK}) AS INT)), i -> slice(ps, i * {BLOCK} + 1, {BLOCK}))"
+    empty = "CAST(array() AS array<struct<at:bigint,pairs:array<struct<`0`:string,`1`:string>>>>)"
+    placed = (
+        f"aggregate({blocks}, named_struct('at', 0L, 'out', {empty}), (acc, b) -> named_struct('at', acc.at + aggregate(b, 0L, (a, x) -> a + {length}),"
+        " 'out', concat(acc.out, array(named_struct('at', acc.at, 'pairs', b)))), acc -> acc.out)"
+    )
+    row = f"named_struct('start', acc.at + char_length(x.`0`), 'end', acc.at + {length}, 'found', x.`1`)"
+    located = f"aggregate(block.pairs, named_struct('at', block.at, 'out', CAST(array() AS {PLACES})), (acc, x) -> named_struct('at', acc.at + {length}, 'out', concat(acc.out, array({row}))), acc -> acc.out)"
+    # the outer array names what is used several times
+    return f"flatten(transform(array({pairs}), ps -> IF(size(ps) > 0, flatten(transform({placed}, block -> {located})), CAST(array() AS {PLACES}))))"
 
 
-def digits(found: Column) -> Column:
-    return F.regexp_replace(found, "[^0-9]", "")
+def digits(found: str) -> str:
+    return f"regexp_replace({found}, '[^0-9]', '')"
 
 
-def luhn(number: Column) -> Column:
+def luhn(number: str) -> str:
     """Whether a string of digits passes the Luhn test."""
-    right = F.split(F.reverse(number), "")
-    worth = F.transform(right, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(2 * d.cast("int") - F.when(d.cast("int") > 4, 9).otherwise(0)))
-    return F.aggregate(worth, F.lit(0), lambda a, x: a + x) % 10 == 0
+    worth = "IF(i % 2 = 0, CAST(d AS INT), 2 * CAST(d AS INT) - IF(CAST(d AS INT) > 4, 9, 0))"
+    return f"(aggregate(transform(split(reverse({number}), ''), (d, i) -> {worth}), 0, (a, x) -> a + x) % 10 = 0)"
 
 
-def valid(kind: str, found: Column) -> Column:
+def valid(kind: str, found: str) -> str:
     """The test that a match of a base pattern has to pass."""
     if kind == "ip":
-        return F.forall(F.split(found, r"\."), lambda part: part.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
+        return f"forall(split({found}, r'[.]'), part -> part RLIKE r'^0*(?:[0-9]{{1,2}}|1[0-9]{{2}}|2[0-4][0-9]|25[0-5])$')"
     if kind == "card":
-        n = F.char_length(digits(found))
-        return F.when(n.between(12, 19), luhn(digits(found))).otherwise(F.lit(False))
+        return f"IF(char_length({digits(found)}) BETWEEN 12 AND 19, {luhn(digits(found))}, false)"
     if kind == "phone":
-        return F.char_length(digits(found)).between(9, 15)
-    return F.lit(True)
+        return f"char_length({digits(found)}) BETWEEN 9 AND 15"
+    return "true"
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """The base spans of one kind."""
-    look = F.filter(positions(text, LINEAR[kind]), lambda s: valid(kind, s["found"]))
-    spans = F.transform(look, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["found"].alias("found")))
-    return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast(SPAN))
+def base_spans(text: str, kind: str) -> str:
+    """The base spans of one kind, in SQL."""
+    rows = f"transform(filter({positions(text, LINEAR[kind])}, s -> {valid(kind, 's.found')}), s -> named_struct('start', s.start, 'end', s.`end`, 'kind', '{kind}', 'found', s.found))"
+    return f"IF({text} RLIKE r'{NEEDS[kind]}', {rows}, CAST(array() AS {SPAN}))"

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from coastline.catalog import sql
 from coastline.catalog.registering import register_into
-from coastline.catalog.tables import event_curves, rounded, table
-from coastline.operators import boxcount, contour, curves, generators, search, spectrum, temporal
-from coastline.plans import comprehensive
+from coastline.catalog.tables import rounded, table
+from coastline.operators import boxcount, contour, curves, generators, search, temporal
 from coastline.sources import segments as text_segments
 
 QUERIES, ORACLES = {}, {}
@@ -204,42 +203,3 @@ def contour_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = contour.contours(field, 0.55)
     ends = curves.endpoints(segs).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y")).where("abs(y * 10 - round(y * 10)) < 1e-6").distinct()
     return ends.agg(F.count(F.lit(1)).alias("n_columns"), F.min("x").alias("x_low"), F.max("x").alias("x_high"))
-
-
-@query()
-def height_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectrum.height_function(event_curves(spark, sf_dir), 64)
-
-
-@query()
-def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spectrum.spectral_features(spectrum.height_function(event_curves(spark, sf_dir), spectrum.POINTS)))
-
-
-@query()
-def spectral_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = spectrum.height_function(event_curves(spark, sf_dir), spectrum.POINTS)
-    scale = h.select("curve_id", (F.col("step") * (F.size("heights") - 1)).alias("domain_scale"))
-    out = spectrum.spectral_parameters(spectrum.spectral_features(h).join(scale, "curve_id"))
-    return rounded(out.select("curve_id", "initial_delta", "delta_factor", "num_steps", "confidence"))
-
-
-@query()
-def wavelet_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spectrum.wavelet_features(spectrum.height_function(event_curves(spark, sf_dir), spectrum.POINTS)).drop("energy_distribution", "dominant_scales"))
-
-
-@query()
-def wavelet_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spectrum.wavelet_parameters(spectrum.wavelet_features(spectrum.height_function(event_curves(spark, sf_dir), spectrum.POINTS)))
-    return rounded(out.select("curve_id", "initial_delta", "delta_factor", "num_steps", "confidence"))
-
-
-@query()
-def wavelet_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spectrum.wavelet_scaling(spectrum.wavelet_features(spectrum.height_function(event_curves(spark, sf_dir), spectrum.POINTS))))
-
-
-@query()
-def comprehensive_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(comprehensive.analyse(event_curves(spark, sf_dir)))

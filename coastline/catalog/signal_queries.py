@@ -40,7 +40,13 @@ def curvature_3pt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curvature.three_point(curvature.unique_points(event_curves(spark, sf_dir))))
 
 
-@query()
+@query(
+    f"""WITH {sql.EVENT_CURVES}, {_UNIQUE}, near AS (SELECT a.curve_id, a.pos, a.n, b.x, b.y FROM pt a JOIN pt b ON a.curve_id = b.curve_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 WHERE a.n >= 3),
+c AS (SELECT curve_id, pos, n, x - avg(x) OVER g AS u, y - avg(y) OVER g AS v FROM near WINDOW g AS (PARTITION BY curve_id, pos)),
+m AS (SELECT curve_id, pos, n, count(*) AS k, sum(u * u) AS uu, sum(v * v) AS vv, sum(u * v) AS uv, sum(u * (u * u + v * v)) / 2 AS ru, sum(v * (u * u + v * v)) / 2 AS rv FROM c GROUP BY curve_id, pos, n),
+r AS (SELECT *, sqrt(pow((ru * vv - rv * uv) / (uu * vv - uv * uv), 2) + pow((rv * uu - ru * uv) / (uu * vv - uv * uv), 2) + (uu + vv) / k) AS radius FROM m)
+SELECT curve_id, pos, n, round(CASE WHEN k >= 3 AND uu * vv - uv * uv > 1e-14 * (uu + vv) * (uu + vv) AND radius > 1e-10 THEN 1 / radius ELSE 0e0 END, 6) AS curvature FROM r"""
+)
 def circle_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curvature.circle_fit(curvature.unique_points(event_curves(spark, sf_dir))))
 
@@ -162,12 +168,32 @@ def selfsim_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("series_id", "fractal_character", "predicted_dimension", "fractal_type", "multifractal_character"))
 
 
-@query()
+#: All windows of five lags or more, from prefix sums; of the best fits the first by start and end.
+_SR = """, sfr AS (SELECT a.series_id, b.idx - a.idx AS lag, avg(pow(abs(b.value - a.value), 2)) AS v FROM z a JOIN z b ON a.series_id = b.series_id AND b.idx > a.idx AND b.idx - a.idx <= least(a.n // 3, 100) WHERE a.n >= 20 GROUP BY a.series_id, b.idx - a.idx),
+lg AS (SELECT series_id, lag, row_number() OVER w AS i, log10(lag) AS x, log10(v) AS y FROM sfr WHERE v > 0 WINDOW w AS (PARTITION BY series_id ORDER BY lag)),
+cs AS (SELECT series_id, lag, i, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x * x) OVER w AS sxx, sum(y * y) OVER w AS syy, sum(x * y) OVER w AS sxy FROM lg WINDOW w AS (PARTITION BY series_id ORDER BY i)),
+st0 AS (SELECT series_id, i AS a, lag AS lo, sx, sy, sxx, syy, sxy FROM (SELECT series_id, i + 1 AS i, lead(lag) OVER (PARTITION BY series_id ORDER BY i) AS lag, sx, sy, sxx, syy, sxy FROM cs) WHERE lag IS NOT NULL
+  UNION ALL SELECT series_id, 1, lag, 0, 0, 0, 0, 0 FROM cs WHERE i = 1),
+wn AS (SELECT e.series_id, a, e.i AS b, lo, e.lag AS hi, e.i - a + 1 AS k, e.sx - s.sx AS sx, e.sy - s.sy AS sy, e.sxx - s.sxx AS sxx, e.syy - s.syy AS syy, e.sxy - s.sxy AS sxy FROM cs e JOIN st0 s ON s.series_id = e.series_id AND e.i >= a + 4),
+ft AS (SELECT *, sxx - sx * sx / k AS cx, syy - sy * sy / k AS cy, sxy - sx * sy / k AS cxy FROM wn),
+sr AS (SELECT series_id, CAST(lo AS DOUBLE) AS scaling_min, CAST(hi AS DOUBLE) AS scaling_max, cxy * cxy / (cx * cy) AS scaling_quality FROM ft WHERE cx > 0 AND cy > 0 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY cxy * cxy / (cx * cy) DESC, a, b) = 1)"""
+
+
+@query(f"WITH {_SIG}{_Z}{_SR} SELECT series_id, scaling_min, scaling_max, round(scaling_quality, 6) AS scaling_quality FROM sr")
 def scaling_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selfsim.scaling_range(selfsim.standardised(signals(spark, sf_dir)).drop("n")))
 
 
-@query()
+_DECADES = "CASE WHEN log10(scaling_max / scaling_min) > 2 THEN 1.4e0 WHEN log10(scaling_max / scaling_min) > 1 THEN 1.2e0 WHEN log10(scaling_max / scaling_min) > 0.5 THEN 1e0 ELSE 0.8e0 END"
+
+
+@query(
+    _H + _SR + f""", sp AS (SELECT series_id, hurst_consensus AS h, scaling_min, scaling_max, scaling_quality AS q, abs(hurst_consensus - 0.5e0) * scaling_quality AS t FROM hc JOIN sr USING (series_id))
+SELECT series_id, greatest(0.001e0, least(0.2e0, 0.7e0 * sqrt(scaling_min * scaling_max))) AS initial_delta,
+  round(greatest(1.1e0, least(2e0, 1.5e0 * CASE WHEN h BETWEEN 0.7e0 AND 1.3e0 THEN 1.2e0 WHEN h BETWEEN 0.5e0 AND 1.5e0 THEN 1.1e0 ELSE 0.9e0 END * CASE WHEN t > 0.5e0 THEN 1.2e0 WHEN t > 0.2e0 THEN 1.1e0 ELSE 0.9e0 END
+    * CASE WHEN q > 0.9e0 THEN 1.1e0 WHEN q > 0.7e0 THEN 1e0 ELSE 0.95e0 END)), 6) AS delta_factor,
+  CAST(greatest(8e0, least(30e0, floor(12 * {_DECADES} * 0.9e0 * CASE WHEN t > 0.4e0 THEN 1.1e0 ELSE 1e0 END + 1e-9))) AS INTEGER) AS num_steps FROM sp"""
+)
 def selfsim_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals(spark, sf_dir)
     out = selfsim.hurst(s).join(selfsim.scaling_range(selfsim.standardised(s).drop("n")), "series_id", "left")

@@ -1,10 +1,7 @@
-"""Curvature along curves: finite differences and three points as windows, circle fits as grouped NumPy."""
+"""Curvature along curves: finite differences, three points and circle fits, all as windows."""
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,25 +56,21 @@ def three_point(points: DataFrame) -> DataFrame:
 
 
 def circle_fit(points: DataFrame, window: int = 5) -> DataFrame:
-    """1 / radius of the least-squares circle through the points around each one; 0 where there is none."""
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        x, y, n = frame["x"].to_numpy(), frame["y"].to_numpy(), len(frame)
-        out = np.zeros(n)
-        for i in range(n if n >= 3 else 0):
-            a, b = max(0, i - window // 2), min(n, i + window // 2 + 1)
-            if b - a < 3:
-                continue
-            m = np.column_stack([2 * x[a:b], 2 * y[a:b], np.ones(b - a)])
-            if np.linalg.matrix_rank(m) >= 3:
-                p, q, r = np.linalg.lstsq(m, x[a:b] ** 2 + y[a:b] ** 2, rcond=None)[0]
-                radius = np.sqrt(p * p + q * q + r)
-                if radius > 1e-10:
-                    out[i] = 1 / radius
-        return pd.DataFrame({"curve_id": frame["curve_id"], "pos": frame["pos"], "n": n, "curvature": out})
-
-    return points.groupBy("curve_id").applyInPandas(fit, "curve_id string, pos bigint, n bigint, curvature double").where("n >= 3")
+    """1 / radius of the least-squares circle through the points around each one; 0 where they lie on a line.
+
+    With coordinates from the window's mean the normal equations are two, which
+    are solved in closed form from sums over the frame's at most ``window`` points.
+    """
+    order = Window.partitionBy("curve_id").orderBy("pos")
+    df = _sized(points).withColumn("p", F.collect_list(F.struct("x", "y")).over(order.rowsBetween(-(window // 2), window // 2)))
+    df = df.withColumns({"mx": F.expr("aggregate(p, 0D, (a, q) -> a + q.x) / size(p)"), "my": F.expr("aggregate(p, 0D, (a, q) -> a + q.y) / size(p)")})
+    df = df.withColumn("p", F.expr("transform(p, q -> struct(q.x - mx as u, q.y - my as v))"))
+    total = lambda e: F.expr(f"aggregate(p, 0D, (a, q) -> a + {e})")
+    df = df.withColumns({"uu": total("q.u * q.u"), "vv": total("q.v * q.v"), "uv": total("q.u * q.v"), "ru": total("q.u * (q.u * q.u + q.v * q.v) / 2"), "rv": total("q.v * (q.u * q.u + q.v * q.v) / 2")})
+    df = df.withColumn("det", F.expr("uu * vv - uv * uv"))
+    df = df.withColumns({"a": F.expr("(ru * vv - rv * uv) / nullif(det, 0D)"), "b": F.expr("(rv * uu - ru * uv) / nullif(det, 0D)")})
+    radius = "sqrt(a * a + b * b + (uu + vv) / size(p))"
+    return df.select("curve_id", "pos", "n", F.expr(f"case when size(p) >= 3 and det > 1e-14D * (uu + vv) * (uu + vv) and {radius} > 1e-10D then 1 / {radius} else 0D end").alias("curvature"))
 
 
 METHODS = {"finite_difference": finite_difference, "three_point": three_point, "fit_circle": circle_fit}

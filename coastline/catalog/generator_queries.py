@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,35 +87,46 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.registry(spark)
 
 
-_GRID = ([0.25, 0.5, 1.0], [1.5, 2.0], [4, 5, 6])
+#: Half the square root of three: the height of the curve that is searched on.
+_SIDE = math.sqrt(3) / 2
+_TARGET = 1.2618595071429148
 
 
 def _scored(spark: SparkSession) -> DataFrame:
-    return search.evaluate(generators.koch(spark, 3), generators.parameter_grid(spark, *_GRID), 1.2618595071429148)
+    return search.evaluate(generators.koch(spark, 3), search.default_grid(spark, _SIDE), _TARGET)
 
 
-_COMBOS = ", ".join(f"({(a * 2 + b) * 3 + c}, {d}e0, {f}e0, {s})" for a, d in enumerate(_GRID[0]) for b, f in enumerate(_GRID[1]) for c, s in enumerate(_GRID[2]))
+_DELTAS, _FACTORS = search.grid_deltas(_SIDE), search.FACTORS
+_COMBOS = ", ".join(f"({(a * len(_FACTORS) + b) * len(search.STEPS) + c}, {d!r}::DOUBLE, {f!r}::DOUBLE, {s})" for a, d in enumerate(_DELTAS) for b, f in enumerate(_FACTORS) for c, s in enumerate(search.STEPS))
 _SEARCH = f"""WITH RECURSIVE {_KOCH.format(n=3)}, segs AS (SELECT 'koch' AS curve_id, * FROM koch WHERE lvl = 3), {sql.BOXES}, sets(combo_idx, initial_delta, delta_factor, num_steps) AS (VALUES {_COMBOS}),
-params AS (SELECT curve_id, combo_idx, initial_delta, delta_factor, num_steps FROM box JOIN sets ON initial_delta <= least(width, height) AND initial_delta / pow(delta_factor, num_steps - 1) >= least(width, height) / 1000),
-{sql.ladder('curve_id, combo_idx')}, {sql.cells('curve_id, combo_idx').replace('USING (curve_id, combo_idx)', 'USING (curve_id)').replace('AND s.combo_idx = g.combo_idx', '')},
-fit AS (SELECT curve_id, combo_idx, regr_slope(ln(n_boxes), ln(1 / delta)) AS d, regr_r2(ln(n_boxes), ln(1 / delta)) AS r, count(*) AS n, count(DISTINCT n_boxes) AS u FROM counts GROUP BY curve_id, combo_idx),
-scored AS (SELECT curve_id, CAST(combo_idx AS BIGINT) AS combo_idx, initial_delta, delta_factor, CAST(num_steps AS INTEGER) AS num_steps, round(d, 6) AS dimension, round(r, 6) AS r_squared, round(abs(d - 1.2618595071429148e0), 6) AS score
+live AS (SELECT curve_id, combo_idx, initial_delta, delta_factor, num_steps FROM box JOIN sets ON initial_delta <= least(width, height) AND initial_delta / pow(delta_factor, num_steps - 1) >= least(width, height) / 1000),
+params AS (SELECT curve_id, min(combo_idx) AS pair, initial_delta, delta_factor, max(num_steps) AS num_steps FROM live GROUP BY curve_id, initial_delta, delta_factor),
+{sql.ladder('curve_id, pair')}, {sql.cells('curve_id, pair').replace('USING (curve_id, pair)', 'USING (curve_id)').replace(' AND s.pair = g.pair', '')},
+own AS (SELECT l.curve_id, l.combo_idx, l.num_steps, c.delta, c.n_boxes FROM live l JOIN params p USING (curve_id, initial_delta, delta_factor) JOIN counts c ON c.curve_id = l.curve_id AND c.pair = p.pair AND c.k < l.num_steps),
+fit AS (SELECT curve_id, combo_idx, regr_slope(ln(n_boxes), ln(1 / delta)) AS d, regr_r2(ln(n_boxes), ln(1 / delta)) AS r, count(*) AS n, count(DISTINCT n_boxes) AS u FROM own GROUP BY curve_id, combo_idx),
+scored AS (SELECT curve_id, CAST(combo_idx AS BIGINT) AS combo_idx, round(initial_delta, 6) AS initial_delta, round(delta_factor, 6) AS delta_factor, CAST(num_steps AS INTEGER) AS num_steps, round(d, 6) AS dimension, round(r, 6) AS r_squared, round(abs(d - {_TARGET}e0), 6) AS score, abs(d - {_TARGET}e0) AS raw
   FROM fit JOIN sets USING (combo_idx) WHERE u >= 3 AND n = num_steps)"""
+_FOUND = "curve_id, combo_idx, initial_delta, delta_factor, num_steps, dimension, r_squared, score"
 
 
-@query(f"{_SEARCH} SELECT * FROM scored ORDER BY score, combo_idx LIMIT 1")
+@query(f"{_SEARCH} SELECT {_FOUND} FROM scored ORDER BY raw, combo_idx LIMIT 1")
 def grid_search_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.best(_scored(spark)))
 
 
-@query(f"{_SEARCH} SELECT * FROM scored ORDER BY score, combo_idx LIMIT 5")
+@query(f"{_SEARCH} SELECT {_FOUND} FROM scored ORDER BY raw, combo_idx LIMIT 20")
 def grid_search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.top(_scored(spark), 5))
+    return rounded(search.top(_scored(spark), 20))
+
+
+@query(f"SELECT CAST(combo_idx AS BIGINT) AS combo_idx, round(initial_delta, 6) AS initial_delta, round(delta_factor, 6) AS delta_factor, CAST(num_steps AS INTEGER) AS num_steps FROM (VALUES {_COMBOS}) t(combo_idx, initial_delta, delta_factor, num_steps)")
+def default_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.default_grid(spark, _SIDE))
 
 
 @query()
 def diff_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.differential_evolution(generators.koch(spark, 2), 1.2618595071429148, generations=2, population=8)
+    return search.differential_evolution(generators.koch(spark, 2), _TARGET)
 
 
 @query(

@@ -46,19 +46,23 @@ def meets() -> str:
 
 
 def cells(keys: str = "curve_id") -> str:
-    """Distinct cells by testing every segment against every cell of its rows' range of the grid."""
+    """Distinct cells by testing every segment against the cells around it, one more on every side than it can meet."""
     on = " AND ".join(f"s.{k} = g.{k}" for k in keys.split(", "))
     names = ", ".join(f"g.{k}" for k in keys.split(", "))
+    column = "CAST(least(nx - 1, greatest(0, floor(({x} - xmin) / delta) {d})) AS BIGINT)"
+    first, last = column.format(x="least(x1, x2)", d="- 1"), column.format(x="greatest(x1, x2)", d="+ 1")
+    at = "CASE WHEN abs(x2 - x1) > 1e-10 THEN y1 + ({x} - x1) / (x2 - x1) * (y2 - y1) ELSE {y} END"
+    ya, yb = at.format(x="greatest(least(x1, x2), xmin + i * delta)", y="y1"), at.format(x="least(greatest(x1, x2), xmin + (i + 1) * delta)", y="y2")
     return f"""grid AS (
   SELECT {names.replace('g.', 'l.')}, l.k, l.delta, xmin, ymin, CAST(ceil((xmax - xmin) / delta) AS BIGINT) AS nx, CAST(ceil((ymax - ymin) / delta) AS BIGINT) AS ny
   FROM ladder l JOIN box USING ({keys})),
-num AS MATERIALIZED (SELECT unnest(range(0, 4096)) AS n),
-cols AS (SELECT grid.*, n AS i FROM grid JOIN num ON n < nx),
+cols AS (SELECT {names}, g.k, g.delta, g.xmin, g.ymin, g.ny, x1, y1, x2, y2, unnest(range({first}, {last} + 1)) AS i FROM grid g JOIN segs s ON {on}),
 near AS (
-  SELECT {names}, g.k, g.delta, g.xmin, g.ymin, g.ny, g.i, x1, y1, x2, y2 FROM cols g JOIN segs s ON {on}
+  SELECT *, {ya} AS ya, {yb} AS yb FROM cols
   WHERE NOT ((x1 < xmin + i * delta AND x2 < xmin + i * delta) OR (x1 > xmin + (i + 1) * delta AND x2 > xmin + (i + 1) * delta))),
-cells AS (SELECT DISTINCT {keys}, k, delta, i, j FROM (SELECT near.*, n AS j FROM near JOIN num ON n < ny) WHERE {meets()}),
-counts AS (SELECT {keys}, k, delta, CAST(count(*) AS BIGINT) AS n_boxes FROM cells GROUP BY {keys}, k, delta)"""
+tall AS (SELECT *, unnest(range(CAST(greatest(0, floor((least(ya, yb) - ymin) / delta) - 1) AS BIGINT), CAST(least(ny - 1, floor((greatest(ya, yb) - ymin) / delta) + 1) AS BIGINT) + 1)) AS j FROM near),
+cells AS (SELECT DISTINCT {keys}, k, delta, i, j FROM tall WHERE {meets()}),
+counts AS MATERIALIZED (SELECT {keys}, k, delta, CAST(count(*) AS BIGINT) AS n_boxes FROM cells GROUP BY {keys}, k, delta)"""
 
 
 FEATURES = """turned AS (

@@ -62,4 +62,5 @@ def by_angle(segs: DataFrame, scales: DataFrame, angles: Sequence[float] = ANGLE
     fit = boxcount.regression(counts, ["curve_id", "angle_idx", "rotation"])
     return fit.groupBy("curve_id").agg(
         F.count(F.lit(1)).alias("n_angles"), F.min("slope").alias("min_dimension"), F.max("slope").alias("max_dimension"), F.avg("slope").alias("mean_dimension"), F.stddev_pop("slope").alias("std_dimension"),
+        F.min_by("rotation", F.struct("slope", "angle_idx")).alias("min_angle"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,15 +13,25 @@ from coastline.operators import boxcount, curves, generators
 
 #: Fixed values of the grid: 8 deltas from m / 10 to m / 2 (log), 10 factors from 1.3 to 2.5, 7 step counts.
 STEPS = (8, 10, 12, 14, 16, 18, 20)
+#: Fixed values of the evolution: generations at most, people for each parameter, and how alike their scores end.
+GENERATIONS, PEOPLE, TOLERANCE = 100, 15, 1e-6
+#: Generations without a better best after which the search ends; in trials the best was found within half as many.
+PATIENCE = 10
 
 
 def linspace(a: float, b: float, n: int) -> list[float]:
     return [a + (b - a) * i / (n - 1) for i in range(n)]
 
 
+FACTORS = tuple(linspace(1.3, 2.5, 10))
+
+
+def grid_deltas(smaller_side: float) -> list[float]:
+    return [10**x for x in linspace(math.log10(smaller_side / 10), math.log10(smaller_side / 2), 8)]
+
+
 def default_grid(spark, smaller_side: float) -> DataFrame:
-    deltas = [10**x for x in linspace(math.log10(smaller_side / 10), math.log10(smaller_side / 2), 8)]
-    return generators.parameter_grid(spark, deltas, linspace(1.3, 2.5, 10), STEPS)
+    return generators.parameter_grid(spark, grid_deltas(smaller_side), FACTORS, STEPS)
 
 
 def evaluate(segs: DataFrame, combos: DataFrame, target: float) -> DataFrame:
@@ -51,35 +62,57 @@ def top(scored: DataFrame, k: int = 20) -> DataFrame:
     return scored.orderBy("score", "combo_idx", "curve_id").limit(k)
 
 
-def differential_evolution(segs: DataFrame, target: float, generations: int = 8, population: int = 15, seed: int = 42, weight: float = 0.7, cross: float = 0.9) -> DataFrame:
-    """One curve's parameters by evolution: (curve_id, initial_delta, delta_factor, num_steps, dimension, score).
+def fine_score(scored: DataFrame) -> DataFrame:
+    """(combo_idx, s) of one curve's combinations: |D - target| + 10 (1 - r squared)."""
+    return scored.select("combo_idx", (F.col("score") + 10 * (1 - F.col("r_squared"))).alias("s"))
+
+
+def differential_evolution(
+    segs: DataFrame, target: float, generations: int = GENERATIONS, people: int = PEOPLE, seed: int = 42, cross: float = 0.7, tolerance: float = TOLERANCE, patience: int = PATIENCE,
+    score: Callable[[DataFrame], DataFrame] = fine_score,
+) -> DataFrame:
+    """One curve's parameters by evolution: (curve_id, initial_delta, delta_factor, num_steps, score, generations).
 
-    A generation's candidates are one DataFrame and one job; only their scores,
-    ``population`` rows, come to the driver. The score adds 10 (1 - r squared);
-    invalid candidates get 1e6.
+    A population of ``people`` for each of the three parameters moves between the
+    best one and the difference of two others, with a weight that is drawn anew
+    each generation. A generation's candidates are one DataFrame and one job;
+    only their scores come to the driver. It ends when all scores are as good as
+    equal, when ``patience`` generations have brought no better one, or after
+    ``generations``. Candidates that are not valid get 1e6. Several curves are an
+    error: each needs a search of its own.
     """
     spark = segs.sparkSession
-    box = curves.bounding_boxes(segs).first()
+    boxes = curves.bounding_boxes(segs).limit(2).collect()
+    if len(boxes) != 1:
+        raise ValueError("differential evolution takes the segments of one curve")
+    box, n = boxes[0], 3 * people
     m = min(box.width, box.height)
     low, high = np.array([math.log(m / 20), math.log(1.2), 5.0]), np.array([math.log(m / 2), math.log(3.0), 25.0])
     rng = np.random.default_rng(seed)
-    people = low + rng.random((population, 3)) * (high - low)
+    # one of the population in each of n equal parts of every parameter's range
+    crowd = low + (np.stack([rng.permutation(n) for _ in range(3)], 1) + rng.random((n, 3))) / n * (high - low)
+    segs = segs.cache()
 
-    def score(rows: np.ndarray) -> np.ndarray:
+    def scores(rows: np.ndarray) -> np.ndarray:
         combos = spark.createDataFrame([(i, float(math.exp(a)), float(math.exp(b)), int(round(c))) for i, (a, b, c) in enumerate(rows)], "combo_idx long, initial_delta double, delta_factor double, num_steps int")
         out = np.full(len(rows), 1e6)
-        for r in evaluate(segs, combos, target).select("combo_idx", (F.col("score") + 10 * (1 - F.col("r_squared"))).alias("s")).collect():
+        for r in score(evaluate(segs, combos, target)).collect():
             out[r.combo_idx] = r.s
         return out
 
-    fitness = score(people)
-    for _ in range(generations):
-        picks = np.array([rng.permutation(population)[:3] for _ in range(population)])
-        mutant = np.clip(people[picks[:, 0]] + weight * (people[picks[:, 1]] - people[picks[:, 2]]), low, high)
-        keep = rng.random((population, 3)) < cross
-        trial = np.where(keep, mutant, people)
-        new = score(trial)
+    fitness, done, idle = scores(crowd), 0, 0
+    while done < generations and idle < patience and fitness.std() > tolerance * (1 + abs(fitness.mean())):
+        picks = np.array([rng.permutation(n)[:2] for _ in range(n)])
+        mutant = crowd[fitness.argmin()] + rng.uniform(0.5, 1.0) * (crowd[picks[:, 0]] - crowd[picks[:, 1]])
+        outside = (mutant < low) | (mutant > high)
+        mutant = np.where(outside, low + rng.random((n, 3)) * (high - low), mutant)
+        keep = rng.random((n, 3)) < cross
+        keep[np.arange(n), rng.integers(0, 3, n)] = True
+        trial = np.where(keep, mutant, crowd)
+        new = scores(trial)
+        idle = 0 if new.min() < fitness.min() - 1e-12 else idle + 1
         better = new <= fitness
-        people, fitness = np.where(better[:, None], trial, people), np.where(better, new, fitness)
-    a, b, c = people[fitness.argmin()]
-    return spark.createDataFrame([(box.curve_id, math.exp(a), math.exp(b), int(round(c)), float(fitness.min()))], "curve_id string, initial_delta double, delta_factor double, num_steps int, score double")
+        crowd, fitness, done = np.where(better[:, None], trial, crowd), np.where(better, new, fitness), done + 1
+    segs.unpersist()
+    a, b, c = crowd[fitness.argmin()]
+    return spark.createDataFrame([(box.curve_id, math.exp(a), math.exp(b), int(round(c)), float(fitness.min()), done)], "curve_id string, initial_delta double, delta_factor double, num_steps int, score double, generations int")

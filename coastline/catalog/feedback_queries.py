@@ -19,7 +19,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders").selectExpr(
         f"{k} as record_id", f"lpad(cast({k} * 7919 % 100003 as string), 6, '0') as timestamp",
         f"element_at(array('koch_curve', 'straight_line', 'complex_fractal', 'simple_curve', 'moderate_fractal'), cast({k} % 5 as int) + 1) as interface_type", "concat('impl_', o_orderstatus) as implementation",
-        f"named_struct('n_segments', cast(pow(4, 1 + {k} * 31 % 5) as bigint), 'tortuosity', 1 + ({k} % 7) / 2D + ({k} % 29) / 7D, 'mean_segment_length', ({k} % 23) / 40D) as features",
+        f"named_struct('n_segments', cast(pow(4, 1 + {k} * 31 % 5) as bigint), 'tortuosity', 1 + ({k} % 7) / 2D + ({k} % 29) / 7D, 'mean_segment_length', ({k} % 23) / 40D, 'complexity_score', ({k} % 31) / 20D, 'direction_change_rate', ({k} % 9) / 10D, 'characteristic_length', 0.5D * (1 + {k} % 7) + ({k} % 5) / 10D, 'linearity_r_squared', 1 - ({k} % 4) / 8D - ({k} % 53) / 530D) as features",
         f"named_struct('initial_delta', 0.25D * (1 + {k} % 7), 'delta_factor', 1.25D + 0.25D * ({k} % 4), 'num_steps', cast(8 + {k} % 12 as double)) as suggested_parameters",
         f"case when {k} % 13 = 0 then null when {k} % 17 = 0 then double('NaN') else (1 + ({k} % 4) * 0.25D) * (1 + (({k} % 41) - 20) / 200D) end as dimension_result",
         f"case when {k} % 11 = 0 then null else 1 + ({k} % 4) * 0.25D end as theoretical_dimension", f"0.9D + ({k} % 10) * 0.01D as r_squared", f"({k} % 97) / 10D as computation_time",
@@ -31,6 +31,7 @@ _LOG = """raw AS (
   SELECT o_orderkey AS record_id, lpad(CAST(o_orderkey * 7919 % 100003 AS VARCHAR), 6, '0') AS timestamp,
     ['koch_curve', 'straight_line', 'complex_fractal', 'simple_curve', 'moderate_fractal'][CAST(o_orderkey % 5 AS INTEGER) + 1] AS interface_type, 'impl_' || o_orderstatus AS implementation,
     CAST(pow(4, 1 + o_orderkey * 31 % 5) AS BIGINT) AS n_segments, 1 + (o_orderkey % 7) / 2e0 + (o_orderkey % 29) / 7e0 AS tortuosity, (o_orderkey % 23) / 40e0 AS mean_segment_length,
+    (o_orderkey % 31) / 20e0 AS complexity_score, (o_orderkey % 9) / 10e0 AS direction_change_rate, 0.5e0 * (1 + o_orderkey % 7) + (o_orderkey % 5) / 10e0 AS characteristic_length, 1 - (o_orderkey % 4) / 8e0 - (o_orderkey % 53) / 530e0 AS linearity_r_squared,
     0.25e0 * (1 + o_orderkey % 7) AS initial_delta, 1.25e0 + 0.25e0 * (o_orderkey % 4) AS delta_factor, CAST(8 + o_orderkey % 12 AS DOUBLE) AS num_steps,
     CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN 'NaN'::DOUBLE ELSE (1 + (o_orderkey % 4) * 0.25e0) * (1 + ((o_orderkey % 41) - 20) / 200e0) END AS dimension_result,
     CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 1 + (o_orderkey % 4) * 0.25e0 END AS theoretical_dimension, 0.9e0 + (o_orderkey % 10) * 0.01e0 AS r_squared
@@ -167,29 +168,36 @@ def success_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(feedback.success_by_type(log(spark, sf_dir)))
 
 
-@query(_L + "SELECT CAST(count(*) AS BIGINT) AS n_records, CAST(3 AS BIGINT) AS n_features, CASE WHEN count(*) < 20 THEN 'insufficient' WHEN count(*) < 30 THEN 'limited' ELSE 'ready' END AS readiness FROM log")
+@query(_L + "SELECT CAST(count(*) AS BIGINT) AS n_records, CAST(7 AS BIGINT) AS n_features, CASE WHEN count(*) < 20 THEN 'insufficient' WHEN count(*) < 30 THEN 'limited' ELSE 'ready' END AS readiness FROM log")
 def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.feature_coverage(log(spark, sf_dir))
 
 
-CORRELATED = ("tortuosity", "mean_segment_length", "n_segments")
+CORRELATED = ("tortuosity", "complexity_score", "direction_change_rate", "mean_segment_length", "characteristic_length", "linearity_r_squared")
 _PAIRS = " UNION ALL ".join(f"SELECT '{f}' AS feature, '{p}' AS parameter, CAST({f} AS DOUBLE) AS x, {p} AS y FROM log" for f in CORRELATED for p in feedback.PARAMETERS)
-_CORR = f"{_L}, pairs AS ({_PAIRS}), c AS (SELECT feature, parameter, CAST(count(*) AS BIGINT) AS n, corr(y, x) AS r FROM pairs GROUP BY feature, parameter) "
+#: p by integrating the t distribution's density: with u = atan(t / sqrt(n - 2)) it is a power of the cosine, over 20,000 even steps.
+_CORR = f"""{_L}, pairs AS ({_PAIRS}), c AS (SELECT feature, parameter, CAST(count(*) AS BIGINT) AS n, corr(y, x) AS r FROM pairs GROUP BY feature, parameter),
+u AS (SELECT *, n - 2 AS df, atan(abs(r) / sqrt(1 - r * r)) / 20000 AS h FROM c),
+w AS (SELECT feature, parameter, n, r, df, h, sum(CASE WHEN i = 0 OR i = 20000 THEN 0.5e0 ELSE 1e0 END * pow(cos(h * i), df - 1)) AS s FROM u, (SELECT unnest(range(0, 20001)) AS i) GROUP BY feature, parameter, n, r, df, h),
+p AS (SELECT feature, parameter, n, r, greatest(0e0, 1 - 2 * s * h * exp(lgamma((df + 1) / 2e0) - lgamma(df / 2e0)) / sqrt(pi())) AS p FROM w) """
 
 
 def _flat(df: DataFrame) -> DataFrame:
     return df.select("record_id", "features.*", "suggested_parameters.*")
 
 
-@query(_CORR + "SELECT feature, parameter, n, round(r, 6) + 0.0 AS r FROM c")
+def _correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback.correlations(_flat(log(spark, sf_dir)), list(CORRELATED), list(feedback.PARAMETERS))
+
+
+@query(_CORR + "SELECT feature, parameter, n, round(r, 6) + 0.0 AS r, round(p, 6) + 0.0 AS p, CASE WHEN p < 0.01e0 THEN '**' WHEN p < 0.05e0 THEN '*' ELSE '' END AS stars FROM p")
 def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(feedback.correlations(_flat(log(spark, sf_dir)), list(CORRELATED), list(feedback.PARAMETERS)))
+    return rounded(_correlations(spark, sf_dir))
 
 
-@query(_CORR + "SELECT feature, parameter, round(abs(r), 6) AS strength FROM c WHERE abs(r) > 0.001e0 ORDER BY abs(r) DESC LIMIT 3")
+@query(_CORR + "SELECT feature, parameter, round(r, 6) + 0.0 AS r, round(p, 6) + 0.0 AS p, CASE WHEN r > 0 THEN 'increases' ELSE 'decreases' END AS direction FROM p WHERE abs(r) > 0.3e0 AND p < 0.05e0")
 def pearson_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = feedback.correlations(_flat(log(spark, sf_dir)), list(CORRELATED), list(feedback.PARAMETERS)).withColumn("strength", F.abs("r"))
-    return rounded(out.where("strength > 0.001").orderBy(F.col("strength").desc()).limit(3).select("feature", "parameter", "strength"))
+    return rounded(feedback.strong(_correlations(spark, sf_dir)))
 
 
 def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:

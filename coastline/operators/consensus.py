@@ -57,3 +57,33 @@ def parameter_error(pred: DataFrame, actual: DataFrame) -> DataFrame:
     errors = [F.when(F.col(f"a_{c}") == 0, F.lit(float("inf"))).otherwise(F.abs(F.col(c) - F.col(f"a_{c}")) / F.abs(F.nullif(F.col(f"a_{c}"), F.lit(0))) * 100) for c in p]
     out = both.select("curve_id", (reduce(lambda a, b: a + b, errors) / 3).alias("error_pct"))
     return out.withColumn("grade", F.when(F.col("error_pct") < 50, "good").when(F.col("error_pct") < 100, "fair").otherwise("poor"))
+
+
+def truncating(methods: DataFrame, scales: DataFrame, n_methods: int = 4) -> DataFrame:
+    """Another consensus: means weighted by confidence alone, whole steps cut off, confidence over ``n_methods``.
+
+    scales: (curve_id, domain_scale), for curves without a method that counts.
+    """
+    w = F.when(F.col("confidence") > 0, F.col("confidence"))
+    sums = [F.sum(w * F.col(c)).alias(f"_{c}") for c in ("initial_delta", "delta_factor", "num_steps")]
+    out = scales.join(methods.groupBy("curve_id").agg(F.sum(w).alias("_w"), *sums), "curve_id", "left")
+    some = F.col("_w").isNotNull()
+    return out.select(
+        "curve_id", F.when(some, F.col("_initial_delta") / F.col("_w")).otherwise(F.col("domain_scale") / 100).alias("initial_delta"), F.when(some, F.col("_delta_factor") / F.col("_w")).otherwise(1.5).alias("delta_factor"),
+        F.when(some, F.floor(F.col("_num_steps") / F.col("_w"))).otherwise(15).cast("int").alias("num_steps"), F.coalesce(F.col("_w") / n_methods, F.lit(0.0)).alias("confidence"),
+    )
+
+
+def scale_candidates(params: DataFrame) -> DataFrame:
+    """(curve_id, initial_delta, delta_factor, num_steps, domain_width, interface_width) -> four sets to try for each curve."""
+    own = [F.col("delta_factor"), F.floor("num_steps").cast("int")]
+    sets = [("suggested", F.col("initial_delta"), *own), ("domain_scaled", F.col("domain_width") * 0.05, *own), ("interface_scaled", F.col("interface_width") * 0.2, *own), ("conservative", F.lit(0.01), F.lit(1.5), F.lit(20))]
+    rows = [F.struct(F.lit(i).alias("combo_idx"), F.lit(n).alias("name"), d.cast("double").alias("initial_delta"), f.cast("double").alias("delta_factor"), k.alias("num_steps")) for i, (n, d, f, k) in enumerate(sets)]
+    return params.select("curve_id", F.inline(F.array(*rows)))
+
+
+def best_fit(measured: DataFrame) -> DataFrame:
+    """Of each curve's measured sets (combo_idx, dimension, r_squared) the first with the best fit."""
+    ok = measured.where("dimension is not null and not isnan(dimension)")
+    rest = [c for c in measured.columns if c != "curve_id"]
+    return ok.groupBy("curve_id").agg(F.min_by(F.struct(*rest), F.struct(-F.col("r_squared"), "combo_idx")).alias("b")).select("curve_id", "b.*")

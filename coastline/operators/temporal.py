@@ -2,43 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-START_FACTOR, START_STEPS = 1.4, 15
-
-
-def _next(acc: Column, scale: Column) -> Column:
-    """Parameters for the next frame from the last ones and the two counts before it."""
-    p = acc["p"]
-    change = F.when(acc["n2"] > 0, (acc["n1"] - acc["n2"]) / acc["n2"])
-    fast, slow = change > 0.5, change < 0.1
-    delta = F.when(acc["k"] == 0, scale / 200).when(acc["k"] == 1, p["delta"] * 0.95).when(fast, p["delta"] * 0.8).when(slow, p["delta"]).otherwise(p["delta"] * 0.9)
-    factor = F.when(acc["k"] == 0, START_FACTOR).when(fast & (acc["k"] > 1), F.least(p["factor"] + 0.1, F.lit(2.0))).otherwise(p["factor"])
-    steps = F.when(acc["k"] == 0, START_STEPS).when(acc["k"] == 1, p["steps"]).when(fast, F.least(p["steps"] + 2, F.lit(20))).when(slow, p["steps"]).otherwise(p["steps"] + 1)
-    return F.struct(delta.cast("double").alias("delta"), factor.cast("double").alias("factor"), steps.cast("int").alias("steps"))
+START_FACTOR, START_STEPS, FAST_STEPS = 1.4, 15, 20
 
 
 def recurrence(frames: DataFrame) -> DataFrame:
     """(series_id, time, n_segments, domain_scale) -> with initial_delta, delta_factor, num_steps.
 
-    An ordered fold over the frames of each series; what a frame gets depends on
-    the counts of the two before it.
+    What a frame gets depends on its place and on how the counts of the two
+    frames before it changed: the size shrinks by a factor of its own for each
+    kind of change, the ladder's factor grows with every fast one up to 2, and
+    the steps add up, where a fast change also caps them at 20. Written out, the
+    first is a product of powers of three numbers of frames so far, and the steps
+    are a running sum plus a running least of what the caps leave: windows over
+    each series, which keep nothing but the last row. A count of zero makes the
+    change unknown, which counts as a moderate one.
     """
-    lists = frames.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("time", F.col("n_segments").cast("double").alias("n"), F.col("domain_scale").cast("double").alias("scale")))).alias("f"))
-    state = "struct<k:int,n1:double,n2:double,p:struct<delta:double,factor:double,steps:int>,out:array<struct<time:double,n:double,delta:double,factor:double,steps:int>>>"
-    zero = F.struct(
-        F.lit(0).alias("k"), F.lit(0.0).alias("n1"), F.lit(0.0).alias("n2"), F.struct(F.lit(0.0).alias("delta"), F.lit(0.0).alias("factor"), F.lit(0).alias("steps")).alias("p"),
-        F.array().cast("array<struct<time:double,n:double,delta:double,factor:double,steps:int>>").alias("out"),
-    ).cast(state)
-
-    def step(acc: Column, x: Column) -> Column:
-        p = _next(acc, x["scale"])
-        row = F.struct(x["time"].cast("double").alias("time"), x["n"].alias("n"), p["delta"].alias("delta"), p["factor"].alias("factor"), p["steps"].alias("steps"))
-        return F.struct((acc["k"] + 1).alias("k"), x["n"].alias("n1"), acc["n1"].alias("n2"), p.alias("p"), F.array_append(acc["out"], row).alias("out")).cast(state)
-
-    done = lists.select("series_id", F.inline(F.aggregate("f", zero, step, lambda a: a["out"])))
-    return done.select("series_id", "time", F.col("n").cast("bigint").alias("n_segments"), F.col("delta").alias("initial_delta"), F.col("factor").alias("delta_factor"), F.col("steps").alias("num_steps"))
+    order = Window.partitionBy("series_id").orderBy("time")
+    df = frames.withColumns({"k": F.row_number().over(order), "n1": F.lag("n_segments", 1).over(order), "n2": F.lag("n_segments", 2).over(order), "scale": F.first("domain_scale").over(order)})
+    change = (F.col("n1") - F.col("n2")) / F.nullif(F.col("n2").cast("double"), F.lit(0.0))
+    df = df.withColumn("kind", F.when(F.col("k") == 1, "first").when(F.col("k") == 2, "second").when(change > 0.5, "fast").when(change < 0.1, "slow").otherwise("moderate"))
+    so_far = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).over(order)
+    df = df.withColumns({"fast": so_far("fast"), "second": so_far("second"), "moderate": so_far("moderate")})
+    df = df.withColumn("added", 2 * F.col("fast") + F.col("moderate"))
+    df = df.withColumn("cap", F.min(F.when(F.col("kind") == "fast", FAST_STEPS - F.col("added"))).over(order))
+    delta = F.col("scale") / 200 * F.pow(F.lit(0.95), "second") * F.pow(F.lit(0.8), "fast") * F.pow(F.lit(0.9), "moderate")
+    steps = F.col("added") + F.least(F.lit(START_STEPS), F.coalesce("cap", F.lit(START_STEPS)))
+    factor = F.least(START_FACTOR + 0.1 * F.col("fast"), F.lit(2.0))
+    return df.select("series_id", "time", F.col("n_segments").cast("bigint").alias("n_segments"), delta.alias("initial_delta"), factor.alias("delta_factor"), steps.cast("int").alias("num_steps"))
 
 
 def summary(evolution: DataFrame) -> DataFrame:

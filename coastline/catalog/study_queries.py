@@ -119,7 +119,7 @@ def temporal_evolution_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'best' AS name, interface, CASE WHEN p < 0.01e0 THEN '**' WHEN p < 0.05e0 THEN '*' ELSE '' END AS stars, CASE WHEN e < 2 THEN 'excellent' WHEN e < 5 THEN 'good' WHEN e < 10 THEN 'fair' ELSE 'poor' END AS grade
+    """SELECT 'best' AS name, interface, CASE WHEN p < 0.001e0 THEN '***' WHEN p < 0.01e0 THEN '**' WHEN p < 0.05e0 THEN '*' ELSE '' END AS stars, CASE WHEN e < 2 THEN 'excellent' WHEN e < 5 THEN 'good' WHEN e < 10 THEN 'fair' ELSE 'poor' END AS grade
 FROM (SELECT o_orderkey AS interface, (o_orderkey % 100) / 1000e0 AS p, (o_orderkey % 37) / 3e0 AS e FROM orders)"""
 )
 def significance_grades(spark: SparkSession, sf_dir: str) -> DataFrame:

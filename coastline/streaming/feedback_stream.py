@@ -31,6 +31,10 @@ def status_by_window(stream: DataFrame, window: str = "1 hour", late: str = "2 h
     return timed.groupBy(F.window("at", window), "implementation").agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("successes"))
 
 
+#: Seconds added to a frame's time for its event time: a stream's watermark starts at 0, and frames at 0 would be late.
+OFFSET = 86_400.0
+
+
 def _step(state: tuple, n_segments: float, scale: float) -> tuple:
     """The batch recurrence, one frame at a time: (count, n1, n2, delta, factor, steps)."""
     count, n1, n2, delta, factor, steps = state
@@ -54,14 +58,14 @@ def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     for frame in frames:
         waiting += [(float(t), int(n), float(z)) for t, n, z in zip(frame["time"], frame["n_segments"], frame["domain_scale"], strict=True) if t > last]
     waiting.sort()
-    passed, rows = state.getCurrentWatermarkMs() / 1000, []
+    passed, rows = state.getCurrentWatermarkMs() / 1000 - OFFSET, []
     while waiting and waiting[0][0] <= passed:
         last, n, scale = waiting.pop(0)
         now = _step(now, n, scale)
         rows.append((key[0], last, n, *now[3:]))
     state.update((*now, last, waiting))
     if waiting:
-        state.setTimeoutTimestamp(int(max(waiting[0][0], passed) * 1000) + 1)
+        state.setTimeoutTimestamp(int((max(waiting[0][0], passed) + OFFSET) * 1000) + 1)
     yield pd.DataFrame(rows, columns=["series_id", "time", "n_segments", "initial_delta", "delta_factor", "num_steps"])
 
 
@@ -72,5 +76,5 @@ def temporal_parameters(frames: DataFrame, late: str = "10 seconds") -> DataFram
     ``late``; a frame comes out once the watermark has passed it, and one that
     comes after a later frame has come out is left out.
     """
-    timed = frames.withColumn("at", F.timestamp_micros((F.col("time") * 1_000_000).cast("bigint"))).withWatermark("at", late)
+    timed = frames.withColumn("at", F.timestamp_micros(((F.col("time") + OFFSET) * 1_000_000).cast("bigint"))).withWatermark("at", late)
     return timed.groupBy("series_id").applyInPandasWithState(_advance, PARAMETERS, STATE, "append", GroupStateTimeout.EventTimeTimeout)

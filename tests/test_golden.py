@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coastline.operators import boxcount, consensus, curvature, curves, features, generators, rules, search, selfsim, spectrum, temporal
+from coastline.operators import boxcount, consensus, convergence, curvature, curves, features, feedback, generators, rules, search, selfsim, spectrum, temporal
+from coastline.plans import studies
 
 
 def box_dimension(segs, delta, factor, steps, domain=None):
@@ -139,10 +140,72 @@ def test_circle_has_constant_curvature(spark):
         assert [r.curvature for r in f(df).collect()] == pytest.approx([0.5] * 40, abs=1e-6)
 
 
-def test_evolution_is_at_least_as_good_as_a_guess(spark):
+def test_evolution_is_no_worse_than_the_grid(spark):
     segs = generators.koch(spark, 2)
-    got = search.differential_evolution(segs, 1.2618595, generations=1, population=6).first()
-    assert 0 <= got.score < 1e6
+    target = 1.2618595
+    side = curves.bounding_boxes(segs).first().height
+    grid = search.fine_score(search.evaluate(segs, search.default_grid(spark, side), target)).agg(F.min("s")).first()[0]
+    got = search.differential_evolution(segs, target).first()
+    assert got.score <= grid + 1e-3 and got.generations >= 10
+    with pytest.raises(ValueError):
+        search.differential_evolution(segs.unionByName(generators.hilbert(spark, 2)), target)
+
+
+def test_transform_is_a_circular_correlation():
+    """Against the plain sum, with wavelets shorter and longer than the signal, and a given wavelet."""
+    rng = np.random.default_rng(2)
+    z, scales = rng.standard_normal(24), np.array([0.1, 1.0, 2.5, 6.0])
+    for wavelet in (spectrum.morlet, lambda t: np.exp(-(t**2)) * (1 - t**2) + 0j):
+        got = spectrum.transform(z, scales, wavelet)
+        for row, s in zip(got, scales, strict=True):
+            w = wavelet(np.arange(-3 * s, 3 * s, 1.0) / s) / np.sqrt(s)
+            if len(w) > 24:
+                w = w[len(w) // 2 - 12 :][:24]
+            else:
+                before = (24 - len(w)) // 2
+                w = np.concatenate([np.zeros(before), w, np.zeros(24 - len(w) - before)])
+            g = np.conj(w[::-1])
+            assert row == pytest.approx(np.array([sum(z[j] * g[(m - j) % 24] for j in range(24)) for m in range(24)]))
+
+
+def test_peaks_and_their_fallback():
+    assert spectrum.peaks(np.array([0, 1, 0, 2, 2, 2, 0, 3.0, 3.0, 1, 5]), 0.5) == [1, 4, 7]
+    assert spectrum.peaks(np.array([0, 0.04, 0]), 0.05) == [] and spectrum.peaks(np.array([2, 2, 1.0]), 0) == []
+    row = spectrum.wavelet_row(np.linspace(0, 1, 64), 1.0)
+    assert len(row["dominant_scales"]) >= 1 and 0 <= row["energy_concentration"] + 1 <= 2 and sum(row["energy_distribution"]) == pytest.approx(1)
+
+
+def test_p_values(spark):
+    """Against an integral of the t distribution's density."""
+
+    def plain(r, n, steps=20_000):
+        if abs(r) >= 1:
+            return 0.0
+        h = math.atan(abs(r) / math.sqrt(1 - r * r)) / steps
+        s = 0.5 * (1 + math.cos(h * steps) ** (n - 3)) + sum(math.cos(h * i) ** (n - 3) for i in range(1, steps))
+        return 1 - 2 * s * h * math.exp(math.lgamma((n - 1) / 2) - math.lgamma((n - 2) / 2)) / math.sqrt(math.pi)
+
+    rows = [(r, n) for r in (-0.9, -0.3, 0.0, 0.05, 0.5, 0.99, 1.0) for n in (3, 4, 5, 45, 1000)]
+    for x in spark.createDataFrame(rows, "r double, n long").withColumn("p", feedback.t_test(F.col("r"), F.col("n"))).collect():
+        assert x.p == pytest.approx(plain(x.r, x.n), abs=1e-8)
+
+
+def test_library_stays_within_its_budget(spark):
+    kept = convergence.within_budget(studies.levels(spark), generators.registry(spark)).collect()
+    top = {}
+    for r in kept:
+        top[r.fractal] = max(top.get(r.fractal, 0), r.level)
+    assert studies.levels(spark).count() == 36 and top == {"koch": 7, "dragon": 8, "hilbert": 8, "minkowski": 5, "sierpinski": 8}
+    for name, level, n in (("koch", 2, 16), ("dragon", 3, 64), ("hilbert", 3, 63), ("minkowski", 2, 64), ("sierpinski", 3, 81)):
+        assert studies.make(spark, name, level).count() == n
+
+
+def test_candidates_and_best_fit(spark):
+    p = spark.createDataFrame([("a", 0.5, 1.4, 12.9, 2.0, 1.0)], "curve_id string, initial_delta double, delta_factor double, num_steps double, domain_width double, interface_width double")
+    got = consensus.scale_candidates(p).collect()
+    assert [(r.name, r.initial_delta, r.num_steps) for r in got] == [("suggested", 0.5, 12), ("domain_scaled", 0.1, 12), ("interface_scaled", 0.2, 12), ("conservative", 0.01, 20)]
+    m = spark.createDataFrame([("a", 0, 1.2, 0.9), ("a", 1, 1.3, 0.95), ("a", 2, 1.4, 0.95), ("a", 3, float("nan"), 1.0)], "curve_id string, combo_idx int, dimension double, r_squared double")
+    assert consensus.best_fit(m).first().combo_idx == 1
 
 
 def test_empty_and_single(spark):

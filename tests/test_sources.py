@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coastline.operators import contour, generators, temporal
-from coastline.plans import comprehensive
+from coastline.plans import comprehensive, studies
 from coastline.sources import fields, logs, segments
 from coastline.streaming import feedback_stream
 
@@ -65,14 +65,39 @@ def test_saved_run_round_trip(spark, tmp_path):
     assert [(r.time, r.n_segments, r.num_steps) for r in back] == [(0.0, 5, 15), (1.0, 10, 15)]
 
 
+def stream_of(spark, tmp_path, batches):
+    for rows in batches:
+        spark.createDataFrame(rows, feedback_stream.FRAME).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(feedback_stream.FRAME).json(str(tmp_path / "in"))
+        out = feedback_stream.temporal_parameters(stream, "3 seconds").writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+        out.start(str(tmp_path / "out")).awaitTermination(120)
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    frames = [("a", float(t), n, 0.3975) for t, n in enumerate([475, 2624, 3412, 4116])]
-    df = spark.createDataFrame(frames, feedback_stream.FRAME)
+    """Frames out of order within the watermark, and counts of zero; the last batch lets the watermark pass all frames."""
+    sizes = [475, 2624, 0, 4116, 0, 0, 5435, 6000]
+    frames = [("a", float(t), n, 0.3975) for t, n in enumerate(sizes)] + [("b", float(t), 100 * 2**t, 1.0) for t in range(8)]
+    early = [f for f in frames if f[1] < 5]
+    batches = [[f for f in early if f[1] != 2], [f for f in frames if f[1] in (2, 5)] + [frames[-1]], [f for f in frames if f[1] >= 6 and f != frames[-1]], [("z", 1000.0, 1, 1.0)], [("z", 2000.0, 1, 1.0)]]
+    got = {(r.series_id, r.time, round(r.initial_delta, 12), round(r.delta_factor, 9), r.num_steps) for r in stream_of(spark, tmp_path, batches).collect() if r.series_id != "z"}
+    batch = temporal.recurrence(spark.createDataFrame(frames, feedback_stream.FRAME))
+    assert got == {(r.series_id, r.time, round(r.initial_delta, 12), round(r.delta_factor, 9), r.num_steps) for r in batch.collect()}
+
+
+def test_run_over_files(spark, tmp_path):
     for k in range(4):
-        df.where(F.col("time") == k).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(feedback_stream.FRAME).option("maxFilesPerTrigger", 100).json(str(tmp_path / "in"))
-    q = feedback_stream.temporal_parameters(stream).writeStream.format("memory").queryName("params").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r.time, round(r.initial_delta, 12), r.num_steps) for r in spark.table("params").collect()}
-    want = {(r.time, round(r.initial_delta, 12), r.num_steps) for r in temporal.recurrence(df).collect()}
-    assert got == want
+        (tmp_path / f"RT4x4-{2000 + 1000 * k}.vtk").write_text(vtk(21, 21, lambda x, y, k=k: (x - 0.5) ** 2 + (y - 0.5) ** 2 + 0.4 - 0.01 * k))
+    got = studies.evolution_of_files(spark, str(tmp_path), 2.0, 4.0, 1.0).orderBy("time").collect()
+    assert [r.time for r in got] == [2.0, 3.0, 4.0] and [r.num_steps for r in got] == [15, 15, 15]
+    assert all(r.dimension is None or 0.8 < r.dimension < 1.4 for r in got) and all(r.n_segments > 50 for r in got)
+
+
+def test_report(spark, tmp_path):
+    best, scored = studies.optimise(generators.koch(spark, 2), 1.2618595)
+    lines = studies.report(best, scored, 1.2618595, "koch")
+    assert lines[1] == "Curve: koch" and len(lines) == 5 + 8 + 2 + 20
+    studies.write_report(spark, lines, str(tmp_path / "r"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == lines
+    with pytest.raises(ValueError):
+        studies.optimise(generators.koch(spark, 2).unionByName(generators.hilbert(spark, 2)), 1.5)

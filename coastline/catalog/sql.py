@@ -56,11 +56,12 @@ def cells(keys: str = "curve_id") -> str:
     return f"""grid AS (
   SELECT {names.replace('g.', 'l.')}, l.k, l.delta, xmin, ymin, CAST(ceil((xmax - xmin) / delta) AS BIGINT) AS nx, CAST(ceil((ymax - ymin) / delta) AS BIGINT) AS ny
   FROM ladder l JOIN box USING ({keys})),
-cols AS (SELECT {names}, g.k, g.delta, g.xmin, g.ymin, g.ny, x1, y1, x2, y2, unnest(range({first}, {last} + 1)) AS i FROM grid g JOIN segs s ON {on}),
-near AS (
+pairs AS MATERIALIZED (SELECT {names}, g.k, g.delta, g.xmin, g.ymin, g.ny, x1, y1, x2, y2, {first} AS i0, {last} AS i1 FROM grid g JOIN segs s ON {on}),
+cols AS MATERIALIZED (SELECT *, unnest(range(i0, i1 + 1)) AS i FROM pairs),
+near AS MATERIALIZED (
   SELECT *, {ya} AS ya, {yb} AS yb FROM cols
   WHERE NOT ((x1 < xmin + i * delta AND x2 < xmin + i * delta) OR (x1 > xmin + (i + 1) * delta AND x2 > xmin + (i + 1) * delta))),
-tall AS (SELECT *, unnest(range(CAST(greatest(0, floor((least(ya, yb) - ymin) / delta) - 1) AS BIGINT), CAST(least(ny - 1, floor((greatest(ya, yb) - ymin) / delta) + 1) AS BIGINT) + 1)) AS j FROM near),
+tall AS MATERIALIZED (SELECT *, unnest(range(CAST(greatest(0, floor((least(ya, yb) - ymin) / delta) - 1) AS BIGINT), CAST(least(ny - 1, floor((greatest(ya, yb) - ymin) / delta) + 1) AS BIGINT) + 1)) AS j FROM near),
 cells AS (SELECT DISTINCT {keys}, k, delta, i, j FROM tall WHERE {meets()}),
 counts AS MATERIALIZED (SELECT {keys}, k, delta, CAST(count(*) AS BIGINT) AS n_boxes FROM cells GROUP BY {keys}, k, delta)"""
 

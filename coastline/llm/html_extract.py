@@ -23,7 +23,6 @@ but for the page and one named main_text, which is replaced.
 from __future__ import annotations
 
 import random
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,18 +35,20 @@ from coastline.llm.html_blocks import Block, Node, blocks
 TRAINING_PAGES = 800
 
 
-#: Words that boilerplate says.
+#: Words that boilerplate uses.
 SAYS = {
-    "legal": r"©|\(c\) ?[12]|copyright|rights reserved|privacy|terms of|imprint|impressum|disclaimer",
-    "cookie": r"cookie|consent|gdpr|accept all|we use|tracking",
-    "ask": r"subscribe|newsletter|sign ?up|log ?in|sign ?in|register|password|your e-?mail|search",
-    "social": r"share (?:this|on)|tweet|follow us|facebook|twitter|instagram|whatsapp",
-    "reply": r"^repl(?:y|ies)|comments?\b|says?:$|wrote:$|leave a",
-    "ad": r"advert|sponsor|promot|buy now|special offer|% off|shop now|free trial",
-    "more": r"^related|read (?:more|next|also)|you (?:may|might) (?:also )?like|trending|most (?:read|popular)|recommended|recent posts|^tags?:|^categor",
-    "menu": r"^(?:home|about|contact|menu|news|archive|sitemap|skip to|back to top|next|previous|prev)\b",
+    "legal": "© (c) copyright reserved privacy terms imprint impressum disclaimer",
+    "cookie": "cookie cookies consent gdpr tracking",
+    "ask": "subscribe newsletter signup login register password search sign log",
+    "social": "share tweet follow facebook twitter instagram whatsapp",
+    "reply": "reply replies comment comments",
+    "ad": "advert advertisement sponsored sponsor promoted promotion buy shop offer trial",
+    "more": "related trending popular recommended tags categories recent also",
+    "menu": "home about contact menu news archive sitemap skip next previous",
 }
-_SAYS = {k: re.compile(v, re.IGNORECASE) for k, v in SAYS.items()}
+_CUE = {w: k for k, words in SAYS.items() for w in words.split()}
+#: Blocks of as many characters or more are prose, whatever words they use.
+PROSE = 400
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -59,26 +60,38 @@ def path_features(node: Node | None) -> set[str]:
     return (node.features() if node else set()) | {"bias", f"last:{node.tag if node else ''}"}
 
 
-def text_features(found: list[Block]) -> list[tuple[str, ...]]:
-    """For each block of a page what its text, its place and its neighbours say."""
+def text_codes(found: list[Block]) -> list[tuple]:
+    """For each block of a page what its text, its place and its neighbours say, as one key of few values."""
     n = len(found)
-    size = [_size(len(b.text)) for b in found]
-    share = [0 if not b.linked else 1 if 2 * b.linked < len(b.text) else 2 for b in found]
-    kind = [f"{s}{k}{'h' if b.node and b.node.tag in HEADINGS else ''}" for s, k, b in zip(size, share, found, strict=True)]
-    out = []
-    before = max(len(b.text) for b in found) if found else 0
+    kinds, stops, says = [], [], []
+    most = 0
+    for b in found:
+        text = b.text
+        size = len(text)
+        most = max(most, size)
+        kinds.append((_size(size), 0 if not b.linked else 1 if 2 * b.linked < size else 2, b.node is not None and b.node.tag in HEADINGS))
+        stops.append(text[-1] in ".!?…\"”»)")
+        met = _CUE.keys() & {w.strip(".,:;!?") for w in text.lower().split()} if size < PROSE else ()
+        says.append(tuple(sorted({_CUE[w] for w in met})) if met else ())
+    out, last = [], None
     for i, b in enumerate(found):
-        has = [f"says:{k}" for k, p in _SAYS.items() if p.search(b.text)]
-        stop = b.text[-1] in ".!?…\"”»)"
-        out.append(
-            (
-                f"size:{size[i]}", f"links:{share[i]}", f"stop:{stop}", f"kind:{kind[i]}:{stop}", f"place:{8 * i // n}", f"edge:{min(i, 2)}:{min(n - 1 - i, 2)}", f"before:{kind[i - 1] if i else ''}",
-                f"after:{kind[i + 1] if i + 1 < n else ''}", f"most:{4 * len(b.text) >= before}", f"same:{bool(i) and b.node is found[i - 1].node}", f"beside:{bool(i) and b.node is not None and found[i - 1].node is not None and b.node.parent is found[i - 1].node.parent}", *has,
-            )
-        )
+        node, before = b.node, found[i - 1].node if i else None
+        beside = before is not None and node is not None and node.parent is before.parent
+        out.append((kinds[i], stops[i], 8 * i // n, min(i, 2), min(n - 1 - i, 2), last, kinds[i + 1] if i + 1 < n else None, 4 * len(b.text) >= most, bool(i) and node is before, beside, says[i]))
+        last = kinds[i]
     return out
 
 
+@cache
+def spelled(code: tuple) -> tuple[str, ...]:
+    """The features of a key by name."""
+    kind, stop, place, first, last, before, after, long, same, beside, says = code
+    return (
+        f"size:{kind[0]}", f"links:{kind[1]}", f"stop:{stop}", f"kind:{kind}:{stop}", f"place:{place}", f"edge:{first}:{last}", f"before:{before}", f"after:{after}", f"most:{long}", f"same:{same}", f"beside:{beside}",
+        *(f"says:{k}" for k in says),
+    )
+
+
 def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, list[int]]]:
     """(page, label of each of its blocks): pages made from layouts."""
     rng = random.Random(seed)
@@ -129,7 +142,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
             return wrapped(["footer"], ["footer", "site-footer", "copyright", "colophon"], inner, role="contentinfo"), [0] * k
         if kind == "ad":
             if rng.random() < 0.5:
-                return wrapped([], ["ad", "ads", "advert", "sponsored", "promo", "advertisement", "ad-box", "banner-ad"], sentences(1, 3), 0), [0]
+                return wrapped([], ["ad", "ads", "advert", "sponsored", "promo", "advertisement", "ad-box", "banner-ad"], pick(["", "", "Sponsored. ", "Special offer: "]) + sentences(1, 3), 0), [0]
             inner, k = notes(1, 2)
             return wrapped([], ["ad", "ads", "advert", "sponsored", "promo"], inner, 0), [0] * k
         if kind == "notice":
@@ -145,7 +158,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
             return wrapped(["form"], ["form", "search", "newsletter", "subscribe", "login", "signup"], f"<p>{pick(['Subscribe to our newsletter. ', 'Sign up. ', 'Search ', ''])}{sentences(1, 2)}</p><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>", 0.7, role="search"), [0, 0, 0]
         inner, k = "", rng.randint(1, 5)
         for _ in range(k):
-            said = pick([sentences(1, 5), words(1, 4) + "."])
+            said = pick([sentences(1, 5), words(1, 4) + ".", sentences(1, 2) + " Reply"])
             inner += pick([f"<p>{said}</p>", f'<div class="{pick(["comment", "comment-body", "reply"])}"><p>{said}</p></div>'])
         return wrapped([], ["comments", "comment-list", "discussion", "responses", "disqus"], inner, 0), [0] * k
 
@@ -199,7 +212,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
 
 
 def page_features(found: list[Block]) -> list[list[str]]:
-    return [[*sorted(path_features(b.node)), *more] for b, more in zip(found, text_features(found), strict=True)]
+    return [[*sorted(path_features(b.node)), *spelled(code)] for b, code in zip(found, text_codes(found), strict=True)]
 
 
 @cache
@@ -210,6 +223,13 @@ def trained(n: int = TRAINING_PAGES) -> ChainCRF:
 class Extractor:
     def __init__(self, model: ChainCRF):
         self.model = model
+        self.known: dict[tuple, float] = {}  # keys have few values, so there are not many
+
+    def _code(self, code: tuple) -> float:
+        score = self.known.get(code)
+        if score is None:
+            score = self.known[code] = self.model.score(spelled(code))
+        return score
 
     def _path(self, node: Node | None) -> float:
         """The score of an element: that of its parent and of what it adds."""
@@ -224,7 +244,7 @@ class Extractor:
 
     def labels(self, found: list[Block]) -> list[int]:
         last = {t: self.model.score((f"last:{t}",)) for t in {b.node.tag if b.node else "" for b in found}}
-        scores = [self._path(b.node) + last[b.node.tag if b.node else ""] + self.model.score(more) for b, more in zip(found, text_features(found), strict=True)]
+        scores = [self._path(b.node) + last[b.node.tag if b.node else ""] + self._code(code) for b, code in zip(found, text_codes(found), strict=True)]
         return self.model.decode(scores)
 
     def text(self, html: str | None) -> str:

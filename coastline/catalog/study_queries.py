@@ -110,12 +110,12 @@ def _field(spark: SparkSession, frames: int = 6, n: int = 33) -> DataFrame:
 @query()
 def temporal_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contours, carried parameters and dimensions of a run of frames."""
-    return rounded(studies.evolution(_field(spark)), 9)
+    return rounded(studies.evolution(_field(spark), applied=False), 9)
 
 
 @query()
 def temporal_evolution_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.run_json(studies.evolution(_field(spark)), time_step=1.0)
+    return logs.run_json(studies.evolution(_field(spark), applied=False), time_step=1.0)
 
 
 @query(

@@ -58,10 +58,12 @@ def write_report(spark: SparkSession, lines: Sequence[str], path: str) -> None:
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def evolution(field: DataFrame, level: float = 0.5, series_id: str = "run") -> DataFrame:
+def evolution(field: DataFrame, level: float = 0.5, series_id: str = "run", applied: bool = True) -> DataFrame:
     """Frames of a field (time, ix, iy, x, y, f) -> parameters carried from frame to frame, and dimensions measured with them.
 
-    A frame without a contour has no row; one whose parameters fail a gate has
+    The carried parameters start so small that long ladders fail the gate of the
+    smallest size; with ``applied`` off they are only reported, and every frame is
+    measured with eight sizes from a fifth of its larger side down. A frame without a contour has no row; one whose parameters fail a gate has
     no dimension, and the others go on.
     """
     segs = contour.contours(field, level)
@@ -70,6 +72,8 @@ def evolution(field: DataFrame, level: float = 0.5, series_id: str = "run") -> D
     frames = sizes.select(F.lit(series_id).alias("series_id"), F.col("curve_id").cast("double").alias("time"), "n_segments", F.greatest("width", "height").alias("domain_scale"))
     params = temporal.recurrence(frames)
     sets = box.join(params.withColumn("curve_id", F.col("time").cast("string")), "curve_id").drop("series_id", "time", "n_segments")
+    if not applied:
+        sets = sets.withColumns({"initial_delta": F.greatest("width", "height") / 5, "delta_factor": F.lit(1.5), "num_steps": F.lit(8)})
     dims = boxcount.dimensions(segs, sets).select(F.col("curve_id").cast("double").alias("time"), F.when(F.col("valid"), F.col("dimension")).alias("dimension"), F.when(F.col("valid"), F.col("r_squared")).alias("r_squared"))
     return params.join(dims, "time", "left").select("series_id", "time", "n_segments", "initial_delta", "delta_factor", "num_steps", "dimension", "r_squared")
 

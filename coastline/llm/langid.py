@@ -151,12 +151,15 @@ class CrossParser:
             self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
             left = left[self.keys[at[left]] != keys[left]]
             at[left] += 1
-        self.look = np.zeros(0, np.int32)
-        self._dense()
+        self._forget()
+
+    def _forget(self) -> None:
+        """Leave out what is made again where it is used, so that it needn't be held or sent."""
+        self.look, self.table = np.zeros(0, np.int32), None
+        self.first = min(self.width, DENSE // max(1, len(self.owner)))
 
     def _dense(self) -> None:
         """Steps of all states with the first symbols, which are the frequent ones."""
-        self.first = min(self.width, DENSE // max(1, len(self.owner)))
         table = np.empty((len(self.owner), self.first), np.int32)
         for c in range(self.first):
             table[:, c] = self._search(np.arange(len(self.owner), dtype=np.int32), np.full(len(self.owner), c, self.symbol_type))
@@ -171,6 +174,8 @@ class CrossParser:
         rare = np.flatnonzero(symbols >= self.first) if self.first < self.width else ()
         if len(rare) == len(symbols):
             return self._search(states, symbols)
+        if self.table is None:
+            self._dense()
         at = states * np.int64(self.first) + symbols
         if not len(rare):
             return self.table[at]
@@ -341,7 +346,8 @@ def learn(
 
 def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_bits; without its texts unless ``with_text``."""
-    parser.look = np.zeros(0, np.int32)  # made again where it is used
+    if parser.languages:
+        parser._forget()
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score", "lang_bits") and (with_text or f.name != text_col)]
 

@@ -56,7 +56,7 @@ BANDS, ROWS = 40, 4
 SIMILARITY = 75
 CENTRES = 4
 #: Turns of further centres; what they leave open is finished exactly.
-TURNS = 3
+TURNS = 2
 CROWD, SHARE = 16, 8
 LEAST_BANDS = 2
 #: Counters of shingles by their hash, for an order from about the rarest to the most frequent.
@@ -252,6 +252,8 @@ def near_duplicates(
         if more.isEmpty():
             break
         new = cut(confirmed(plausible(more, nodes), texts, size, percent))
+        if new.isEmpty():
+            break
         tried, links = tried.unionByName(more), links.unionByName(new)
         found = components(links)
     own = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))

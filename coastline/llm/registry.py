@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastline.llm import decontaminate, fingerprints, html_extract, langid, licenses, minhash, mixing, oracles, pii, suffixes, tokens
+from coastline.llm import decontaminate, fingerprints, html_extract, langid, licenses, lines, minhash, mixing, oracles, periods, pii, suffixes, tokens, trie
+from coastline.llm.common import WORD, cut
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -90,8 +91,45 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("license_ids").cast("long").alias("n_sentences"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(trie.steps(_table(spark, sf_dir, "conversations")))
+    ids = cut(rows.select("conv").distinct())
+    return trie.trie(trie.rebuilt(rows, ids, 100, F.crc32(F.col("conv").cast("string")) % 6, 5), ids).drop("prefix")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_frequent_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("lines_n").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2("lines_text", 256).alias("kept_sha256"))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text, by the checksum of its id, repeats its words from some word on with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    cutting = docs.select("doc_id", "text", h.alias("h"), words.alias("words")).withColumns({"a": a, "p": p})
+    changed = F.array_join(F.transform("words", lambda _, i: F.get("words", source(i))), " ")
+    return cutting.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repeating(_table(spark, sf_dir, "documents"))
+    out = periods.find_runs(docs, with_text=False)
+    runs = F.col("period_runs")
+    lines = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.withColumn("top", F.get(F.array_sort(F.transform(runs, lambda r: F.struct((-r["length"]).alias("least"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0)))
+    length = -F.col("top.least")
+    return out.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), F.col("top.start").alias("start"), length.alias("length"), F.col("top.period").alias("period"),
+        F.expr("-1000 * top.least div top.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("period_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash_dedup, op3_token_counts, op4_pii, op5_suffix_dedup, op6_decontamination, op7_fingerprints, op8_html_extraction, op9_language_id, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mixing, op2_minhash_dedup, op3_token_counts, op4_pii, op5_suffix_dedup, op6_decontamination, op7_fingerprints, op8_html_extraction, op9_language_id, op10_license_scan, op11_prefix_trie, op12_line_dedup, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,8 +9,8 @@ O(n log n) points over all periods. From every point that repeats at its period,
 how far the two copies agree to the right and to the left is found by binary search
 over prefix hashes, for all (period, point) pairs of a block at once. Equal runs of
 several points and of multiples of a period are one run, of the smallest period. At
-last the words themselves are compared: a run that a hash made too long is measured
-again word by word.
+last the words themselves are compared: where two stretches only hash alike, the
+texts are searched again with hashes of another base.
 
 The work is done by batches of documents in NumPy. Several short texts share one
 array of words and each pair stays inside its own text; a long text is an array of its
@@ -35,15 +35,18 @@ from coastline.llm.shingles import mix
 LEAST_WORDS, REPEATS = 6, 4
 #: Pairs of a period and a point that are searched together; words of short texts that share an array.
 PAIRS, WORDS = 1 << 20, 1 << 16
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def base(turn: int) -> np.uint64:
+    """The odd base of the prefix hashes; another one for each turn."""
+    return np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
 
 
 class Words:
     """Words as numbers, with hashes of all prefixes: a stretch of words hashes alike wherever it stands."""
 
-    def __init__(self, numbers: np.ndarray):
-        self.numbers = numbers
-        up = np.full(len(numbers) + 1, _BASE, np.uint64)
+    def __init__(self, numbers: np.ndarray, turn: int = 0):
+        up = np.full(len(numbers) + 1, base(turn), np.uint64)
         up[0] = 1
         with np.errstate(over="ignore"):
             self.power = np.cumprod(up)
@@ -85,17 +88,17 @@ def _grid(starts: np.ndarray, ends: np.ndarray, repeats: int, least: int) -> Ite
         at = end
 
 
-def _measured(words: np.ndarray, start: int, end: int, first: int, last: int, period: int) -> tuple[int, int]:
-    """The stretch around (start, end) that repeats at the period, word by word, inside the text (first, last)."""
-    same = words[first : last - period] == words[first + period : last]
-    point = min(start, last - period - 1) - first
-    left, right = np.flatnonzero(~same[: point + 1]), np.flatnonzero(~same[point:])
-    return first + (int(left[-1]) + 1 if len(left) else 0), first + (point + int(right[0]) if len(right) else len(same)) + period
+def _true(numbers: np.ndarray, first: int, last: int, start: int, end: int, period: int) -> bool:
+    """Whether the words (start, end) of the text (first, last) repeat at the period, and no word beside them does."""
+    inside = (numbers[start : end - period] == numbers[start + period : end]).all()
+    open_left = start > first and numbers[start - 1] == numbers[start - 1 + period]
+    open_right = end < last and numbers[end] == numbers[end - period]
+    return bool(inside and not open_left and not open_right)
 
 
-def runs_of(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST_WORDS, repeats: int = REPEATS) -> np.ndarray:
+def runs_of(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST_WORDS, repeats: int = REPEATS, turn: int = 0) -> np.ndarray:
     """Rows (text, start, length, period) of all texts' runs, by text, start and period; texts are (start, end) of ``numbers``."""
-    words = Words(numbers)
+    words = Words(numbers, turn)
     found = [np.zeros((0, 4), np.int64)]
     for text, period, point in _grid(starts, ends, repeats, least):
         hit = numbers[point] == numbers[point + period]
@@ -104,20 +107,10 @@ def runs_of(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: in
         behind = words.common(point, point + period, point - starts[text], True)
         length = behind + ahead + period
         ok = length >= np.maximum(least, repeats * period)
-        rows = np.stack([text[ok], (point - behind)[ok], length[ok], period[ok]], 1)
-        found.append(_smallest(rows))
+        found.append(_smallest(np.stack([text[ok], (point - behind)[ok], length[ok], period[ok]], 1)))
     rows = _smallest(np.concatenate(found))
-    for row in rows:
-        text, start, length, period = row.tolist()
-        end = start + length
-        first, last = int(starts[text]), int(ends[text])
-        exact = (numbers[start : end - period] == numbers[start + period : end]).all()
-        open_left = start > first and numbers[start - 1] == numbers[start - 1 + period]
-        open_right = end < last and numbers[end] == numbers[end - period]
-        if not exact or open_left or open_right:
-            start, end = _measured(numbers, start, end, first, last, period)
-            row[1:3] = start, end - start
-    rows = _smallest(rows[rows[:, 2] >= np.maximum(least, repeats * rows[:, 3])])
+    if not all(_true(numbers, int(starts[k]), int(ends[k]), at, at + n, q) for k, at, n, q in rows.tolist()):
+        return runs_of(numbers, starts, ends, least, repeats, turn + 1)
     rows[:, 1] -= starts[rows[:, 0]]
     return rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))]
 

@@ -197,10 +197,8 @@ def domain_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.padded(box).select("curve_id", "ymin", "ymax").join(more, "curve_id")
 
 
-#: Rotating multiplies all segments by the angles; these queries run on one curve for each nation, its customers' balances by their numbers.
-CUSTOMER_POINTS = """pts AS (
-  SELECT CAST(c_nationkey AS VARCHAR) AS curve_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS pos, CAST(c_acctbal AS DOUBLE) / 1000 AS y
-  FROM customer)"""
+#: Prices in tens of thousands, so that a curve is about as high as it is wide.
+_ROTATED_POINTS = sql.ORDER_POINTS.replace("CAST(o_totalprice AS DOUBLE)", "CAST(o_totalprice AS DOUBLE) / 10000")
 _ROTATED = f"""angles(angle_idx, rotation) AS (VALUES {", ".join(f"({i}, {a:.1f}e0)" for i, a in enumerate(rotation.ANGLES))}),
 plain AS (SELECT * FROM segs),
 c AS (SELECT curve_id, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy FROM box0),
@@ -213,7 +211,7 @@ spun AS (
 
 def _rotation_sql(tail: str) -> str:
     base = _with(
-        CUSTOMER_POINTS, sql.SEGMENTS, sql.BOXES.replace("box AS", "box0 AS"), _ROTATED,
+        _ROTATED_POINTS, sql.SEGMENTS, sql.BOXES.replace("box AS", "box0 AS"), _ROTATED,
         "box AS (SELECT curve_id, angle_idx, rotation, xmin, xmax, ymin, ymax FROM (SELECT curve_id, (xmin + xmax) / 2 - width * 1.4142135623730951 / 2 AS xmin, (xmin + xmax) / 2 + width * 1.4142135623730951 / 2 AS xmax, "
         "(ymin + ymax) / 2 - height * 1.4142135623730951 / 2 AS ymin, (ymin + ymax) / 2 + height * 1.4142135623730951 / 2 AS ymax FROM box0) CROSS JOIN angles)",
         "params AS (SELECT curve_id, angle_idx, rotation, greatest(width, height) / 5 AS initial_delta, 1.5e0 AS delta_factor, 8 AS num_steps FROM box0 CROSS JOIN angles WHERE greatest(width, height) > 0)",
@@ -225,21 +223,20 @@ def _rotation_sql(tail: str) -> str:
 _LEAST = "best AS (SELECT curve_id, k, delta, min(n_boxes) AS n_boxes, max(n_boxes) AS max_boxes FROM counts GROUP BY curve_id, k, delta)"
 
 
-def _customer_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = curves.numbered_points(table(spark, sf_dir, "customer"), "c_nationkey", ["c_custkey"], "c_acctbal")
-    return curves.segments_from_points(points.withColumn("y", F.col("y") / 1000))
+def _price_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_curves(spark, sf_dir).withColumns({c: F.col(c) / 10000 for c in ("y1", "y2")})
 
 
 @query(_rotation_sql(_LEAST) + "SELECT curve_id, CAST(k AS INTEGER) AS k, round(delta, 6) AS delta, n_boxes, max_boxes FROM best")
 def rotation_min_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = _customer_curves(spark, sf_dir)
+    segs = _price_curves(spark, sf_dir)
     best = rotation.least_counts(rotation.counts_by_angle(segs, rotation.default_scales(segs)))
     return rounded(best.select("curve_id", "k", "delta", "n_boxes", "max_boxes"))
 
 
 @query(_rotation_sql(_LEAST) + "SELECT curve_id, round(regr_slope(ln(n_boxes), ln(1 / delta)), 6) AS dimension, round(regr_r2(ln(n_boxes), ln(1 / delta)), 6) AS r_squared, CAST(count(*) AS BIGINT) AS n_scales FROM best GROUP BY curve_id HAVING count(*) >= 3")
 def rotation_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rotation.rotation_dimension(_customer_curves(spark, sf_dir)))
+    return rounded(rotation.rotation_dimension(_price_curves(spark, sf_dir)))
 
 
 @query(
@@ -247,7 +244,7 @@ def rotation_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT curve_id, round(s, 6) AS standard_dimension, round(r, 6) AS rotation_dimension, round(r - s, 6) + 0.0 AS change FROM plain0 JOIN few USING (curve_id)"
 )
 def rotation_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rotation.compare(_customer_curves(spark, sf_dir)))
+    return rounded(rotation.compare(_price_curves(spark, sf_dir)))
 
 
 @query(
@@ -255,7 +252,7 @@ def rotation_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT curve_id, CAST(count(*) AS BIGINT) AS n_angles, round(min(s), 6) AS min_dimension, round(max(s), 6) AS max_dimension, round(avg(s), 6) AS mean_dimension, round(stddev_pop(s), 6) AS std_dimension, arg_min(rotation, s) AS min_angle FROM per GROUP BY curve_id"
 )
 def rotation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = _customer_curves(spark, sf_dir)
+    segs = _price_curves(spark, sf_dir)
     return rounded(rotation.by_angle(segs, rotation.default_scales(segs)))
 
 

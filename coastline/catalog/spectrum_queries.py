@@ -41,8 +41,8 @@ area AS (SELECT *, (p + lead(p) OVER w) / 2 * (lead(f) OVER w - f) AS a, (f * p
 marks AS (SELECT curve_id, sum(a) AS whole, sum(fa) AS firsts, sum(p) AS power, min(f) AS f1, max(f) AS fn, quantile_cont(f, 0.2) AS q20, quantile_cont(f, 0.5) AS q50, quantile_cont(f, 0.75) AS q75, quantile_cont(f, 0.8) AS q80 FROM area GROUP BY curve_id),
 sf AS (
   SELECT curve_id, arg_max(f, p) AS dominant_frequency, -regr_slope(log10(p), log10(f)) FILTER (f BETWEEN q20 AND q80) AS spectral_slope, sum(a) FILTER (f > q75) / any_value(whole) AS high_freq_content,
-    coalesce(min(f) FILTER (cum * f1 / whole >= 0.975e0), any_value(f1)) AS up, coalesce(min(f) FILTER (cum * f1 / whole >= 0.025e0), any_value(f1)) AS low, any_value(fn) - any_value(f1) AS span,
-    any_value(firsts / whole) AS spectral_centroid, CASE WHEN min(k) FILTER (cum >= 0.95e0 * power) > 1 THEN min(f) FILTER (cum >= 0.95e0 * power) ELSE any_value(fn) END AS spectral_rolloff,
+    coalesce(min(f) FILTER (cum * f1 / whole >= 0.975e0 * (1 - 1e-9)), any_value(f1)) AS up, coalesce(min(f) FILTER (cum * f1 / whole >= 0.025e0 * (1 - 1e-9)), any_value(f1)) AS low, any_value(fn) - any_value(f1) AS span,
+    any_value(firsts / whole) AS spectral_centroid, CASE WHEN min(k) FILTER (cum >= 0.95e0 * power * (1 - 1e-9)) > 1 THEN min(f) FILTER (cum >= 0.95e0 * power * (1 - 1e-9)) ELSE any_value(fn) END AS spectral_rolloff,
     sum(a) FILTER (f2 <= q50) / sum(a) FILTER (f > q50) AS low_high_ratio, any_value(step) * 1023 AS domain_scale
   FROM area JOIN marks USING (curve_id) GROUP BY curve_id),
 feat AS (SELECT *, CASE WHEN up > low THEN up - low ELSE span END AS spectral_bandwidth, dominant_frequency / spectral_centroid AS peak_ratio FROM sf)"""
@@ -52,15 +52,20 @@ def _heights_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectrum.height_function(event_curves(spark, sf_dir), 1024)
 
 
-@query(f"WITH {_PSD} SELECT curve_id, {sql.rounded(' '.join(spectrum.SPECTRAL))} FROM feat")
+#: Frequencies are multiples of a step and often end in a five after the sixth place: a little more than a half is rounded up by both engines.
+_UP = "1.000000000001"
+
+
+@query(f"WITH {_PSD} SELECT curve_id, {', '.join(f'round({c} * {_UP}e0, 6) + 0.0 AS {c}' for c in spectrum.SPECTRAL)} FROM feat")
 def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spectrum.spectral_features(_heights_of(spark, sf_dir)).drop("error"))
+    out = spectrum.spectral_features(_heights_of(spark, sf_dir)).drop("error")
+    return rounded(out.withColumns({c: F.col(c) * float(_UP) for c in spectrum.SPECTRAL}))
 
 
 @query(
     f"""WITH {_PSD} SELECT curve_id, round(greatest(0.001e0 * domain_scale, least(0.2e0 * domain_scale, domain_scale / (10 * dominant_frequency))), 6) AS initial_delta,
   round(CASE WHEN spectral_slope > 2.5e0 THEN 1.8e0 WHEN spectral_slope > 1.5e0 THEN 1.5e0 WHEN spectral_slope > 0.5e0 THEN 1.3e0 ELSE 1.2e0 END * CASE WHEN high_freq_content > 0.3e0 THEN 0.9e0 ELSE 1e0 END, 6) AS delta_factor,
-  CAST(greatest(8e0, least(25e0, floor(12 * (CASE WHEN spectral_bandwidth > 2 * dominant_frequency THEN 1.5e0 WHEN spectral_bandwidth < 0.5e0 * dominant_frequency THEN 0.7e0 ELSE 1e0 END
+  CAST(greatest(8e0, least(25e0, floor(12 * (CASE WHEN spectral_bandwidth > 2 * dominant_frequency * (1 + 1e-9) THEN 1.5e0 WHEN spectral_bandwidth < 0.5e0 * dominant_frequency * (1 - 1e-9) THEN 0.7e0 ELSE 1e0 END
     * CASE WHEN spectral_slope > 2 THEN 1.3e0 WHEN spectral_slope < 1 THEN 0.8e0 ELSE 1e0 END)))) AS INTEGER) AS num_steps,
   round(CASE WHEN spectral_slope BETWEEN 0.5e0 AND 3e0 THEN 1e0 ELSE 0.7e0 END * CASE WHEN peak_ratio > 1.5e0 THEN 1e0 WHEN peak_ratio > 1.2e0 THEN 0.9e0 ELSE 0.7e0 END, 6) AS confidence FROM feat"""
 )

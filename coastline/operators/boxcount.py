@@ -4,15 +4,21 @@ The join of segments with the grid is no theta join. A segment proposes only
 the columns that its x-range meets and, in each column, the rows between the
 heights at which it enters and leaves, one cell more on every side; the exact
 test of segment against closed cell then decides. A long diagonal thus costs as
-many candidates as it has cells, not those of its bounding box. Distinct cells
-are a two-phase aggregation on (curve, scale, cell).
+many candidates as it has cells, not those of its bounding box.
+
+Counts do not list the cells. What a segment meets of one column is a span of
+neighbouring cells: from the row of its least height there to that of its greatest,
+each one row more where the exact test finds the edge between met as well. For
+every place where spans of a column begin only the longest is kept, so that a column
+has no more spans than cells however many segments cross it; how many cells
+they cover together is a running maximum over them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Segment (x1, y1)-(x2, y2) meets the closed box (bx0..bx1, by0..by1).
@@ -43,8 +49,8 @@ def gate(params: DataFrame) -> DataFrame:
     return params.withColumn("reason", F.when(last < small / 1000, "delta_too_small").when(F.col("initial_delta") > small, "initial_delta_too_large"))
 
 
-def candidate_cells(segs: DataFrame, scales: DataFrame, by: Sequence[str] = ("curve_id",)) -> DataFrame:
-    """Segments x the scales of their curve -> candidate cells (i, j) with their box."""
+def _columns(segs: DataFrame, scales: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Segments x the scales of their curve -> the columns i that their x-range meets, from bx0 to bx1."""
     df = segs.join(scales, list(by))
     df = df.withColumns({"nx": F.expr("cast(ceil((xmax - xmin) / delta) as bigint)"), "ny": F.expr("cast(ceil((ymax - ymin) / delta) as bigint)")})
     df = df.withColumns(
@@ -54,7 +60,12 @@ def candidate_cells(segs: DataFrame, scales: DataFrame, by: Sequence[str] = ("cu
         }
     ).where("_i0 <= _i1 and ny > 0")
     df = df.withColumn("i", F.explode(F.sequence("_i0", "_i1")))
-    df = df.withColumns({"bx0": F.expr("xmin + i * delta"), "bx1": F.expr("xmin + (i + 1) * delta")})
+    return df.withColumns({"bx0": F.expr("xmin + i * delta"), "bx1": F.expr("xmin + (i + 1) * delta")}).where("not ((x1 < bx0 and x2 < bx0) or (x1 > bx1 and x2 > bx1))")
+
+
+def candidate_cells(segs: DataFrame, scales: DataFrame, by: Sequence[str] = ("curve_id",)) -> DataFrame:
+    """Segments x the scales of their curve -> candidate cells (i, j) with their box."""
+    df = _columns(segs, scales, by)
     # heights at which the segment crosses the column, widened so that rounding can't lose a cell
     at = "case when abs(x2 - x1) > 1e-10 then y1 + greatest(0D, least(1D, ({b} - x1) / (x2 - x1))) * (y2 - y1) else {y} end"
     df = df.withColumns({"_a": F.expr(at.format(b="bx0", y="y1")), "_b": F.expr(at.format(b="bx1", y="y2"))})
@@ -68,6 +79,26 @@ def candidate_cells(segs: DataFrame, scales: DataFrame, by: Sequence[str] = ("cu
     return df.withColumns({"by0": F.expr("ymin + j * delta"), "by1": F.expr("ymin + (j + 1) * delta")})
 
 
+def spans(segs: DataFrame, scales: DataFrame, by: Sequence[str] = ("curve_id",), keys: Sequence[str] = ("k",)) -> DataFrame:
+    """(curve, scale, column i, first) -> last: the cells that segments meet, as spans of one column."""
+    df = _columns(segs, scales, by)
+    df = df.withColumns({f"_t{k}": F.expr(f"case when abs(x2 - x1) > 1e-10 then (bx{k} - x1) / nullif(x2 - x1, 0D) end") for k in (0, 1)})
+    crossings = {f"_h{k}": F.expr(f"case when _t{k} between 0 and 1 then greatest(least(y1, y2), least(greatest(y1, y2), y1 + _t{k} * (y2 - y1))) end") for k in (0, 1)}
+    ends = {f"_p{k}": F.expr(f"case when x{k} between bx0 and bx1 then y{k} end") for k in (1, 2)}
+    df = df.withColumns(crossings | ends)
+    df = df.withColumns({"_lo": F.expr("least(_h0, _h1, _p1, _p2)"), "_hi": F.expr("greatest(_h0, _h1, _p1, _p2)")})
+    df = df.withColumns({"_r0": F.expr("cast(floor((_lo - ymin) / delta) as bigint)"), "_r1": F.expr("cast(floor((_hi - ymin) / delta) as bigint)")})
+    # a height on the edge of two rows meets both; what the division has rounded is put right
+    df = df.withColumn("_r0", F.expr("case when _lo <= ymin + _r0 * delta then _r0 - 1 when _lo > ymin + (_r0 + 1) * delta then _r0 + 1 else _r0 end"))
+    df = df.withColumn("_r1", F.expr("case when _hi >= ymin + (_r1 + 1) * delta then _r1 + 1 when _hi < ymin + _r1 * delta then _r1 - 1 else _r1 end"))
+    df = df.withColumns({"_e0": F.expr("ymin + _r0 * delta"), "_e1": F.expr("ymin + (_r1 + 1) * delta")})
+    edge = "case when abs(y2 - y1) > 1e-10 and ({e} - y1) / nullif(y2 - y1, 0D) between 0 and 1 and x1 + ({e} - y1) / nullif(y2 - y1, 0D) * (x2 - x1) between bx0 and bx1 then 1L else 0L end"
+    df = df.withColumns({"_f": F.expr(f"greatest(0L, _r0 - {edge.format(e='_e0')})"), "_l": F.expr(f"least(ny - 1, _r1 + {edge.format(e='_e1')})")})
+    # a filter here would be pushed down to the columns, with all that is computed above written out in it
+    df = df.select(*by, *keys, "delta", "i", F.inline(F.when(F.col("_lo").isNotNull() & (F.col("_f") <= F.col("_l")), F.array(F.struct(F.col("_f").alias("first"), F.col("_l").alias("last"))))))
+    return df.groupBy(*by, *keys, "delta", "i", "first").agg(F.max("last").alias("last"))
+
+
 def occupied(segs: DataFrame, scales: DataFrame, by: Sequence[str] = ("curve_id",), keys: Sequence[str] = ("k",)) -> DataFrame:
     """Distinct cells met per curve and scale."""
     return candidate_cells(segs, scales, by).where(MEETS).select(*by, *keys, "delta", "i", "j").distinct()
@@ -75,7 +106,9 @@ def occupied(segs: DataFrame, scales: DataFrame, by: Sequence[str] = ("curve_id"
 
 def box_counts(segs: DataFrame, scales: DataFrame, by: Sequence[str] = ("curve_id",), keys: Sequence[str] = ("k",)) -> DataFrame:
     """(curve, scale) -> n_boxes; scales that no segment meets have no row."""
-    return occupied(segs, scales, by, keys).groupBy(*by, *keys, "delta").agg(F.count(F.lit(1)).alias("n_boxes"))
+    before = Window.partitionBy(*by, *keys, "delta", "i").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0).cast("long"), F.col("last") - F.greatest(F.coalesce(F.max("last").over(before), F.lit(-1).cast("long")), F.col("first") - 1))
+    return spans(segs, scales, by, keys).withColumn("new", new).groupBy(*by, *keys, "delta").agg(F.sum("new").alias("n_boxes"))
 
 
 def regression(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -114,8 +147,6 @@ def dimensions(segs: DataFrame, params: DataFrame, by: Sequence[str] = ("curve_i
 
 def local_slopes(counts: DataFrame, by: Sequence[str] = ("curve_id",)) -> DataFrame:
     """Slope between neighbouring scales: (by, k, slope), from the second scale on."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy("k")
     out = counts.withColumns({"_x": F.log(F.lit(1.0) / F.col("delta")), "_y": F.log(F.col("n_boxes").cast("double"))})
     out = out.withColumn("slope", (F.col("_y") - F.lag("_y").over(w)) / (F.col("_x") - F.lag("_x").over(w)))

@@ -17,6 +17,8 @@ from coastline.operators.curves import endpoints
 
 POINTS = 512
 SCALES = 32
+#: How much of a level or limit is put down to rounding.
+SHARE = 1e-9
 
 
 def height_function(segs: DataFrame, points: int = 1024) -> DataFrame:
@@ -63,8 +65,8 @@ def density(h: np.ndarray, step: float, method: str = "welch") -> tuple[np.ndarr
 
 
 def _first(cumulative: np.ndarray, level: float) -> int:
-    """The first place at or over the level; 0 if there is none."""
-    return int((cumulative >= level).argmax())
+    """The first place at or over the level, but for ``SHARE`` of it that rounding may lack; 0 if there is none."""
+    return int((cumulative >= level * (1 - SHARE)).argmax())
 
 
 def _area(y: np.ndarray, x: np.ndarray) -> float:
@@ -212,7 +214,7 @@ def spectral_parameters(df: DataFrame) -> DataFrame:
         {
             "initial_delta": F.expr("greatest(0.001D * domain_scale, least(0.2D * domain_scale, domain_scale / (10 * _f)))"),
             "delta_factor": F.expr("case when _s > 2.5 then 1.8D when _s > 1.5 then 1.5D when _s > 0.5 then 1.3D else 1.2D end * case when _hf > 0.3 then 0.9D else 1D end"),
-            "num_steps": F.expr("cast(greatest(8D, least(25D, floor(12 * (case when _bw > 2 * _f then 1.5D when _bw < 0.5D * _f then 0.7D else 1D end * case when _s > 2 then 1.3D when _s < 1 then 0.8D else 1D end)))) as int)"),
+            "num_steps": F.expr(f"cast(greatest(8D, least(25D, floor(12 * (case when _bw > 2 * _f * (1 + {SHARE}D) then 1.5D when _bw < 0.5D * _f * (1 - {SHARE}D) then 0.7D else 1D end * case when _s > 2 then 1.3D when _s < 1 then 0.8D else 1D end)))) as int)"),
             "confidence": F.expr(
                 f"greatest(0D, least(1D, (1 - 0.1D * ({missing})) * case when spectral_slope is null or isnan(spectral_slope) then 0.5D when spectral_slope between 0.5D and 3D then 1D else 0.7D end"
                 " * case when peak_ratio is null or isnan(peak_ratio) or peak_ratio = double('Infinity') then 1D when peak_ratio > 1.5D then 1D when peak_ratio > 1.2D then 0.9D else 0.7D end))"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coastline.catalog import sql
 from coastline.catalog.registering import register_into
-from coastline.catalog.tables import rounded, table
+from coastline.catalog.tables import event_curves, rounded, table
 from coastline.operators import boxcount, contour, curves, generators, search, temporal
 from coastline.sources import segments as text_segments
 
@@ -18,9 +18,18 @@ query = register_into(QUERIES, ORACLES)
 _OUT = "SELECT curve_id, seg_idx, round(x1, 6) + 0.0 AS x1, round(y1, 6) + 0.0 AS y1, round(x2, 6) + 0.0 AS x2, round(y2, 6) + 0.0 AS y2 FROM segs"
 
 
-@query("SELECT 'line' AS curve_id, CAST(i AS BIGINT) AS seg_idx, round(i * 3e0 / 16, 6) AS x1, 0e0 AS y1, round((i + 1) * 3e0 / 16, 6) AS x2, 0e0 AS y2 FROM (SELECT unnest(range(0, 16)) AS i)")
+def _levels(spark: SparkSession, sf_dir: str, most: int, first: int = 0, name: str = "level") -> DataFrame:
+    """A curve for each customer, whose level goes by the customer's key."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("curve_id"), (F.col("c_custkey") % (most + 1 - first) + first).alias(name))
+
+
+def _per_customer(segs: str, most: int, first: int = 0) -> str:
+    return f", segs AS (SELECT CAST(c_custkey AS VARCHAR) AS curve_id, seg_idx, x1, y1, x2, y2 FROM customer JOIN {segs} ON lvl = c_custkey % {most + 1 - first} + {first}) {_OUT}"
+
+
+@query("WITH ln AS (SELECT n AS lvl, CAST(i AS BIGINT) AS seg_idx, i * 3e0 / n AS x1, 0e0 AS y1, (i + 1) * 3e0 / n AS x2, 0e0 AS y2 FROM (SELECT n, unnest(range(0, n)) AS i FROM (SELECT unnest(range(1, 17)) AS n)))" + _per_customer("ln", 16, 1))
 def gen_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generators.line(spark, 16))
+    return rounded(generators.addressed_lines(_levels(spark, sf_dir, 16, 1, "n")))
 
 
 _KOCH = """koch AS (
@@ -34,52 +43,56 @@ _KOCH = """koch AS (
   FROM koch, (VALUES (0), (1), (2), (3)) v(q) WHERE lvl < {n})"""
 
 
-@query(f"WITH RECURSIVE {_KOCH.format(n=4)}, segs AS (SELECT 'koch' AS curve_id, * FROM koch WHERE lvl = 4) {_OUT}")
+@query(f"WITH RECURSIVE {_KOCH.format(n=4)}" + _per_customer("koch", 4))
 def gen_koch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generators.koch(spark, 4))
+    return rounded(generators.addressed_koch(_levels(spark, sf_dir, 4), 4))
 
 
-def _lsystem(name: str, level: int) -> str:
+def _lsystem(name: str, most: int) -> str:
+    """The turtle's way along the whole string of each level."""
     axiom, rules, degrees, draws = generators.SYSTEMS[name]
-    text = f"'{axiom}'"
-    for _ in range(level):
+    texts = [f"'{axiom}'"]
+    for _ in range(most):
+        text = texts[-1]
         for k, s in enumerate(rules):
             text = f"replace({text}, '{s}', '{k}')"
         for k, s in enumerate(rules):
             text = f"replace({text}, '{k}', '{rules[s]}')"
+        texts.append(text)
     some = " OR ".join(f"c = '{d}'" for d in draws)
-    return f"""WITH path AS (SELECT {text} AS s), ch AS (SELECT i, s[i] AS c FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM path)),
-h AS (SELECT i, c, sum(CASE c WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END) OVER (ORDER BY i) * {degrees}e0 AS a FROM ch),
-d AS (SELECT i, {some} AS f, CASE WHEN {some} THEN cos(radians(a)) ELSE 0e0 END AS dx, CASE WHEN {some} THEN sin(radians(a)) ELSE 0e0 END AS dy FROM h),
-p AS (SELECT i, f, dx, dy, coalesce(sum(dx) OVER w, 0e0) AS x1, coalesce(sum(dy) OVER w, 0e0) AS y1 FROM d WINDOW w AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-segs AS (SELECT '{name}' AS curve_id, CAST(row_number() OVER (ORDER BY i) - 1 AS BIGINT) AS seg_idx, x1, y1, x1 + dx AS x2, y1 + dy AS y2 FROM p WHERE f) {_OUT}"""
+    return f"""WITH path AS ({" UNION ALL ".join(f"SELECT {k} AS lvl, {t} AS s" for k, t in enumerate(texts))}), ch AS (SELECT lvl, i, s[i] AS c FROM (SELECT lvl, s, unnest(range(1, len(s) + 1)) AS i FROM path)),
+h AS (SELECT lvl, i, c, sum(CASE c WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END) OVER (PARTITION BY lvl ORDER BY i) * {degrees}e0 AS a FROM ch),
+d AS (SELECT lvl, i, {some} AS f, CASE WHEN {some} THEN cos(radians(a)) ELSE 0e0 END AS dx, CASE WHEN {some} THEN sin(radians(a)) ELSE 0e0 END AS dy FROM h),
+p AS (SELECT lvl, i, f, dx, dy, coalesce(sum(dx) OVER w, 0e0) AS x1, coalesce(sum(dy) OVER w, 0e0) AS y1 FROM d WINDOW w AS (PARTITION BY lvl ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+way AS (SELECT lvl, CAST(row_number() OVER (PARTITION BY lvl ORDER BY i) - 1 AS BIGINT) AS seg_idx, x1, y1, x1 + dx AS x2, y1 + dy AS y2 FROM p WHERE f)""" + _per_customer("way", most)
 
 
 @query(_lsystem("dragon_lsystem", 3))
 def gen_lsystem_dragon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generators.lsystem(spark, "dragon_lsystem", 3))
+    return rounded(generators.addressed(_levels(spark, sf_dir, 3), "dragon_lsystem", 3))
 
 
 @query(_lsystem("minkowski", 2))
 def gen_lsystem_minkowski(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generators.lsystem(spark, "minkowski", 2))
+    return rounded(generators.addressed(_levels(spark, sf_dir, 2), "minkowski", 2))
 
 
 @query(_lsystem("sierpinski", 4))
 def gen_lsystem_sierpinski(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generators.lsystem(spark, "sierpinski", 4))
+    return rounded(generators.addressed(_levels(spark, sf_dir, 4), "sierpinski", 4))
 
 
 @query(
     f"""WITH RECURSIVE hil AS (SELECT 0 AS lvl, CAST(0 AS BIGINT) AS pos, 0e0 AS x0, 0e0 AS y0, 1e0 AS xi, 0e0 AS xj, 0e0 AS yi, 1e0 AS yj
   UNION ALL SELECT lvl + 1, pos * 4 + q, x0 + CASE q WHEN 0 THEN 0 WHEN 1 THEN xi / 2 WHEN 2 THEN xi / 2 + yi / 2 ELSE xi / 2 + yi END, y0 + CASE q WHEN 0 THEN 0 WHEN 1 THEN xj / 2 WHEN 2 THEN xj / 2 + yj / 2 ELSE xj / 2 + yj END,
     CASE q WHEN 0 THEN yi / 2 WHEN 3 THEN -yi / 2 ELSE xi / 2 END, CASE q WHEN 0 THEN yj / 2 WHEN 3 THEN -yj / 2 ELSE xj / 2 END, CASE q WHEN 0 THEN xi / 2 WHEN 3 THEN -xi / 2 ELSE yi / 2 END, CASE q WHEN 0 THEN xj / 2 WHEN 3 THEN -xj / 2 ELSE yj / 2 END
-  FROM hil, (VALUES (0), (1), (2), (3)) v(q) WHERE lvl < 3),
-hp AS (SELECT pos, x0 + (xi + yi) / 2 AS x, y0 + (xj + yj) / 2 AS y FROM hil WHERE lvl = 3),
-segs AS (SELECT * FROM (SELECT 'hilbert' AS curve_id, pos AS seg_idx, x AS x1, y AS y1, lead(x) OVER (ORDER BY pos) AS x2, lead(y) OVER (ORDER BY pos) AS y2 FROM hp) WHERE x2 IS NOT NULL) {_OUT}"""
+  FROM hil, (VALUES (0), (1), (2), (3)) v(q) WHERE lvl < 4),
+hp AS (SELECT lvl, pos, x0 + (xi + yi) / 2 AS x, y0 + (xj + yj) / 2 AS y FROM hil WHERE lvl > 0),
+way AS (SELECT * FROM (SELECT lvl, pos AS seg_idx, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM hp WINDOW w AS (PARTITION BY lvl ORDER BY pos)) WHERE x2 IS NOT NULL)"""
+    + _per_customer("way", 4, 1)
 )
 def gen_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generators.hilbert(spark, 3))
+    return rounded(generators.addressed_hilbert(_levels(spark, sf_dir, 4, 1)))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', CAST({c!r} AS DOUBLE), CAST({d} AS BIGINT))" for a, b, c, d in generators.REGISTRY) + ") t(fractal, name, theoretical_dimension, max_segments)")
@@ -124,6 +137,43 @@ def default_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.default_grid(spark, _SIDE))
 
 
+#: A grid by each curve's own box: sizes are shares of its smaller side.
+_OWN = search.grid_deltas(1.0)
+_SHARES = ", ".join(f"({(a * len(_FACTORS) + b) * len(search.STEPS) + c}, {d!r}::DOUBLE, {f!r}::DOUBLE, {s})" for a, d in enumerate(_OWN) for b, f in enumerate(_FACTORS) for c, s in enumerate(search.STEPS))
+_OWN_SEARCH = f"""WITH RECURSIVE {sql.EVENT_CURVES}, {sql.BOXES}, sets(combo_idx, share, delta_factor, num_steps) AS (VALUES {_SHARES}),
+live AS (SELECT * FROM (SELECT curve_id, combo_idx, share * least(width, height) AS initial_delta, delta_factor, num_steps, least(width, height) AS side FROM box CROSS JOIN sets WHERE least(width, height) > 0) WHERE initial_delta / pow(delta_factor, num_steps - 1) >= side / 1000),
+params AS (SELECT curve_id, min(combo_idx) AS pair, initial_delta, delta_factor, max(num_steps) AS num_steps FROM live GROUP BY curve_id, initial_delta, delta_factor),
+{sql.ladder('curve_id, pair')}, {sql.cells('curve_id, pair').replace('USING (curve_id, pair)', 'USING (curve_id)').replace(' AND s.pair = g.pair', '')},
+own AS (SELECT l.curve_id, l.combo_idx, l.num_steps, l.initial_delta, l.delta_factor, c.delta, c.n_boxes FROM live l JOIN params p USING (curve_id, initial_delta, delta_factor) JOIN counts c ON c.curve_id = l.curve_id AND c.pair = p.pair AND c.k < l.num_steps),
+fit AS (SELECT curve_id, combo_idx, any_value(initial_delta) AS initial_delta, any_value(delta_factor) AS delta_factor, any_value(num_steps) AS num_steps, regr_slope(ln(n_boxes), ln(1 / delta)) AS d, count(*) AS n, count(DISTINCT n_boxes) AS u FROM own GROUP BY curve_id, combo_idx),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY abs(d - {_TARGET}e0), combo_idx) AS place FROM fit WHERE u >= 3 AND n = num_steps)"""
+
+
+#: Not registered: on whole tables it tests every cell for 1,600 sizes a curve. The tests run it on the smallest tables.
+GRID_SEARCH_SQL = f"{_OWN_SEARCH} SELECT curve_id, CAST(place AS INTEGER) AS place, CAST(combo_idx AS BIGINT) AS combo_idx, round(initial_delta, 6) AS initial_delta, round(delta_factor, 6) AS delta_factor, CAST(num_steps AS INTEGER) AS num_steps, round(d, 6) AS dimension FROM ranked WHERE place <= 20"
+
+
+@query()
+def grid_search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty combinations of every user's curve, on a grid by its own box."""
+    scored = search.evaluate_own(event_curves(spark, sf_dir), search.own_grid(spark), _TARGET)
+    return rounded(search.top_each(scored).select("curve_id", "place", "combo_idx", "initial_delta", "delta_factor", "num_steps", "dimension"))
+
+
+@query(
+    f"""WITH RECURSIVE {sql.EVENT_CURVES}, {sql.BOXES}, params AS (SELECT curve_id, greatest(width, height) / 2 AS initial_delta, 2e0 AS delta_factor, 8 AS num_steps FROM box WHERE greatest(width, height) > 0),
+{sql.ladder()}, {sql.cells()} SELECT curve_id, CAST(k AS INTEGER) AS k, round(delta, 6) AS delta, n_boxes FROM counts"""
+)
+def nested_box_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(boxcount.nested_counts(event_curves(spark, sf_dir), 8))
+
+
+@query()
+def evolve_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evolved parameters of every user's curve: a stated number of generations of a small population."""
+    return rounded(search.evolve(event_curves(spark, sf_dir), _TARGET, generations=3, people=4), 9)
+
+
 @query()
 def diff_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.differential_evolution(generators.koch(spark, 2), _TARGET)

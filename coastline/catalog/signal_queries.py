@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from coastline.catalog import sql
 from coastline.catalog.registering import register_into
 from coastline.catalog.tables import event_curves, rounded, table
-from coastline.operators import curvature, selfsim
+from coastline.operators import curvature, selfsim, spread
 
 QUERIES, ORACLES = {}, {}
 query = register_into(QUERIES, ORACLES)
@@ -158,6 +158,33 @@ def hurst_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selfsim.hurst(signals(spark, sf_dir)).select("series_id", "hurst_consensus", "hurst_confidence", "mean_r2"))
 
 
+def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of each user's events as a signal; numbered by ranges, so that a user of any size is spread."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("series_id"), "ts", "event_id", F.col("value").cast("double").alias("value"))
+    return spread.numbered(e, "series_id", ["ts", "event_id"], "idx").select("series_id", "idx", "value")
+
+
+_EVENT_SIG = """nn AS MATERIALIZED (SELECT unnest(range(0, 4096)) AS i),
+sig AS (
+  SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS idx, count(*) OVER (PARTITION BY user_id) AS n, CAST(value AS DOUBLE) AS value FROM events WHERE user_id IS NOT NULL)"""
+
+
+@query(f"WITH {_EVENT_SIG}{_SF.format(t='sig')} SELECT series_id, lag, (SELECT count(*) FROM sig s WHERE s.series_id = sf.series_id) AS n, round(v, 3) AS value FROM sf")
+def event_structure_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(selfsim.structure_function(event_signals(spark, sf_dir)), 3)
+
+
+@query(_H.replace(_SIG, _EVENT_SIG) + " SELECT series_id, round(hurst_consensus, 6) AS hurst_consensus, round((r2_sf + r2_va + r2_dfa) / 3, 6) AS mean_r2 FROM hc")
+def event_hurst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(selfsim.hurst(event_signals(spark, sf_dir)).where("n_estimates = 3").select("series_id", "hurst_consensus", "mean_r2"))
+
+
+@query(ORACLES["curvature_features"])
+def curvature_features_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points numbered by ranges and windows over chunks: no task holds a curve."""
+    return rounded(curvature.features(event_curves(spark, sf_dir), ranged=True).drop("curvature_percentiles"))
+
+
 @query(
     _H + """ SELECT series_id, 'uncertain' AS fractal_character, round(greatest(1e0, least(2e0, 2 - hurst_consensus)), 6) AS predicted_dimension,
   CASE WHEN hurst_consensus BETWEEN 0.95e0 AND 1.05e0 THEN 'brownian_motion' WHEN hurst_consensus > 1.05e0 THEN 'persistent_fractal' ELSE 'antipersistent_fractal' END AS fractal_type,

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coastline.operators import curves
+
 #: Segment (x1, y1)-(x2, y2) meets the closed box (bx0..bx1, by0..by1).
 MEETS = """
 not ((x1 < bx0 and x2 < bx0) or (x1 > bx1 and x2 > bx1) or (y1 < by0 and y2 < by0) or (y1 > by1 and y2 > by1))
@@ -111,6 +113,23 @@ def box_counts(segs: DataFrame, scales: DataFrame, by: Sequence[str] = ("curve_i
     return spans(segs, scales, by, keys).withColumn("new", new).groupBy(*by, *keys, "delta").agg(F.sum("new").alias("n_boxes"))
 
 
+def nested_counts(segs: DataFrame, levels: int, coarse: float = 2.0) -> DataFrame:
+    """(curve_id, k) -> delta, n_boxes for sizes that halve, ``levels`` of them, from the larger side over ``coarse`` on.
+
+    Cells are made once, of the smallest size, and named by interleaving the bits of
+    their row and column. A cell of the next size is the name without its last two
+    bits, met exactly where one of its four parts is met, so that all other counts
+    are distinct prefixes of the same names.
+    """
+    box = curves.bounding_boxes(segs).withColumn("delta", F.greatest("width", "height") / coarse / float(1 << (levels - 1))).where("delta > 0")
+    cells = occupied(segs, box.select("curve_id", "xmin", "xmax", "ymin", "ymax", "delta"), keys=())
+    bits = int(coarse).bit_length() + levels + 1
+    code = F.expr(" | ".join(f"shiftleft(shiftright(i, {b}) & 1L, {2 * b}) | shiftleft(shiftright(j, {b}) & 1L, {2 * b + 1})" for b in range(bits)))
+    names = cells.select("curve_id", F.col("delta").alias("least"), code.alias("code"))
+    each = names.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("code", F.expr(f"shiftright(code, 2 * ({levels - 1} - k))")).distinct()
+    return each.groupBy("curve_id", "k", "least").agg(F.count(F.lit(1)).alias("n_boxes")).select("curve_id", "k", (F.col("least") * F.pow(F.lit(2.0), levels - 1 - F.col("k"))).alias("delta"), "n_boxes")
+
+
 def regression(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Slope of ln N over ln(1 / delta) per group, its fit, and how many different counts there are."""
     fit = counts.withColumns({"_x": F.log(F.lit(1.0) / F.col("delta")), "_y": F.log(F.col("n_boxes").cast("double"))})

@@ -1,58 +1,69 @@
-"""Curvature along curves: finite differences, three points and circle fits, all as windows."""
+"""Curvature along curves: finite differences, three points and circle fits, all as windows.
+
+No window looks more than a few places around, so each runs over chunks of a curve
+with a halo: a curve that holds a third of all points is as many groups as it has chunks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from coastline.operators import spread
 from coastline.operators.curves import endpoints
 
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
 
 
-def unique_points(segs: DataFrame) -> DataFrame:
-    """(curve_id, pos, x, y): each point once, by x and then by first appearance."""
+def unique_points(segs: DataFrame, ranged: bool = False) -> DataFrame:
+    """(curve_id, pos, x, y): each point once, by x and then by first appearance; ``ranged``: numbered by ranges, over all tasks."""
     first = endpoints(segs).groupBy("curve_id", "x", "y").agg(F.min("pos").alias("first"))
+    if ranged:
+        return spread.numbered(first, "curve_id", ["x", "first"]).select("curve_id", (F.col("pos") + 1).alias("pos"), "x", "y")
     w = Window.partitionBy("curve_id").orderBy("x", "first")
     return first.select("curve_id", F.row_number().over(w).cast("bigint").alias("pos"), "x", "y")
 
 
-def _gradient(df: DataFrame, column: str, out: str) -> DataFrame:
+def _gradient(df: DataFrame, column: str, out: str, w: WindowSpec) -> DataFrame:
     """Central differences, one-sided at the ends."""
-    w = Window.partitionBy("curve_id").orderBy("pos")
     c, before, after = F.col(column), F.lag(column).over(w), F.lead(column).over(w)
     return df.withColumn(out, F.when(before.isNull(), after - c).when(after.isNull(), c - before).otherwise((after - before) / 2))
 
 
 def _sized(points: DataFrame) -> DataFrame:
     """Curves of three points or more, with n."""
-    return points.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("curve_id"))).where("n >= 3")
+    return spread.with_totals(points, "curve_id", n=F.count(F.lit(1))).where("n >= 3")
 
 
 def finite_difference(points: DataFrame) -> DataFrame:
     """(curve_id, pos, n, curvature)."""
-    df = _sized(points)
-    for source, out in (("x", "dx"), ("y", "dy"), ("dx", "ddx"), ("dy", "ddy")):
-        df = _gradient(df, source, out)
+
+    def kernel(df: DataFrame, w: WindowSpec) -> DataFrame:
+        for source, out in (("x", "dx"), ("y", "dy"), ("dx", "ddx"), ("dy", "ddy")):
+            df = _gradient(df, source, out, w)
+        return df
+
+    df = spread.in_chunks(_sized(points), "curve_id", "pos", 2, 2, kernel)
     return df.select("curve_id", "pos", "n", F.expr("abs(dx * ddy - dy * ddx) / greatest(pow(dx * dx + dy * dy, 1.5D), 1e-10D)").alias("curvature"))
 
 
 def three_point(points: DataFrame) -> DataFrame:
     """Four times the triangle's area over the product of its sides; the ends copy their neighbours."""
-    w = Window.partitionBy("curve_id").orderBy("pos")
-    df = _sized(points)
-    df = df.withColumns({"x0": F.lag("x").over(w), "y0": F.lag("y").over(w), "x2": F.lead("x").over(w), "y2": F.lead("y").over(w)})
-    df = df.withColumns(
-        {
-            "area": F.expr("0.5D * abs((x - x0) * (y2 - y0) - (x2 - x0) * (y - y0))"),
-            "a": F.expr("sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0))"),
-            "b": F.expr("sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))"),
-            "c": F.expr("sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0))"),
-        }
-    )
-    df = df.withColumn("k", F.expr("case when x0 is null or x2 is null then null when a > 0 and b > 0 and c > 0 then 4 * area / (a * b * c) else 0D end"))
-    ends = F.when(F.col("x0").isNull(), F.lead("k").over(w)).when(F.col("x2").isNull(), F.lag("k").over(w)).otherwise(F.col("k"))
-    return df.select("curve_id", "pos", "n", ends.alias("curvature"))
+
+    def kernel(df: DataFrame, w: WindowSpec) -> DataFrame:
+        df = df.withColumns({"x0": F.lag("x").over(w), "y0": F.lag("y").over(w), "x2": F.lead("x").over(w), "y2": F.lead("y").over(w)})
+        df = df.withColumns(
+            {
+                "area": F.expr("0.5D * abs((x - x0) * (y2 - y0) - (x2 - x0) * (y - y0))"),
+                "a": F.expr("sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0))"),
+                "b": F.expr("sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))"),
+                "c": F.expr("sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0))"),
+            }
+        )
+        df = df.withColumn("k", F.expr("case when x0 is null or x2 is null then null when a > 0 and b > 0 and c > 0 then 4 * area / (a * b * c) else 0D end"))
+        return df.withColumn("curvature", F.when(F.col("x0").isNull(), F.lead("k").over(w)).when(F.col("x2").isNull(), F.lag("k").over(w)).otherwise(F.col("k")))
+
+    return spread.in_chunks(_sized(points), "curve_id", "pos", 2, 2, kernel).select("curve_id", "pos", "n", "curvature")
 
 
 def circle_fit(points: DataFrame, window: int = 5) -> DataFrame:
@@ -61,8 +72,9 @@ def circle_fit(points: DataFrame, window: int = 5) -> DataFrame:
     With coordinates from the window's mean the normal equations are two, which
     are solved in closed form from sums over the frame's at most ``window`` points.
     """
-    order = Window.partitionBy("curve_id").orderBy("pos")
-    df = _sized(points).withColumn("p", F.collect_list(F.struct("x", "y")).over(order.rowsBetween(-(window // 2), window // 2)))
+    reach = window // 2
+    near = lambda df, w: df.withColumn("p", F.collect_list(F.struct("x", "y")).over(w.rowsBetween(-reach, reach)))
+    df = spread.in_chunks(_sized(points), "curve_id", "pos", reach, reach, near)
     df = df.withColumns({"mx": F.expr("aggregate(p, 0D, (a, q) -> a + q.x) / size(p)"), "my": F.expr("aggregate(p, 0D, (a, q) -> a + q.y) / size(p)")})
     df = df.withColumn("p", F.expr("transform(p, q -> struct(q.x - mx as u, q.y - my as v))"))
     total = lambda e: F.expr(f"aggregate(p, 0D, (a, q) -> a + {e})")
@@ -76,20 +88,23 @@ def circle_fit(points: DataFrame, window: int = 5) -> DataFrame:
 METHODS = {"finite_difference": finite_difference, "three_point": three_point, "fit_circle": circle_fit}
 
 
-def features(segs: DataFrame, method: str = "finite_difference") -> DataFrame:
+def features(segs: DataFrame, method: str = "finite_difference", ranged: bool = False) -> DataFrame:
     """Moments, percentiles and local variation of each curve's curvature.
 
     The rolling deviation takes complete windows of min(5, n // 3) points; the
     window's width is one of four, so each has a frame of its own.
     """
-    k = METHODS[method](unique_points(segs)).where("curvature is not null and not isnan(curvature) and abs(curvature) < double('Infinity')")
-    k = k.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("curve_id")))
-    order = Window.partitionBy("curve_id").orderBy("pos")
-    local = F.lit(None).cast("double")
-    for w in (2, 3, 4, 5):
-        frame = order.rowsBetween(0, w - 1)
-        local = F.when((F.least(F.lit(5), F.floor(F.col("m") / 3)) == w) & (F.count(F.lit(1)).over(frame) == w), F.stddev_pop("curvature").over(frame)).otherwise(local)
-    k = k.withColumn("local", local)
+    k = METHODS[method](unique_points(segs, ranged)).where("curvature is not null and not isnan(curvature) and abs(curvature) < double('Infinity')")
+    k = spread.with_totals(k, "curve_id", m=F.count(F.lit(1)))
+
+    def rolling(df: DataFrame, order: WindowSpec) -> DataFrame:
+        local = F.lit(None).cast("double")
+        for w in (2, 3, 4, 5):
+            frame = order.rowsBetween(0, w - 1)
+            local = F.when((F.least(F.lit(5), F.floor(F.col("m") / 3)) == w) & (F.count(F.lit(1)).over(frame) == w), F.stddev_pop("curvature").over(frame)).otherwise(local)
+        return df.withColumn("local", local)
+
+    k = spread.in_chunks(k, "curve_id", "pos", 0, 4, rolling)
     marks = k.groupBy("curve_id").agg(F.expr("percentile(curvature, array(0.25D, 0.75D))").alias("q"))
     k = k.join(marks, "curve_id")
     c = F.col("curvature")

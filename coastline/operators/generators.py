@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import cmath
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -99,6 +101,105 @@ def hilbert(spark: SparkSession, level: int, curve_id: str = "hilbert") -> DataF
     return segments_from_points(points)
 
 
+def _parts(text: str) -> list[tuple[str, int]]:
+    """A rule's drawing symbols, each with the turns before it; turns after the last one must cancel."""
+    out, turn = [], 0
+    for c in text:
+        if c in "+-":
+            turn += 1 if c == "+" else -1
+        else:
+            out.append((c, turn))
+    return out
+
+
+def _net(text: str) -> int:
+    return text.count("+") - text.count("-")
+
+
+#: Numbers of one curve that a task makes at a time.
+STRETCH = 1 << 16
+
+
+def _numbers(curves: DataFrame, total: F.Column) -> DataFrame:
+    """The curves' rows once for each seg_idx from 0 to ``total`` - 1; a long curve is dealt over tasks by its stretches."""
+    rows = curves.withColumn("_n", total.cast("long")).where("_n > 0")
+    rows = rows.withColumn("_k", F.explode(F.expr(f"sequence(0L, (_n - 1) div {STRETCH})"))).repartition("curve_id", "_k")
+    return rows.withColumn("seg_idx", F.explode(F.expr(f"sequence(_k * {STRETCH}, least(_n, (_k + 1) * {STRETCH}) - 1)"))).drop("_n", "_k")
+
+
+def addressed(curves: DataFrame, name: str, most: int, scale: F.Column | float = 1.0) -> DataFrame:
+    """Segments of an L-system's curves, each from its number alone; curves: (curve_id, level up to ``most``).
+
+    Segment i of a level is found by its digits: at each level the rule's parts have
+    known numbers of segments and known displacements, so the part that holds i, where it
+    begins and how it is turned follow from two small tables, which grow with
+    ``most`` and not with the curve. Rows are a range, dealt over all tasks; there is
+    no string, no window and no recursion over rows. ``scale`` is a segment's length.
+    """
+    axiom, rules, degrees, draws = SYSTEMS[name]
+    if any(_net(r) for r in rules.values()):
+        raise ValueError("a rule has to end in the direction in which it begins")
+    symbols = [*rules, "axiom"]
+    texts = rules | {"axiom": axiom}
+    count, ahead = {(s, 0): 1 for s in rules}, {(s, 0): 1 + 0j for s in rules}
+    turn = lambda k: cmath.exp(1j * math.radians(degrees * k))
+    table: dict[tuple[str, int], list] = {}
+    for level in range(1, most + 2):
+        for s in symbols:
+            rows, first, at = [], 0, 0j
+            for c, k in _parts(texts[s]):
+                rows.append((first, at.real, at.imag, k, symbols.index(c)))
+                first, at = first + count[c, level - 1], at + turn(k) * ahead[c, level - 1]
+            table[s, level] = rows
+            count[s, level], ahead[s, level] = first, at
+    entry = lambda r: f"named_struct('first', {r[0]}L, 'x', {r[1]!r}D, 'y', {r[2]!r}D, 'h', {r[3]}, 's', {r[4]})"
+    tables = "array(" + ", ".join("array(" + ", ".join(map(entry, table[s, k])) + ")" for k in range(1, most + 2) for s in symbols) + ")"
+    totals = "array(" + ", ".join(f"{count['axiom', k]}L" for k in range(1, most + 2)) + ")"
+    rows = _numbers(curves.select("curve_id", F.col("level").cast("int").alias("level")), F.expr(f"element_at({totals}, level + 1)"))
+    part = f"element_at(filter(element_at({tables}, (k - 1) * {len(symbols)} + a.s + 1), c -> c.first <= a.r), -1)"
+    turned = f"radians({degrees}D * a.h)"
+    step = f"""transform(array({part}), c -> named_struct('r', a.r - c.first, 's', c.s, 'h', a.h + c.h,
+      'x', a.x + c.x * cos({turned}) - c.y * sin({turned}), 'y', a.y + c.x * sin({turned}) + c.y * cos({turned})))[0]"""
+    start = f"named_struct('r', seg_idx, 's', {len(symbols) - 1}, 'h', 0, 'x', 0D, 'y', 0D)"
+    rows = rows.withColumn("p", F.expr(f"aggregate(sequence(level + 1, 1, -1), {start}, (a, k) -> {step})"))
+    rows = rows.withColumn("u", F.lit(scale) if isinstance(scale, float) else scale)
+    ends = {"x1": "u * p.x", "y1": "u * p.y", "x2": f"u * (p.x + cos(radians({degrees}D * p.h)))", "y2": f"u * (p.y + sin(radians({degrees}D * p.h)))"}
+    return rows.select("curve_id", "seg_idx", *[F.expr(e).alias(n) for n, e in ends.items()])
+
+
+def addressed_koch(curves: DataFrame, most: int) -> DataFrame:
+    """Koch curves from (0, 0) to (3, 0) by their segments' digits; curves: (curve_id, level)."""
+    return addressed(curves, "dragon_lsystem", most, F.pow(F.lit(3.0), 1 - F.col("level")))
+
+
+def addressed_hilbert(curves: DataFrame) -> DataFrame:
+    """Hilbert curves by the digits of their points; curves: (curve_id, level), of 4 ** level points each."""
+    rows = _numbers(curves.select("curve_id", F.col("level").cast("int").alias("level")), F.expr("cast(pow(4, level) as bigint) - 1"))
+    half = {c: f"a.{c} / 2" for c in ("xi", "xj", "yi", "yj")}
+    frames = [
+        ("a.x0", "a.y0", half["yi"], half["yj"], half["xi"], half["xj"]),
+        (f"a.x0 + {half['xi']}", f"a.y0 + {half['xj']}", half["xi"], half["xj"], half["yi"], half["yj"]),
+        (f"a.x0 + {half['xi']} + {half['yi']}", f"a.y0 + {half['xj']} + {half['yj']}", half["xi"], half["xj"], half["yi"], half["yj"]),
+        (f"a.x0 + {half['xi']} + a.yi", f"a.y0 + {half['xj']} + a.yj", f"-{half['yi']}", f"-{half['yj']}", f"-{half['xi']}", f"-{half['xj']}"),
+    ]
+    names = ("x0", "y0", "xi", "xj", "yi", "yj")
+    quarters = "array(" + ", ".join("named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(names, f, strict=True)) + ")" for f in frames) + ")"
+
+    def point(i: str) -> F.Column:
+        digit = f"cast(shiftright({i}, 2 * (k - 1)) & 3 as int)"
+        frame = f"aggregate(sequence(level, 1, -1), named_struct('x0', 0D, 'y0', 0D, 'xi', 1D, 'xj', 0D, 'yi', 0D, 'yj', 1D), (a, k) -> {quarters}[{digit}])"
+        return F.expr(f"transform(array({frame}), a -> named_struct('x', a.x0 + (a.xi + a.yi) / 2, 'y', a.y0 + (a.xj + a.yj) / 2))[0]")
+
+    ends = rows.withColumns({"p": point("seg_idx"), "q": point("(seg_idx + 1)")})
+    return ends.select("curve_id", "seg_idx", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+
+
+def addressed_lines(curves: DataFrame, length: float = 3.0) -> DataFrame:
+    """Lines of n segments along the x-axis; curves: (curve_id, n)."""
+    rows = _numbers(curves.select("curve_id", "n"), F.col("n"))
+    return rows.select("curve_id", "seg_idx", (F.col("seg_idx") * F.lit(length) / F.col("n")).alias("x1"), F.lit(0.0).alias("y1"), ((F.col("seg_idx") + 1) * F.lit(length) / F.col("n")).alias("x2"), F.lit(0.0).alias("y2"))
+
+
 def parameter_grid(spark: SparkSession, deltas: Sequence[float], factors: Sequence[float], steps: Sequence[int]) -> DataFrame:
     """All combinations in order: combo_idx, initial_delta, delta_factor, num_steps."""
     one = spark.range(1).select(F.posexplode(F.array(*[F.lit(float(d)) for d in deltas])).alias("a", "initial_delta"))

@@ -6,10 +6,10 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coastline.operators import boxcount, curves, generators
+from coastline.operators import boxcount, curves, generators, spread
 
 #: Fixed values of the grid: 8 deltas from m / 10 to m / 2 (log), 10 factors from 1.3 to 2.5, 7 step counts.
 STEPS = (8, 10, 12, 14, 16, 18, 20)
@@ -42,7 +42,11 @@ def evaluate(segs: DataFrame, combos: DataFrame, target: float) -> DataFrame:
     scales.
     """
     box = curves.bounding_boxes(segs).select("curve_id", "xmin", "xmax", "ymin", "ymax")
-    sets = box.crossJoin(F.broadcast(combos))  # the combinations are a fixed grid
+    return _evaluated(segs, box.crossJoin(F.broadcast(combos)), target)  # the combinations are a fixed grid
+
+
+def _evaluated(segs: DataFrame, sets: DataFrame, target: float) -> DataFrame:
+    """sets: each curve's combinations with its box."""
     gated = boxcount.gate(sets)
     live = gated.where("reason is null")
     longest = live.groupBy("curve_id", "xmin", "xmax", "ymin", "ymax", "initial_delta", "delta_factor").agg(F.max("num_steps").alias("num_steps"))
@@ -52,6 +56,22 @@ def evaluate(segs: DataFrame, combos: DataFrame, target: float) -> DataFrame:
     return fit.select("curve_id", "combo_idx", "initial_delta", "delta_factor", "num_steps", F.col("slope").alias("dimension"), F.col("r2").alias("r_squared"), F.abs(F.col("slope") - target).alias("score"))
 
 
+def own_grid(spark) -> DataFrame:
+    """The grid's combinations with their sizes as shares of a curve's smaller side."""
+    return generators.parameter_grid(spark, grid_deltas(1.0), FACTORS, STEPS)
+
+
+def evaluate_own(segs: DataFrame, combos: DataFrame, target: float, smallest: float = 0.0) -> DataFrame:
+    """Like ``evaluate``, where each curve has a grid by its own box: initial_delta of ``combos`` is a share of its smaller side.
+
+    Curves of which one side is ``smallest`` or less have no grid.
+    """
+    side = F.least("width", "height")
+    box = curves.bounding_boxes(segs).where(side > smallest).select("curve_id", "xmin", "xmax", "ymin", "ymax", side.alias("side"))
+    sets = box.crossJoin(F.broadcast(combos.withColumnRenamed("initial_delta", "share")))  # the combinations are a fixed grid
+    return _evaluated(segs, sets.withColumn("initial_delta", F.col("share") * F.col("side")).drop("share", "side"), target)
+
+
 def best(scored: DataFrame) -> DataFrame:
     """The first combination with the least score, per curve; none where no combination is valid."""
     first = F.min_by(F.struct("combo_idx", "initial_delta", "delta_factor", "num_steps", "dimension", "r_squared", "score"), F.struct("score", "combo_idx")).alias("b")
@@ -62,6 +82,12 @@ def top(scored: DataFrame, k: int = 20) -> DataFrame:
     return scored.orderBy("score", "combo_idx", "curve_id").limit(k)
 
 
+def top_each(scored: DataFrame, k: int = 20) -> DataFrame:
+    """The first k combinations of each curve, of at most as many as the grid has."""
+    w = Window.partitionBy("curve_id").orderBy("score", "combo_idx")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def fine_score(scored: DataFrame) -> DataFrame:
     """(combo_idx, s) of one curve's combinations: |D - target| + 10 (1 - r squared)."""
     return scored.select("combo_idx", (F.col("score") + 10 * (1 - F.col("r_squared"))).alias("s"))
@@ -116,3 +142,67 @@ def differential_evolution(
     segs.unpersist()
     a, b, c = crowd[fitness.argmin()]
     return spark.createDataFrame([(box.curve_id, math.exp(a), math.exp(b), int(round(c)), float(fitness.min()), done)], "curve_id string, initial_delta double, delta_factor double, num_steps int, score double, generations int")
+
+
+def evolve(segs: DataFrame, target: float, generations: int = GENERATIONS, people: int = PEOPLE, seed: int = 42, cross: float = 0.7, patience: int = PATIENCE) -> DataFrame:
+    """Differential evolution of the parameters of every curve at once: (curve_id, initial_delta, delta_factor, num_steps, score, generations).
+
+    The population is a table of (curve, member) rows: ``people`` members for each of
+    the three parameters, at first one in each equal part of every range. A generation's
+    trial of a member lies between its curve's best and the difference of two others,
+    which are named by hashes of (curve, member, generation), as are all random
+    numbers, so that a task that is run again makes the same trials. All trials of all
+    curves are one job of box counts, the better of trial and member stays, and the
+    best is an aggregate. Nothing but the number of curves that still move comes to the
+    driver: a curve rests after ``patience`` generations without a better best.
+    A trial that is not valid scores 1e6. Curves without a smaller side have no row.
+    """
+    n = 3 * people
+    box = spread.written(curves.bounding_boxes(segs).where("least(width, height) > 0").select("curve_id", "xmin", "xmax", "ymin", "ymax", F.least("width", "height").alias("side")))
+    genes = {"a": (math.log(1 / 20), math.log(1 / 2)), "b": (math.log(1.2), math.log(3.0)), "c": (5.0, 25.0)}
+
+    def drawn(*what: Column | int) -> Column:
+        """A number from 0 to 1 for each curve, member and ``what``."""
+        return F.pmod(F.xxhash64("curve_id", "member", F.lit(seed), *[F.lit(w) if isinstance(w, int) else w for w in what]), F.lit(1 << 40)) / float(1 << 40)
+
+    def scored(crowd: DataFrame) -> DataFrame:
+        sets = crowd.join(box, "curve_id").select(
+            "curve_id", "member", "xmin", "xmax", "ymin", "ymax", (F.exp("a") * F.col("side")).alias("initial_delta"), F.exp("b").alias("delta_factor"), F.round("c").cast("int").alias("num_steps")
+        )
+        found = boxcount.dimensions(segs, sets, keys=("member",)).where("valid").select("curve_id", "member", (F.abs(F.col("dimension") - target) + 10 * (1 - F.col("r_squared"))).alias("s"))
+        return crowd.join(found, ["curve_id", "member"], "left").withColumn("s", F.coalesce("s", F.lit(1e6)))
+
+    crowd = box.select("curve_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("member"))
+    for k, (gene, (low, high)) in enumerate(genes.items()):
+        part = F.row_number().over(Window.partitionBy("curve_id").orderBy(drawn(-1, k), "member")) - 1  # of a curve's n members
+        crowd = crowd.withColumn(gene, low + (part + drawn(-2, k)) / n * (high - low))
+    crowd = spread.written(scored(crowd).withColumns({"idle": F.lit(0), "done": F.lit(0)}))
+    for g in range(generations):
+        moving = crowd.where(F.col("idle") < patience)
+        if moving.isEmpty():
+            break
+        lead = F.min_by(F.struct("a", "b", "c", "s"), F.struct("s", "member"))
+        leaders = moving.groupBy("curve_id").agg(lead.alias("lead")).select("curve_id", *[F.col(f"lead.{x}").alias(f"{x}0") for x in (*genes, "s")])
+        first = F.floor(drawn(g, 10) * n).cast("int")
+        picks = moving.join(leaders, "curve_id").withColumns({"p": first, "q": F.pmod(first + 1 + F.floor(drawn(g, 11) * (n - 1)).cast("int"), F.lit(n))})
+        for name in ("p", "q"):
+            other = moving.select("curve_id", F.col("member").alias(name), *[F.col(x).alias(f"{x}_{name}") for x in genes])
+            picks = picks.join(other, ["curve_id", name])
+        weight = 0.5 + 0.5 * F.pmod(F.xxhash64("curve_id", F.lit(seed), F.lit(g)), F.lit(1 << 40)) / float(1 << 40)
+        forced = F.floor(drawn(g, 12) * 3)
+        trial = picks
+        for k, (gene, (low, high)) in enumerate(genes.items()):
+            mutant = F.col(f"{gene}0") + weight * (F.col(f"{gene}_p") - F.col(f"{gene}_q"))
+            mutant = F.when(mutant.between(low, high), mutant).otherwise(low + drawn(g, 20 + k) * (high - low))
+            trial = trial.withColumn(f"{gene}_t", F.when((drawn(g, 30 + k) < cross) | (forced == k), mutant).otherwise(F.col(gene)))
+        trial = spread.written(trial.select("curve_id", "member", *[F.col(f"{x}_t").alias(x) for x in genes], *[F.col(x).alias(f"{x}_old") for x in (*genes, "s")], "s0", "idle"))
+        both = scored(trial)
+        better = F.col("s") <= F.col("s_old")
+        kept = both.select("curve_id", "member", *[F.when(better, F.col(x)).otherwise(F.col(f"{x}_old")).alias(x) for x in (*genes, "s")], "s0", "idle")
+        kept = spread.written(kept)
+        progress = kept.groupBy("curve_id").agg(F.when(F.min("s") < F.min("s0") - 1e-12, 0).otherwise(F.max("idle") + 1).alias("now"))
+        kept = kept.join(progress, "curve_id").select("curve_id", "member", *genes, "s", F.col("now").alias("idle"), F.lit(g + 1).alias("done"))
+        crowd = spread.written(kept.unionByName(crowd.where(F.col("idle") >= patience)))
+    winner = crowd.groupBy("curve_id").agg(F.min_by(F.struct(*genes, "s", "done"), F.struct("s", "member")).alias("w"))
+    out = winner.join(box.select("curve_id", "side"), "curve_id")
+    return out.select("curve_id", (F.exp("w.a") * F.col("side")).alias("initial_delta"), F.exp("w.b").alias("delta_factor"), F.round("w.c").cast("int").alias("num_steps"), F.col("w.s").alias("score"), F.col("w.done").alias("generations"))

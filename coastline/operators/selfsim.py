@@ -2,25 +2,31 @@
 
 A signal table has series_id, idx (from 0, without gaps) and value. The three
 estimates of the Hurst exponent explode a signal once per lag or block size (at
-most 50), group, and fit a line per signal; all are plain aggregations. Only
-the search for the best scaling window is a grouped NumPy kernel, over at most
-100 points a signal.
+most 50), group, and fit a line per signal; all are plain aggregations. What looks
+along a signal goes by chunks of it: lags see the first values of the next chunk, and
+running sums carry the sums of the chunks before, so that a long signal is
+spread over as many tasks as it has chunks. The best scaling window is found among at
+most 5,000 windows a signal, by prefix moments.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coastline.operators import spread
+
 MAX_LAG = 50
 
 
+def _counted(signal: DataFrame) -> DataFrame:
+    """With n, the points of the signal."""
+    return signal if "n" in signal.columns else spread.with_totals(signal, "series_id", n=F.count(F.lit(1)))
+
+
 def standardised(signal: DataFrame) -> DataFrame:
     """Mean removed; divided by the population deviation where that is positive. Adds n."""
-    w = Window.partitionBy("series_id")
-    out = signal.withColumns({"_m": F.avg("value").over(w), "_s": F.stddev_pop("value").over(w), "n": F.count(F.lit(1)).over(w)})
+    out = spread.with_totals(signal.select("series_id", "idx", "value"), "series_id", _m=F.avg("value"), _s=F.stddev_pop("value"), n=F.count(F.lit(1)))
     return out.select("series_id", "idx", "n", ((F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).alias("value"))
 
 
@@ -31,13 +37,16 @@ def _limit(share: int, most: int) -> Column:
 def structure_function(signal: DataFrame, share: int = 4, most: int = MAX_LAG, order: float = 2.0) -> DataFrame:
     """(series_id, lag) -> mean of |x(t + lag) - x(t)| ** order, for lags up to n // share and at most ``most``.
 
-    Each signal is one array, so the lags need no join.
+    A chunk of a signal is one array with ``most`` values of the next one, so the
+    lags need no join; its sums over each lag are added up.
     """
-    lists = signal.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"]).alias("x"))
-    lists = lists.withColumn("n", F.size("x")).withColumn("lag", F.explode(F.expr(f"sequence(1, greatest(1, least(n div {share}, {most})))"))).where("n > lag")
-    pairs = F.zip_with(F.slice("x", F.lit(1), F.col("n") - F.col("lag")), F.slice("x", F.col("lag") + 1, F.col("n") - F.col("lag")), lambda a, b: F.pow(F.abs(b - a), F.lit(float(order))))
-    total = F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v)
-    return lists.select("series_id", F.col("n").cast("bigint").alias("n"), F.col("lag").cast("bigint").alias("lag"), (total / (F.col("n") - F.col("lag"))).alias("value"))
+    rows = spread.haloed(_counted(signal), "idx", 0, most)
+    lists = rows.groupBy("series_id", "chunk", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"]).alias("x"), F.count_if("own").alias("own"))
+    lists = lists.withColumn("lag", F.explode(F.expr(f"sequence(1, greatest(1, cast(least(n div {share}, {most}) as int)))"))).where("n > lag")
+    lists = lists.withColumn("m", F.greatest(F.lit(0), F.least(F.col("own"), F.size("x") - F.col("lag"))).cast("int"))
+    pairs = F.zip_with(F.slice("x", F.lit(1), F.col("m")), F.slice("x", F.col("lag") + 1, F.col("m")), lambda a, b: F.pow(F.abs(b - a), F.lit(float(order))))
+    sums = lists.withColumn("t", F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v)).groupBy("series_id", "n", "lag").agg((F.sum("t") / F.sum("m")).alias("value"))
+    return sums.select("series_id", "n", F.col("lag").cast("bigint").alias("lag"), "value")
 
 
 def _fit(points: DataFrame, x: str, name: str, slope: str) -> DataFrame:
@@ -60,28 +69,30 @@ def _blocks(signal: DataFrame, first: int, last: Column) -> DataFrame:
 
 def hurst_va(signal: DataFrame) -> DataFrame:
     """From how the variance of block means falls with the block size."""
-    n = signal.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("series_id")))
-    rows = _blocks(n, 2, F.least(_limit(4, MAX_LAG), F.floor(F.col("n") / 2) - 1))
+    rows = _blocks(_counted(signal), 2, F.least(_limit(4, MAX_LAG), F.floor(F.col("n") / 2) - 1))
     means = rows.groupBy("series_id", "b", "block").agg(F.avg("value").alias("m"))
     return _fit(means.groupBy("series_id", "b").agg(F.var_pop("m").alias("value")), "b", "va", "(s + 2) / 2")
 
 
-def hurst_dfa(signal: DataFrame) -> DataFrame:
-    """From how the spread about straight lines in blocks of the running sum grows with the block size."""
-    w = Window.partitionBy("series_id")
-    n = signal.withColumns({"n": F.count(F.lit(1)).over(w), "value": F.col("value") - F.avg("value").over(w)})
-    n = n.withColumn("y", F.sum("value").over(w.orderBy("idx")))
+def _dfa(centred: DataFrame) -> DataFrame:
+    n = spread.running_sums(centred, "series_id", "idx", {"y": F.col("value")})
     rows = _blocks(n, 4, F.least(_limit(4, MAX_LAG), F.floor(F.col("n") / 4) - 1))
     rest = rows.groupBy("series_id", "b", "block").agg(F.expr("regr_syy(y, idx) - regr_sxy(y, idx) * regr_sxy(y, idx) / regr_sxx(y, idx)").alias("ss"))
-    spread = rest.withColumn("rms", F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("b"))))
-    return _fit(spread.groupBy("series_id", "b").agg(F.avg("rms").alias("value")), "b", "dfa", "s")
+    about = rest.withColumn("rms", F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("b"))))
+    return _fit(about.groupBy("series_id", "b").agg(F.avg("rms").alias("value")), "b", "dfa", "s")
+
+
+def hurst_dfa(signal: DataFrame) -> DataFrame:
+    """From how the spread about straight lines in blocks of the running sum grows with the block size."""
+    n = spread.with_totals(signal.select("series_id", "idx", "value"), "series_id", n=F.count(F.lit(1)), _m=F.avg("value"))
+    return _dfa(n.select("series_id", "idx", "n", (F.col("value") - F.col("_m")).alias("value")))
 
 
 def hurst(signal: DataFrame) -> DataFrame:
     """The three estimates of each standardised signal, their mean weighted by fit, and the confidence 1 / estimates."""
-    z = standardised(signal).drop("n")
+    z = standardised(signal)
     ids = signal.select("series_id").distinct()
-    out = ids.join(hurst_sf(z), "series_id", "left").join(hurst_va(z), "series_id", "left").join(hurst_dfa(z), "series_id", "left")
+    out = ids.join(hurst_sf(z), "series_id", "left").join(hurst_va(z), "series_id", "left").join(_dfa(z), "series_id", "left")
     w = lambda k: F.coalesce(F.col(f"r2_{k}"), F.lit(0.0))
     total = w("sf") + w("va") + w("dfa")
     mean = sum((F.coalesce(F.col(f"hurst_{k}"), F.lit(0.0)) * w(k) for k in ("va", "dfa")), F.coalesce(F.col("hurst_sf"), F.lit(0.0)) * w("sf")) / F.when(total > 0, total)
@@ -91,38 +102,35 @@ def hurst(signal: DataFrame) -> DataFrame:
 
 def block_variance(signal: DataFrame, share: int = 3, most: int = 100) -> DataFrame:
     """(series_id, lag) -> mean variance of windows of ``lag`` points: the other statistic for scaling ranges."""
-    n = signal.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("series_id")))
-    rows = _blocks(n, 2, _limit(share, most)).where("block * b < n - b")
+    rows = _blocks(_counted(signal), 2, _limit(share, most)).where("block * b < n - b")
     per = rows.groupBy("series_id", "n", "b", "block").agg(F.var_pop("value").alias("v"))
     return per.groupBy("series_id", "n", F.col("b").cast("bigint").alias("lag")).agg(F.avg("v").alias("value"))
 
 
 def scaling_range(signal: DataFrame, method: str = "structure_function", least: int = 5) -> DataFrame:
-    """Lags between which the statistic follows a power law best: the contiguous window, of 5 points or more, with the first largest r squared."""
-    stat = structure_function(signal, 3, 100) if method == "structure_function" else block_variance(signal)
+    """Lags between which the statistic follows a power law best: the contiguous window, of 5 points or more, with the first largest r squared.
 
-    def best(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[np.isfinite(frame["value"]) & (frame["value"] > 0)].sort_values("lag")
-        lo, hi, r2 = np.nan, np.nan, np.nan
-        if len(frame) >= least:
-            lag = frame["lag"].to_numpy()
-            x, y = np.log10(lag), np.log10(frame["value"].to_numpy())
-            sums = [np.concatenate([[0], np.cumsum(v)]) for v in (x, y, x * x, y * y, x * y)]
-            r2 = 0.0
-            for a in range(len(x) - least + 1):
-                b = np.arange(a + least, len(x) + 1)
-                sx, sy, sxx, syy, sxy = (s[b] - s[a] for s in sums)
-                k = b - a
-                cx, cy, cxy = sxx - sx * sx / k, syy - sy * sy / k, sxy - sx * sy / k
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    fit = np.where((cx > 0) & (cy > 0), cxy * cxy / (cx * cy), 0.0)
-                i = int(fit.argmax())
-                if fit[i] > r2:
-                    lo, hi, r2 = float(lag[a]), float(lag[b[i] - 1]), float(fit[i])
-        return pd.DataFrame({"series_id": [key[0]], "scaling_min": [lo], "scaling_max": [hi], "scaling_quality": [r2]})
-
-    long_enough = stat.where("n >= 20")
-    return long_enough.groupBy("series_id").applyInPandas(best, "series_id string, scaling_min double, scaling_max double, scaling_quality double")
+    The fit of a window is the difference of two rows of prefix moments, joined by
+    where it starts and ends: at most 100 x 100 / 2 rows a signal. A signal
+    without such a window gets NaN, and a quality of 0 where it has the points.
+    """
+    stat = structure_function(signal, 3, 100) if method == "structure_function" else block_variance(signal)
+    stat = stat.where("n >= 20")
+    w = Window.partitionBy("series_id").orderBy("lag")
+    points = stat.where("value > 0 and value < double('Infinity') and not isnan(value)").select("series_id", "lag", F.log10("lag").alias("x"), F.log10("value").alias("y"))
+    moments = {"sx": "x", "sy": "y", "sxx": "x * x", "syy": "y * y", "sxy": "x * y"}
+    ends = points.withColumns({"i": F.row_number().over(w)} | {n: F.sum(F.expr(e)).over(w) for n, e in moments.items()})
+    before = {f"{n}0": F.coalesce(F.lag(n).over(w), F.lit(0.0)) for n in moments}
+    starts = ends.withColumns(before).select("series_id", F.col("i").alias("a"), F.col("lag").cast("double").alias("lo"), *before)
+    both = ends.join(starts, "series_id").where(F.col("i") >= F.col("a") + (least - 1)).withColumn("k", F.col("i") - F.col("a") + 1)
+    both = both.withColumns({n: F.col(n) - F.col(f"{n}0") for n in moments})
+    both = both.withColumns({"cx": F.expr("sxx - sx * sx / k"), "cy": F.expr("syy - sy * sy / k"), "cxy": F.expr("sxy - sx * sy / k")})
+    both = both.withColumn("r2", F.expr("case when cx > 0 and cy > 0 then cxy * cxy / (cx * cy) else 0D end"))
+    first = F.min_by(F.struct("lo", F.col("lag").cast("double").alias("hi"), "r2"), F.struct(-F.col("r2"), "a", "i")).alias("b")
+    best = both.groupBy("series_id").agg(first)
+    none, found = F.lit(float("nan")), F.col("b.r2") > 0
+    out = stat.select("series_id").distinct().join(best, "series_id", "left")
+    return out.select("series_id", F.when(found, F.col("b.lo")).otherwise(none).alias("scaling_min"), F.when(found, F.col("b.hi")).otherwise(none).alias("scaling_max"), F.coalesce("b.r2", none).alias("scaling_quality"))
 
 
 def character(df: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Places of a chunk.
@@ -72,25 +73,46 @@ def chunk_of(pos: Column, length: int = CHUNK) -> Column:
     return F.floor(pos / length).cast("long")
 
 
-def haloed(df: DataFrame, pos: str, before: int, after: int, length: int = CHUNK, chunk: str = "chunk", own: str = "own") -> DataFrame:
+def haloed(df: DataFrame, pos: str, before: int, after: int, length: int | None = None, chunk: str = "chunk", own: str = "own") -> DataFrame:
     """Rows with their chunk, and once more for each neighbouring chunk that sees them within ``before`` or ``after`` places.
 
     Of a row's copies only that of its own chunk has ``own``. A window over
     (key, chunk) then sees the same places around an own row as one over the key.
     """
-    at = F.col(pos)
+    at, length = F.col(pos), length or CHUNK
     first, last = chunk_of(at - F.lit(after), length), chunk_of(at + F.lit(before), length)
     chunks = F.sequence(F.greatest(first, F.lit(0).cast("long")), last)
     return df.withColumn(chunk, F.explode(chunks)).withColumn(own, F.col(chunk) == chunk_of(at, length))
 
 
-def running_sums(df: DataFrame, key: str, pos: str, sums: dict[str, Column], length: int = CHUNK, backwards: bool = False) -> DataFrame:
+def in_chunks(df: DataFrame, key: str, pos: str, before: int, after: int, kernel: Callable[[DataFrame, WindowSpec], DataFrame], length: int | None = None) -> DataFrame:
+    """``kernel(rows, window)`` over the chunks of a key instead of the whole key.
+
+    The kernel adds columns by windows that look at most ``before`` places back and
+    ``after`` ahead; ``window`` is a chunk's rows with their halo, in order.
+    """
+    chunk, own = fresh(2)
+    rows = haloed(df, pos, before, after, length or CHUNK, chunk, own)
+    return kernel(rows, Window.partitionBy(key, chunk).orderBy(pos)).where(F.col(own)).drop(chunk, own)
+
+
+def with_totals(df: DataFrame, key: str, **totals: Column) -> DataFrame:
+    """``df`` with aggregates of each key; a plain join of two tables, of which Spark splits a hot key."""
+    k = fresh()[0]
+    per = written(df.groupBy(F.col(key).alias(k)).agg(*[c.alias(n) for n, c in totals.items()]))
+    return df.join(per, F.col(key) == F.col(k)).drop(k)
+
+
+def running_sums(df: DataFrame, key: str, pos: str, sums: dict[str, Column], length: int | None = None, backwards: bool = False) -> DataFrame:
     """``df`` with running sums of columns over the places of a key, in their order or from the last.
 
     ``pos`` tells the places of a key apart, or rows of one place count together only
     once all of them are passed. Chunks whose sums are themselves many are summed
     by the same rule.
     """
+    length = length or CHUNK
+    if length < 2:
+        raise ValueError("a chunk has two places or more")
     chunk, offset = fresh(2)
     names = list(sums)
     parts = dict(zip(names, fresh(len(names)), strict=True))

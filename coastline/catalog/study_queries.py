@@ -14,7 +14,7 @@ from coastline.catalog.feedback_queries import _LOG, _METHODS, _methods, log
 from coastline.catalog.generator_queries import _KOCH, _TARGET
 from coastline.catalog.registering import register_into
 from coastline.catalog.tables import rounded, table
-from coastline.operators import consensus, convergence, generators, rules
+from coastline.operators import consensus, contour, convergence, generators, rules
 from coastline.plans import studies
 from coastline.sources import logs, segments
 
@@ -98,24 +98,49 @@ def optimise_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
 
 
-def _field(spark: SparkSession, frames: int = 6, n: int = 33) -> DataFrame:
-    """Frames of a field whose contour is a circle with waves that grow."""
-    nodes = spark.range(frames * n * n).selectExpr(f"cast(id div {n * n} + 1 as double) as time", f"cast(id % {n * n} div {n} as int) as ix", f"cast(id % {n} as int) as iy")
-    nodes = nodes.withColumns({"x": F.col("ix") / (n - 1), "y": F.col("iy") / (n - 1)})
-    angle = F.atan2(F.col("y") - 0.5, F.col("x") - 0.5)
-    radius = F.sqrt(F.pow(F.col("x") - 0.5, 2) + F.pow(F.col("y") - 0.5, 2))
-    return nodes.withColumn("f", 0.5 + radius - 0.25 - 0.01 * F.col("time") * F.sin(angle * F.col("time") * 2))
+#: A frame for each day; nodes are parts of three hours by bands of users, with the mean value of the events in them.
+_BINS = """f AS (
+  SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS DOUBLE) AS time, CAST(floor(hour(ts) / 3) AS INTEGER) AS ix, CAST(user_id % 6 AS INTEGER) AS iy, avg(value) AS v
+  FROM events WHERE value IS NOT NULL GROUP BY ALL)"""
+_LEVEL = 45.0
+
+
+def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("double")
+    return contour.binned(e.select(day.alias("time"), F.floor(F.hour("ts") / 3).cast("int").alias("ix"), (F.col("user_id") % 6).cast("int").alias("iy"), F.col("value").cast("double").alias("value")))
+
+
+def _crossing(p: str, q: str) -> str:
+    t = f"(({_LEVEL}e0 - {p}v) / ({q}v - {p}v))"
+    return f"CASE WHEN ({p}v < {_LEVEL}e0) <> ({q}v < {_LEVEL}e0) THEN [{p}x + {t} * ({q}x - {p}x), {p}y + {t} * ({q}y - {p}y)] END"
+
+
+_CORNERS = {"a": "ix AS {n}x, iy AS {n}y, va AS {n}v", "b": "ix + 1 AS {n}x, iy AS {n}y, vb AS {n}v", "c": "ix + 1 AS {n}x, iy + 1 AS {n}y, vc AS {n}v", "d": "ix AS {n}x, iy + 1 AS {n}y, vd AS {n}v"}
+_CONTOURS = f"""WITH {_BINS},
+c AS (
+  SELECT a.time, a.ix, a.iy, a.v AS va, b.v AS vb, c.v AS vc, d.v AS vd FROM f a JOIN f b ON b.time = a.time AND b.ix = a.ix + 1 AND b.iy = a.iy
+  JOIN f c ON c.time = a.time AND c.ix = a.ix + 1 AND c.iy = a.iy + 1 JOIN f d ON d.time = a.time AND d.ix = a.ix AND d.iy = a.iy + 1),
+t AS ({" UNION ALL ".join(f"SELECT time, {_CORNERS[p].format(n='p')}, {_CORNERS[q].format(n='q')}, ix + 0.5e0 AS mx, iy + 0.5e0 AS my, (va + vb + vc + vd) / 4 AS mv FROM c" for p, q in ("ab", "bc", "cd", "ad"))}),
+e AS (SELECT time, list_filter([{_crossing('p', 'q')}, {_crossing('q', 'm')}, {_crossing('p', 'm')}], lambda x: x IS NOT NULL) AS s FROM t),
+l AS (SELECT time, sqrt(pow(s[1][1] - s[2][1], 2) + pow(s[1][2] - s[2][2], 2)) AS l FROM e WHERE len(s) = 2)"""
+
+
+@query(_CONTOURS + " SELECT time, CAST(count(l) AS BIGINT) AS n_segments, round(coalesce(sum(l), 0e0), 6) AS length FROM (SELECT DISTINCT time FROM f) LEFT JOIN l USING (time) GROUP BY time")
+def contour_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contours of the days' fields of events; days without one keep a row."""
+    return rounded(contour.by_frame(_field(spark, sf_dir), _LEVEL))
 
 
 @query()
 def temporal_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contours, carried parameters and dimensions of a run of frames."""
-    return rounded(studies.evolution(_field(spark), applied=False), 9)
+    """Contours, carried parameters and dimensions of the days of events."""
+    return rounded(studies.evolution(_field(spark, sf_dir), _LEVEL, applied=False), 9)
 
 
 @query()
 def temporal_evolution_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.run_json(studies.evolution(_field(spark), applied=False), time_step=1.0)
+    return logs.run_json(studies.evolution(_field(spark, sf_dir), _LEVEL, applied=False), time_step=1.0)
 
 
 @query(

@@ -63,8 +63,10 @@ def evolution(field: DataFrame, level: float = 0.5, series_id: str = "run", appl
 
     The carried parameters start so small that long ladders fail the gate of the
     smallest size; with ``applied`` off they are only reported, and every frame is
-    measured with eight sizes from a fifth of its larger side down. A frame without a contour has no row; one whose parameters fail a gate has
-    no dimension, and the others go on.
+    measured with eight sizes from a fifth of its larger side down. A frame whose
+    parameters fail a gate has no dimension. A frame without a contour keeps its row, with
+    0 segments and neither parameters nor dimension, and the carried parameters pass
+    it by.
     """
     segs = contour.contours(field, level)
     box = curves.bounding_boxes(segs)
@@ -75,7 +77,9 @@ def evolution(field: DataFrame, level: float = 0.5, series_id: str = "run", appl
     if not applied:
         sets = sets.withColumns({"initial_delta": F.greatest("width", "height") / 5, "delta_factor": F.lit(1.5), "num_steps": F.lit(8)})
     dims = boxcount.dimensions(segs, sets).select(F.col("curve_id").cast("double").alias("time"), F.when(F.col("valid"), F.col("dimension")).alias("dimension"), F.when(F.col("valid"), F.col("r_squared")).alias("r_squared"))
-    return params.join(dims, "time", "left").select("series_id", "time", "n_segments", "initial_delta", "delta_factor", "num_steps", "dimension", "r_squared")
+    every = field.select(F.col("time").cast("double").alias("time")).distinct().withColumn("series_id", F.lit(series_id))
+    out = every.join(params.drop("series_id"), "time", "left").join(dims, "time", "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0)).cast("long"))
+    return out.select("series_id", "time", "n_segments", "initial_delta", "delta_factor", "num_steps", "dimension", "r_squared")
 
 
 def evolution_of_files(spark: SparkSession, folder: str, start: float, end: float, step: float, level: float = 0.5) -> DataFrame:

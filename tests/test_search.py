@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from test_oracle import rows
 
 from coastline.catalog import generator_queries
-from coastline.operators import boxcount, curves, generators, search
+from coastline.operators import boxcount, contour, curves, generators, search
+from coastline.plans import studies
 
 
 def test_grid_of_every_event_curve_equals_sql(spark, data):
@@ -57,3 +58,16 @@ def test_segments_by_their_digits_are_the_turtles(spark, name, monkeypatch):
     for curve, level in (("a", 0), ("b", 2), ("c", 3)):
         want = [(r.seg_idx, *[pytest.approx(v, abs=1e-9) for v in (r.x1, r.y1, r.x2, r.y2)]) for r in generators.lsystem(spark, name, level).orderBy("seg_idx").collect()]
         assert [tuple(r) for r in got.where(F.col("curve_id") == curve).orderBy("seg_idx").drop("curve_id").collect()] == want
+
+
+def test_contours_beside_missing_nodes_and_frames_without_one(spark):
+    nodes = [(1.0, i, j, float(i), float(j), float(i + j) / 6) for i in range(4) for j in range(4) if (i, j) != (1, 1)]
+    nodes += [(2.0, i, j, float(i), float(j), 0.0) for i in range(3) for j in range(3)]
+    field = spark.createDataFrame(nodes, "time double, ix int, iy int, x double, y double, f double")
+    got = {r.time: (r.n_segments, r.length) for r in contour.by_frame(field, 0.5).collect()}
+    segs = contour.contours(field, 0.5).collect()
+    assert got[2.0] == (0, 0.0) and got[1.0][0] == len(segs) > 0
+    assert all(abs(v - 3) < 1e-9 for s in segs for v in (s.x1 + s.y1, s.x2 + s.y2))
+    assert not any(0 < s.x1 < 2 and 0 < s.y1 < 2 and 0 < s.x2 < 2 and 0 < s.y2 < 2 for s in segs)  # no cell has the missing corner
+    rows = {r.time: r for r in studies.evolution(field, applied=False).collect()}
+    assert rows[2.0].n_segments == 0 and rows[2.0].dimension is None and rows[1.0].n_segments == len(segs)

@@ -169,9 +169,11 @@ sig AS (
   SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS idx, count(*) OVER (PARTITION BY user_id) AS n, CAST(value AS DOUBLE) AS value FROM events WHERE user_id IS NOT NULL)"""
 
 
-@query(f"WITH {_EVENT_SIG}{_SF.format(t='sig')} SELECT series_id, lag, (SELECT count(*) FROM sig s WHERE s.series_id = sf.series_id) AS n, round(v, 3) AS value FROM sf")
+@query(f"WITH {_EVENT_SIG}{_SF.format(t='sig')} SELECT series_id, lag, (SELECT count(*) FROM sig s WHERE s.series_id = sf.series_id) AS n, round(v * 1.000000000001e0, 4) AS value FROM sf")
 def event_structure_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(selfsim.structure_function(event_signals(spark, sf_dir)), 3)
+    """Values of two decimals end in ties, which a little more than a half rounds up in both engines."""
+    out = selfsim.structure_function(event_signals(spark, sf_dir))
+    return rounded(out.withColumn("value", F.col("value") * 1.000000000001), 4)
 
 
 @query(_H.replace(_SIG, _EVENT_SIG) + " SELECT series_id, round(hurst_consensus, 6) AS hurst_consensus, round((r2_sf + r2_va + r2_dfa) / 3, 6) AS mean_r2 FROM hc")

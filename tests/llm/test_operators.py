@@ -267,6 +267,53 @@ def test_added_spans_of_plain_sentences(spark, detector):
     assert not any(r.pii_base for r in out if SAID[r.i][1] is None)
 
 
+#: Held out: forms that no template has word by word, and what is to be found in them.
+HELD_OUT = [
+    ("call 1-800-356-9377", ["1-800-356-9377"]), ("telefon 030 123456", ["030 123456"]), ("jane [@] site.org", ["jane [@] site.org"]), ("jane(a)site.org", ["jane(a)site.org"]), ("fe80::1%eth0", ["fe80::1%eth0"]),
+    ("john dot smith at example dot com", ["john dot smith at example dot com"]), ("the score was 100-200-3000", []), ("ratio 12:34:56", []), ("order 123-456-7890 shipped", []), ("call 212-555-0187 now", ["212-555-0187"]),
+    ("mail a@b.com or +49 30 1234567 now", ["a@b.com", "+49 30 1234567"]),
+]
+
+
+def test_added_spans_of_held_out_forms(spark, detector):
+    out = pii.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HELD_OUT)], "i int, text string"), detector).orderBy("i")
+    assert [[r.text[s.start : s.end] for s in r.pii_all] for r in out.collect()] == [want for _, want in HELD_OUT]
+
+
+def _greedy(spans):
+    """Plain: by rank, each that overlaps none taken before."""
+    taken = []
+    for x in sorted(set(spans), key=lambda x: (-x[4], -(x[2] - x[0]), x[0], x[1])):
+        if not any(t[0] < x[2] and x[0] < t[2] for t in taken):
+            taken.append(x)
+    return sorted(t[:4] for t in taken)
+
+
+def test_choice_among_overlapping_candidates(spark):
+    rng = random.Random(3)
+    made = [[(a := rng.randint(0, wide), rng.randint(1, 4), a + rng.randint(1, 14), "x", rng.choice([0.6, 0.7, 0.8, 0.9])) for _ in range(n)] for n, wide in [(0, 1), (900, 9000), *[(rng.randint(1, 12), 60) for _ in range(80)]]]
+    made.append([(0, 1, 10, "x", 0.7), (8, 1, 20, "x", 0.8), (18, 1, 30, "x", 0.9)])
+    df = spark.createDataFrame([(i, sorted(c)) for i, c in enumerate(made)], "i int, c array<struct<start:bigint,p:int,end:bigint,kind:string,score:double>>")
+    got = {r.i: sorted(tuple(x) for x in r.b) for r in df.select("i", pii.best("c").alias("b")).collect()}
+    assert got == {i: _greedy(c) for i, c in enumerate(made)}
+    assert got[len(made) - 1] == [(0, 1, 10, "x"), (18, 1, 30, "x")]
+
+
+def test_candidates_about_base_spans(spark):
+    """One that covers a base span and more is scored, once; the same span, a part of it or one across its end is not."""
+    items = [(10, 20, 1, False), (10, 20, 1, True), (12, 18, 1, True), (15, 25, 2, True), (5, 22, 1, True), (5, 22, 1, True), (40, 50, 1, True)]
+    df = spark.createDataFrame([(sorted((a, b, p, c, "email", "") for a, b, p, c in items),)], f"items {pii.ITEMS}")
+    assert [(x.start, x.end) for x in df.selectExpr(f"{pii.scorable('items')} AS x").first().x] == [(5, 22), (40, 50)]
+
+
+def test_context_anywhere_in_a_text(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "\U0001f600" for i in range(3000))
+    places = [(0, 3), (30, 35), (1020, 1030), (1064, 1064 + 960), (2990, 3000)]
+    df = spark.createDataFrame([(text, [(a, b, "ip", text[a:b]) for a, b in places])], "text string, c array<struct<start:bigint,end:bigint,kind:string,found:string>>")
+    got = df.selectExpr(f"{pii.with_context('text', 'c')} AS x").first().x
+    assert [(x.before, x.after) for x in got] == [(text[max(0, a - 40) : a], text[b : b + 40]) for a, b in places]
+
+
 def test_added_spans_follow_the_drawn_labels(spark, detector):
     made = spark.createDataFrame(pii.labelled_examples(400, seed=99), "text string, kind string, label int")
     out = pii.find(made, detector).withColumn("added", F.size("pii_all") > F.size("pii_base")).groupBy("label").agg(F.avg(F.col("added").cast("int")).alias("rate")).collect()

@@ -76,29 +76,63 @@ def spectral_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("curve_id", "initial_delta", "delta_factor", "num_steps", "confidence"))
 
 
+#: The transform written out: each of 32 scales has a kernel of up to 512 steps, joined to the standardised heights modulo their number.
+#: Where on the circle a kernel starts makes no difference to its energy, nor to its greatest and mean size.
+_CWT = f"""{_heights(spectrum.POINTS)}, zs AS (SELECT curve_id, i, (h - avg(h) OVER c) / nullif(stddev_pop(h) OVER c, 0) AS z FROM height WINDOW c AS (PARTITION BY curve_id)),
+scales AS MATERIALIZED (SELECT curve_id, k, domain, domain / 256 * pow(64e0, k / 31e0) AS s FROM (SELECT curve_id, any_value(step) * 511 AS domain FROM height GROUP BY curve_id), (SELECT unnest(range(0, 32)) AS k)),
+steps AS (SELECT *, CAST(ceil(6 * s * (1 - 1e-9)) AS BIGINT) AS n FROM scales),
+taps AS (SELECT *, unnest(range(greatest(0, n // 2 - 256), least(n, greatest(0, n // 2 - 256) + 512))) AS m FROM steps),
+kernel AS MATERIALIZED (
+  SELECT curve_id, k, m, cos(12 * pi() * u) * exp(-u * u / 2) / sqrt(s * pow(pi(), 0.25e0)) AS re, -sin(12 * pi() * u) * exp(-u * u / 2) / sqrt(s * pow(pi(), 0.25e0)) AS im
+  FROM (SELECT *, m / s - 3 AS u FROM taps)),
+folded AS MATERIALIZED (SELECT curve_id, k, ((i - m) % 512 + 512) % 512 AS p, sum(z * re) AS re, sum(z * im) AS im FROM kernel JOIN zs USING (curve_id) WHERE z IS NOT NULL GROUP BY curve_id, k, p),
+sizes AS (SELECT curve_id, k, avg(re * re + im * im) AS e, max(sqrt(re * re + im * im)) / (avg(sqrt(re * re + im * im)) + 1e-10) AS burst FROM folded GROUP BY curve_id, k),
+shares AS MATERIALIZED (
+  SELECT curve_id, k, s, domain, burst, p, sum(p) OVER (PARTITION BY curve_id ORDER BY k) AS cum, sum(p) OVER (PARTITION BY curve_id ORDER BY p, k) AS ordered,
+    p >= 0.05e0 AND p > lag(p) OVER o AND p > lead(p) OVER o AS peak
+  FROM (SELECT curve_id, k, s, domain, burst, e / sum(e) OVER (PARTITION BY curve_id) AS p FROM sizes JOIN scales USING (curve_id, k)) WINDOW o AS (PARTITION BY curve_id ORDER BY k)),
+wf AS (
+  SELECT curve_id, any_value(domain) AS domain_scale, -sum(p * log2(p)) FILTER (p > 0) AS wavelet_entropy, avg(burst) AS intermittency, var_pop(p) AS multiscale_complexity, (33 - 2 * sum(ordered) / max(ordered)) / 32 AS energy_concentration,
+    min(s) FILTER (cum >= 0.1e0 * (1 - 1e-9)) AS low, min(s) FILTER (cum >= 0.9e0 * (1 - 1e-9)) AS up, max(s) - min(s) AS span, sum(p) FILTER (k < 10) / sum(p) FILTER (k >= 21) AS large_small_ratio,
+    coalesce(min(s) FILTER (peak), arg_max(s, p)) AS first_scale, count(*) FILTER (peak) AS n_peaks, max(p) AS top
+  FROM shares GROUP BY curve_id),
+wfeat AS (SELECT *, CASE WHEN up > low THEN up - low ELSE span END AS scale_bandwidth FROM wf)"""
+
+
 def _wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectrum.wavelet_features(spectrum.height_function(event_curves(spark, sf_dir), spectrum.POINTS))
 
 
-@query()
+@query(f"WITH {_CWT} SELECT curve_id, {sql.rounded(' '.join(spectrum.WAVELET))}, round(domain_scale, 6) AS domain_scale, CAST(NULL AS VARCHAR) AS error FROM wfeat")
 def wavelet_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_wavelets(spark, sf_dir).drop("energy_distribution", "dominant_scales"))
 
 
-@query()
+@query(f"WITH {_CWT} SELECT curve_id, CAST(k AS INTEGER) AS scale_idx, round(p, 6) + 0.0 AS energy FROM shares")
 def cwt_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each scale in a curve's energy."""
     e = _wavelets(spark, sf_dir).select("curve_id", F.posexplode("energy_distribution").alias("scale_idx", "energy"))
     return rounded(e)
 
 
-@query()
+@query(
+    f"""WITH {_CWT} SELECT curve_id, round(greatest(0.001e0 * domain_scale, least(0.3e0 * domain_scale, 2 * first_scale)), 6) AS initial_delta,
+  round(CASE WHEN large_small_ratio > 3 THEN 1.8e0 WHEN large_small_ratio > 1.5e0 THEN 1.6e0 WHEN large_small_ratio > 0.7e0 THEN 1.4e0 WHEN large_small_ratio > 0.3e0 THEN 1.3e0 ELSE 1.2e0 END
+    * CASE WHEN energy_concentration > 0.8e0 THEN 0.9e0 WHEN energy_concentration < 0.3e0 THEN 1.1e0 ELSE 1e0 END, 6) AS delta_factor,
+  CAST(greatest(8e0, least(30e0, floor(12 * (CASE WHEN wavelet_entropy > 3 THEN 1.4e0 WHEN wavelet_entropy > 2 THEN 1.2e0 WHEN wavelet_entropy > 1 THEN 1e0 ELSE 0.8e0 END
+    * CASE WHEN multiscale_complexity > 0.2e0 THEN 1.3e0 WHEN multiscale_complexity > 0.1e0 THEN 1.1e0 ELSE 0.9e0 END * CASE WHEN scale_bandwidth / domain_scale > 0.5e0 THEN 1.2e0 WHEN scale_bandwidth / domain_scale > 0.2e0 THEN 1e0 ELSE 0.8e0 END)))) AS INTEGER) AS num_steps,
+  round(CASE WHEN n_peaks > 3 THEN 0.8e0 ELSE 1e0 END * CASE WHEN top > 0.9e0 THEN 0.7e0 WHEN top < 0.1e0 THEN 0.8e0 ELSE 1e0 END * CASE WHEN wavelet_entropy < 0.5e0 OR wavelet_entropy > 5 THEN 0.8e0 ELSE 1e0 END, 6) AS confidence FROM wfeat"""
+)
 def wavelet_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spectrum.wavelet_parameters(_wavelets(spark, sf_dir))
     return rounded(out.select("curve_id", "initial_delta", "delta_factor", "num_steps", "confidence"))
 
 
-@query()
+@query(
+    f"""WITH {_CWT}, line AS (SELECT curve_id, count(*) FILTER (p > 0) AS k, regr_slope(log10(p), -2 + 2 * k / 31e0) FILTER (p > 0) AS exponent, regr_r2(log10(p), -2 + 2 * k / 31e0) FILTER (p > 0) AS r_squared FROM shares GROUP BY curve_id)
+SELECT curve_id, round(exponent, 6) + 0.0 AS exponent, round(r_squared, 6) + 0.0 AS r_squared,
+  CASE WHEN k < 3 THEN 'insufficient_data' WHEN r_squared <= 0.8e0 THEN 'non_fractal' WHEN exponent > -2 AND exponent < 0 THEN 'strong_fractal' WHEN exponent > -3 AND exponent < -2 THEN 'moderate_fractal' ELSE 'weak_fractal' END AS scaling_class FROM line"""
+)
 def wavelet_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectrum.wavelet_scaling(_wavelets(spark, sf_dir)))
 

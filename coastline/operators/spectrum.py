@@ -133,7 +133,8 @@ def transform(signal: np.ndarray, scales: np.ndarray, wavelet: Callable[[np.ndar
     n = len(signal)
     out, spectrum = np.zeros((len(scales), n), complex), np.fft.fft(signal)
     for row, s in zip(out, scales, strict=True):
-        t = np.arange(-3 * s, 3 * s, 1.0) if s > 0 else np.zeros(0)
+        # three scales to either side; a whole number of steps is not one more by rounding
+        t = np.arange(np.ceil(6 * s * (1 - SHARE))) - 3 * s if s > 0 else np.zeros(0)
         if not len(t):
             continue
         w = wavelet(t / s) / np.sqrt(s)

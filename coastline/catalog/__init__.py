@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("curve_queries", "feedback_queries", "signal_queries", "spectrum_queries", "generator_queries", "study_queries")
+MODULES = ("curve_queries", "feedback_queries", "signal_queries", "spectrum_queries", "generator_queries", "study_queries", "comparison_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -172,3 +172,10 @@ def parameters(df: DataFrame) -> DataFrame:
             "num_steps": F.expr(f"cast(greatest(8D, least(30D, floor({steps} + 1e-9D))) as int)"),
         }
     ).drop("_h", "_lo", "_hi", "_q", "_t")
+
+
+def row(signal: DataFrame) -> DataFrame:
+    """Each signal's whole self-similarity: three exponents with their fits, consensus, scaling range, strength, character and kinds."""
+    out = hurst(signal).join(scaling_range(standardised(signal).drop("n")), "series_id", "left")
+    out = out.withColumn("self_similarity_strength", F.abs(F.col("hurst_consensus") - 0.5) * F.col("scaling_quality"))
+    return properties(character(out))

@@ -33,3 +33,26 @@ def half_shift(counts: DataFrame) -> DataFrame:
     at = lambda i: F.max(F.when(F.col("offset_idx") == i, F.col("n_boxes")))
     out = counts.groupBy("curve_id", "k").agg(at(0).alias("plain"), at(len(OFFSETS) - 1).alias("shifted"))
     return out.withColumn("change_pct", F.abs(F.col("shifted") - F.col("plain")) / F.col("plain") * 100)
+
+
+#: Means of counts' changes that differ by less are one value.
+TIE = 1e-9
+
+
+def evidence(changes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(curve_id, base_id) and the changes of ``half_shift`` -> how far the curve's counts hang on the grid, and more than the base's.
+
+    Changes of 100 percent or more are left out; a pair of which one curve has no
+    other gives no row. Of three points one is for the mean change (over 10
+    percent, half for over 5), one for its ratio to the base's (over 2, half for
+    over 1.5; without end where the base's is 0), one for a change over 20 percent.
+    """
+    found = changes.where("change_pct < 100").groupBy("curve_id").agg(F.avg("change_pct").alias("mean_change"), F.max("change_pct").alias("max_change"))
+    base = found.select(F.col("curve_id").alias("base_id"), F.col("mean_change").alias("base_change"))
+    out = pairs.select("curve_id", "base_id").join(found, "curve_id").join(base, "base_id")
+    out = out.withColumn("ratio", F.when(F.col("base_change") > 0, F.col("mean_change") / F.nullif("base_change", F.lit(0.0))).otherwise(float("inf")))
+    over = lambda c, v: F.col(c) > v + TIE
+    points = F.when(over("mean_change", 10), 1.0).when(over("mean_change", 5), 0.5).otherwise(0.0) + F.when(over("ratio", 2), 1.0).when(over("ratio", 1.5), 0.5).otherwise(0.0) + F.when(over("max_change", 20), 1.0).otherwise(0.0)
+    out = out.withColumn("evidence", points)
+    verdict = F.when(F.col("evidence") >= 2, "confirmed").when(F.col("evidence") >= 1, "partially confirmed").otherwise("not confirmed")
+    return out.select("curve_id", "base_id", "mean_change", "max_change", "base_change", "ratio", "evidence", verdict.alias("verdict"))

@@ -27,8 +27,7 @@ def method_rows(segs: DataFrame, log: DataFrame | None = None) -> DataFrame:
     wave = spectrum.wavelet_parameters(spectrum.wavelet_features(heights).where("error is null"))
     bend = curvature.confidence(curvature.parameters(curvature.features(segs).join(scale, "curve_id")))
     signal = spectrum.height_function(segs, 256).select(F.col("curve_id").alias("series_id"), F.posexplode("heights").alias("idx", "value")).withColumn("idx", F.col("idx").cast("bigint"))
-    own = selfsim.hurst(signal).join(selfsim.scaling_range(selfsim.standardised(signal).drop("n")), "series_id", "left").withColumnRenamed("series_id", "curve_id").join(scale, "curve_id")
-    own = selfsim.character(own.withColumn("self_similarity_strength", F.abs(F.col("hurst_consensus") - 0.5) * F.col("scaling_quality")))
+    own = selfsim.row(signal).withColumnRenamed("series_id", "curve_id").join(scale, "curve_id")
     own = self_similarity_confidence(selfsim.parameters(own))
     typed = rules.classify(features.features(segs))
     plain = feedback.adaptive_parameters(typed, log) if log is not None else rules.fallback_parameters(typed)

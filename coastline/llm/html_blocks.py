@@ -20,6 +20,8 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*none", re.IGNORECASE)
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
 _PART = re.compile(r"[a-z]{2,}")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -56,9 +58,17 @@ def _names(attrs: str) -> list[str]:
     return [w for m in _NAMES.finditer(attrs) for w in _PART.findall(_HUMP.sub(" ", m[1] or m[2] or m[3] or "").lower())]
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether an element isn't shown: by the attribute of that name, or by its style."""
+    return _HIDDEN.search(attrs) is not None and (_HIDDEN.search(_QUOTED.sub("", attrs)) is not None or "display" in attrs.lower())
+
+
 def blocks(html: str | None) -> list[Block]:
     """The page's non-empty blocks in order; white space inside each is one space.
 
+    A line break is white space inside a block. Elements that aren't shown have no
+    blocks. A header inside an article or main element is told from the page's.
+
     Time and memory grow with the page's length, whatever its depth: an
     element knows its parent, and only what it adds to it.
     """
@@ -68,6 +78,7 @@ def blocks(html: str | None) -> list[Block]:
     tags: Counter = Counter()
     parts: list[str] = []
     linked, links = 0, 0
+    covered = 0  # the depth of the stack at which a hidden element is open, or 0
     html = html or ""
 
     def flush() -> None:
@@ -81,13 +92,16 @@ def blocks(html: str | None) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not covered:
             text = unescape(raw) if "&" in raw else raw
             parts.append(text)
             if links:
                 linked += len(text.strip())
 
     def pop() -> None:
+        nonlocal covered
+        if covered == len(stack):
+            covered = 0
         node, own = stack.pop()
         tags[node.tag] -= 1
         seen.subtract(own)
@@ -111,7 +125,9 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if tag == "a":
             links = max(0, links - 1) if closing else links + 1
-        if tag in INLINE:
+        if tag == "br":
+            add(" ")
+        if tag in INLINE or tag == "br":
             continue
         flush()
         if tag in VOID:
@@ -127,9 +143,11 @@ def blocks(html: str | None) -> list[Block]:
         while stack and stack[-1][0].tag in group:
             pop()
         if not attrs.endswith("/"):
-            own = [] if tag in ("html", "body") else list(dict.fromkeys([f"in:{tag}", *(f"name:{n}" for n in _names(attrs))]))
+            own = [] if tag in ("html", "body") else list(dict.fromkeys(["in:header of article" if tag == "header" and (tags["article"] or tags["main"]) else f"in:{tag}", *(f"name:{n}" for n in _names(attrs))]))
             stack.append((Node(tag, stack[-1][0] if stack else None, tuple(f for f in own if not seen[f])), own))
             seen.update(own)
             tags[tag] += 1
+            if not covered and attrs and _hidden(attrs):
+                covered = len(stack)
     flush()
     return out

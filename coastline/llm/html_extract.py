@@ -166,6 +166,11 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
         inner, labels = "", []
         if rng.random() < 0.8:
             inner, labels = f"<h1>{words(2, 9)}{pick(['', '', '.'])}</h1>", [1]
+            if rng.random() < 0.15:  # a headline has its own header
+                more = pick(["", f"<p>{words(3, 9)}</p>"])
+                inner, labels = f"<header>{inner}{more}</header>", [1, 1] if more else [1]
+                if rng.random() < 0.5:
+                    return f"<{(outer := pick(['article', 'main', 'article']))}>{inner}<p>{sentences(1, 8)}</p><p>{sentences(1, 8)}</p></{outer}>", [*labels, 1, 1]
         for _ in range(rng.randint(1, 9)):
             r = rng.random()
             if r < 0.62:
@@ -196,6 +201,11 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, li
     out = []
     for _ in range(n):
         page, labels = "", []
+        if rng.random() < 0.04:  # nothing but text and line breaks
+            unnamed = True
+            broken = pick(["<br>", "<br><br>"]).join(sentences(1, 6) for _ in range(rng.randint(1, 4)))
+            out.append((f"<html><body>{wrapped([], ['content', 'text', 'entry'], broken, 0)}</body></html>", [1]))
+            continue
         unnamed = rng.random() < 0.35  # then only what can be told without names
         before = [k for k in ("notice", "header", "nav", "ad", "aside") if rng.random() < 0.55 and (not unnamed or k == "nav")]
         after = [k for k in ("aside", "comments", "form", "ad", "footer", "notice") if rng.random() < 0.5 and (not unnamed or k == "footer")]

@@ -707,3 +707,28 @@ def test_every_sentence_has_a_cue():
 def test_licences_odd_rows(odd, spark):
     assert licenses.scan(odd).count() == len(ODD)
     assert licenses.scan(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_blocks_of_breaks_hidden_parts_and_headers():
+    page = "<article><header><h1>Head</h1></header>one<br>two<br/><br />three<div hidden><p>no<div>no</div></p></div><p style='color:red; display : none'>no</p><p title='a hidden x'>yes</p><input hidden>end</article><header>top</header>"
+    found = blocks(page)
+    assert [b.text for b in found] == ["Head", "one two three", "yes", "end", "top"]
+    assert "in:header of article" in found[0].node.features() and "in:header" not in found[0].node.features() and "in:header" in found[-1].node.features()
+    assert [b.text for b in blocks("<div hidden>no<p>no</div>yes<br>")] == ["yes"]
+
+
+PROSE = "The council met on Monday to discuss the new bridge. Many people came to the hall."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div id=x1>{PROSE}<br><br>{PROSE}</div>", f"{PROSE} {PROSE}"),
+        (f"<article><header><h1>The new bridge</h1></header><p>{PROSE}</p><p>{PROSE}</p></article>", f"The new bridge {PROSE} {PROSE}"),
+        (f"<nav><ul><li><a href=/>Home</a></li></ul></nav><article><p>{PROSE}</p><div style='display: none'><p>Not shown.</p></div><p>{PROSE}</p></article><footer><p>Copyright Me</p></footer>", f"{PROSE} {PROSE}"),
+    ],
+)
+def test_pages_of_breaks_hidden_parts_and_headlines(page, want):
+    extractor = html_extract.Extractor(html_extract.trained())
+    assert extractor.text(page) == want
+    assert extractor.text(page) == want  # repeated pages get the same answer

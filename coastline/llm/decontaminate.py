@@ -8,11 +8,11 @@ of a whole item that is shorter than a window.
 
 The items are dealt by their ids into blocks of about ``block_words`` words. A
 block's automaton, about 1 KB a word, is built on the driver and sent to the
-executors; the documents pass through it, and what it hits is kept with them.
-With more blocks than one the documents pass once for each, and are written to
-the shared folder in between: never is more than one block in memory anywhere,
-and a benchmark of any size takes longer, not more. The corpus itself is neither
-shuffled nor gathered.
+executors, and the documents pass through it: never is more than one block in
+memory anywhere. One block leaves the corpus where it is. With more, the texts are
+read once for each, and what a text meets, by its digest and without the text, is
+written to the shared folder; each text's entries are put together and joined to the
+documents, which are shuffled once, however many blocks there are.
 
 Rows: a null text has no words and no hits; an item that is null or has no
 words occurs nowhere; items that share an id count as one; an item without an
@@ -25,11 +25,14 @@ through, but those named like a new column, which it replaces.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +183,28 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[at:]]).decode()
 
 
+def machine(block: DataFrame, window: int) -> Broadcast:
+    """A block's automaton, sent to the executors; the block's items pass the driver."""
+    return block.sparkSession.sparkContext.broadcast(Automaton([(r.item, words_of(r.text)) for r in block.toLocalIterator()], window))
+
+
+def met(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """(key, runs, items, longest) of each text that has words in common with a block; texts: (text), key: the text's MD5 digest."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(0):
+                text = text.as_py()
+                runs, items, longest = shared.value.scan(words_of(text))
+                if longest:
+                    rows.append((hashlib.md5(text.encode(), usedforsecurity=False).digest(), [list(r) for r in runs], list(items), longest))
+            keys, runs, items, longest = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=["key", "runs", "items", "longest"])
+
+    return texts.mapInArrow(each, "key binary, runs array<array<bigint>>, items array<string>, longest bigint")
+
+
 def decontaminate(
     docs: DataFrame,
     bench: DataFrame,
@@ -207,47 +232,36 @@ def decontaminate(
         added.append(("decon_text", "string", pa.string()))
     new = {n for n, _, _ in added}
     kept = [f for f in docs.schema.fields if f.name not in new and (with_text or f.name != text_col)]
-    spans_col, items_col, longest_col = fresh(3)
-    state = [(spans_col, "array<array<bigint>>", pa.list_(pa.list_(pa.int64()))), (items_col, "array<string>", pa.list_(pa.string())), (longest_col, "bigint", pa.int64())]
-
-    def through(rows: DataFrame, block: DataFrame, first: bool, final: bool) -> DataFrame:
-        """``rows`` with what they meet in one block beside what they met before; at last with the columns of the result."""
-        machine = Automaton([(r.item, words_of(r.text)) for r in block.toLocalIterator()], window)
-        shared = rows.sparkSession.sparkContext.broadcast(machine)
-        whole = [f for f in docs.schema.fields if f.name not in new]
-        old = kept if final else whole
-        out = added if final else state
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns: list[list] = [[] for _ in out]
-                place = batch.schema.get_field_index
-                before = [[None] * batch.num_rows] * 3 if first else [batch.column(place(n)).to_pylist() for n, _, _ in state]
-                for text, *had in zip(batch.column(place(text_col)), *before, strict=True):
-                    text = text.as_py()
-                    words = words_of(text)
+    key_col, met_col, digest_col = fresh(3)
+    todo = blocks(bench, bench_id, bench_text, block_words)
+    if len(todo) > 1:
+        # equal texts meet the same: one row a text and block, aggregated before it is shuffled
+        parts = [cut(met(docs.select(F.col(text_col).alias("text")), machine(block, window)).dropDuplicates(["key"])) for block in todo]
+        entries = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.collect_list(F.struct("runs", "items", "longest")).alias(met_col)).withColumnRenamed("key", digest_col)
+        docs = docs.withColumn(key_col, F.unhex(F.md5(text_col))).join(cut(entries), F.col(key_col) == F.col(digest_col), "left").drop(key_col, digest_col)
+    shared = machine(todo[0], window) if len(todo) == 1 else None
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in added]
+            place = batch.schema.get_field_index
+            entries = batch.column(place(met_col)).to_pylist() if shared is None else [None] * batch.num_rows
+            for text, found in zip(batch.column(place(text_col)), entries, strict=True):
+                text = text.as_py()
+                words = words_of(text)
+                if shared is None:
+                    runs = merged([(a, b) for e in found or [] for a, b in e["runs"]])
+                    items, longest = {x for e in found or [] for x in e["items"]}, max((e["longest"] for e in found or []), default=0)
+                else:
                     runs, items, longest = shared.value.scan(words)
-                    if had[0]:
-                        runs = merged(runs + [tuple(r) for r in had[0]])
-                    if not first:
-                        items, longest = items | set(had[1]), max(longest, had[2])
-                    if not final:
-                        row = [[list(r) for r in runs], list(items), longest]
-                    else:
-                        hits = sum(b - a for a, b in runs)
-                        row = [len(words), hits, sorted(x for x in items if x is not None), len(items), longest, [list(r) for r in runs], hits > max_coverage * len(words)]
-                        if with_text:
-                            row.append(without(text, runs) if runs else text)
-                    for c, v in zip(columns, row, strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(place(f.name)) for f in old), *(pa.array(c, t) for c, (_, _, t) in zip(columns, out, strict=True))], names=[*(f.name for f in old), *(n for n, _, _ in out)]
-                )
-
-        return rows.mapInArrow(each, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in old), *(f"`{n}` {t}" for n, t, _ in out)]))
+                hits = sum(b - a for a, b in runs)
+                row = [len(words), hits, sorted(x for x in items if x is not None), len(items), longest, [list(r) for r in runs], hits > max_coverage * len(words)]
+                if with_text:
+                    row.append(without(text, runs) if runs else text)
+                for c, v in zip(columns, row, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(place(f.name)) for f in kept), *(pa.array(c, t) for c, (_, _, t) in zip(columns, added, strict=True))], names=[*(f.name for f in kept), *(n for n, _, _ in added)]
+            )
 
-    todo = blocks(bench, bench_id, bench_text, block_words)
-    for k, block in enumerate(todo[:-1]):
-        docs_now = docs if k == 0 else rows
-        rows = cut(through(docs_now, block, k == 0, False))
-    return through(docs if len(todo) == 1 else rows, todo[-1], len(todo) == 1, True)
+    return docs.mapInArrow(each, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{n}` {t}" for n, t, _ in added)]))

@@ -22,9 +22,11 @@ The draws are only a first pass. Members of buckets of three or more that still
 span several components are finished exactly (``candidates``): in one fixed order of
 all shingles, about the rarest first, two sets that are similar enough have their
 first common shingle among the first ``prefix_lengths`` of each; every other pair
-across components is ruled out by that, and what is left is confirmed on the full
-sets. The order comes from a table of ``SLOTS`` counters; it decides how many pairs
-are left, not which links are found.
+across components is ruled out by that. Of what is left, most pairs fall by their
+``parities``: a set's shingles switch bits of a mark of two bits a shingle or more, and
+two marks differ in no more bits than their sets have shingles that the other lacks.
+The rest is confirmed on the full sets. The order comes from a table of ``SLOTS``
+counters; it decides how many pairs are left, not which links are found.
 
 At scale: exact copies are collapsed first, so a group of copies that holds a
 third of all rows is one node. Bucket minima are aggregated before they are
@@ -177,6 +179,47 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
     return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
 
 
+def parity(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """A mark of ``bits`` bits, a power of two and 64 at least, as 64-bit words: bit k tells whether an odd number of shingles falls on it."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def parities(own: DataFrame, size: int) -> DataFrame:
+    """(node, n, mark, half): the mark of each set, and the same with half as many bits; own: (node, text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, marks, halves = [], [], []
+            for text in batch.column(1):
+                shingles = shingle_set(word_hashes(text.as_py()), size)
+                bits = max(128, 1 << (2 * len(shingles) - 1).bit_length())
+                sizes.append(len(shingles))
+                marks.append(parity(shingles, bits))
+                halves.append(parity(shingles, bits // 2))
+            words = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, words), pa.array(halves, words)], names=["node", "n", "mark", "half"])
+
+    return own.select("node", "text").mapInArrow(each, "node bigint, n bigint, mark array<bigint>, half array<bigint>")
+
+
+def within_reach(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their marks do not rule out.
+
+    Two sets similar enough differ by (100 - percent) / (100 + percent) of their
+    joint sizes at most, and their marks by no more bits than that. Where one mark is
+    twice as long its half is compared; pairs further apart, which only a low percentage
+    lets through, are kept.
+    """
+    side = lambda k: marks.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "mark", "half")])
+    both = pairs.join(side("b"), F.col("b") == F.col("node_b")).join(side("a"), F.col("a") == F.col("node_a"))
+    a, b = F.size("mark_a"), F.size("mark_b")
+    x, y = F.when(a > b, F.col("half_a")).otherwise(F.col("mark_a")), F.when(b > a, F.col("half_b")).otherwise(F.col("mark_b"))
+    apart = F.aggregate(F.zip_with(x, y, lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
+    close = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return both.where(close | (F.greatest(a, b) > 2 * F.least(a, b))).select("a", "b")
+
+
 def candidates(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """All pairs (a, b) of nodes in different components that can be similar enough; left: (node, component), texts: (id, text)."""
     own = cut(texts.join(left, F.col("id") == F.col("node")).select("node", "component", "text"))
@@ -218,7 +261,7 @@ def candidates(left: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     # one of the two is outside the shingle's largest component, which so never meets itself
     short = firsts.where("short")
     pairs = paired(short.where("component != largest"), others).unionByName(paired(short.where("component = largest"), others.where("theirs != largest")))
-    return pairs.distinct()
+    return within_reach(cut(pairs.distinct()), cut(parities(own, size)), percent)
 
 
 def near_duplicates(

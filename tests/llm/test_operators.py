@@ -148,6 +148,43 @@ def test_every_pair_of_a_template_family(spark):
     assert brute.near_components(few) == {i: got[i] for i, _ in few}
 
 
+def slot_family(n, seed=3):
+    """Forms of 140 words with ten slots filled from 40 values each, and for every hundredth one a copy with another word at its end."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(140)]
+    out = []
+    for i in range(n):
+        for s in range(10):
+            words[7 + 14 * s] = f"s{s}v{rng.randrange(40)}"
+        out.append((i, " ".join(words)))
+        if i % 100 == 0:
+            out.append((n + i, " ".join([*words[:-1], f"end{i}"])))
+    return out
+
+
+def test_forms_with_slots(spark):
+    texts = slot_family(300)
+    got = {r.id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute.near_components(texts)
+
+
+@pytest.mark.parametrize("n", [1, 40, 63, 64, 65, 127, 128, 129, 1000])
+def test_marks_rule_out_no_similar_pair(spark, n):
+    rng = random.Random(n)
+    texts, pairs = [], []
+    for k in range(12):
+        words = [f"x{rng.random()}" for _ in range(n + 4)]
+        other = words + [f"y{rng.random()}" for _ in range(rng.randrange(0, n // 3 + 1))] if k % 3 else [f"z{rng.random()}" for _ in words]
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        pairs.append((2 * k, 2 * k + 1))
+    sets = {i: brute.shingles(t) for i, t in texts}
+    marks = minhash.parities(spark.createDataFrame(texts, "node long, text string"), 5)
+    kept = {(r.a, r.b) for r in minhash.within_reach(spark.createDataFrame(pairs, "a long, b long"), marks, 75).collect()}
+    similar = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert similar <= kept
+    assert n < 40 or not kept & {(2 * k, 2 * k + 1) for k in range(0, 12, 3)}
+
+
 def test_near_duplicates_odd_rows(odd, spark):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
@@ -413,6 +450,20 @@ def test_leaks(spark, docs, rows, data):
             assert len(r.decon_text) < len(dict(texts)[r.doc_id])
 
 
+def test_leaks_of_many_blocks_with_other_columns(spark):
+    """The same rows whether the items are in one block or in many; columns that are named like the operator's own stay."""
+    rng = random.Random(2)
+    items = [(i, " ".join(f"q{rng.randrange(60)}" for _ in range(rng.randrange(3, 40)))) for i in range(40)]
+    texts = [(i, " ".join([*(f"q{rng.randrange(60)}" for _ in range(5)), rng.choice(items)[1], "end"]), f"k{i}", i) for i in range(30)]
+    texts += [(5, texts[5][1], "again", -5), (90, None, None, None), (91, "", "k", 1), (92, "nothing known", "k", 2)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, key string, runs long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (decontaminate.decontaminate(docs, bench, block_words=n) for n in (10**6, 100))
+    assert one.columns == many.columns and one.columns[:4] == docs.columns
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(one) == order(many) and one.count() == len(texts)
+
+
 def test_leaks_odd_rows(odd, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.decontaminate(odd, bench)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coastline.catalog import sql
 from coastline.catalog.registering import register_into
-from coastline.catalog.tables import event_curves, rounded, table
+from coastline.catalog.tables import event_curves, order_curves, rounded, table
 from coastline.operators import boxcount, contour, curves, generators, search, temporal
 from coastline.sources import segments as text_segments
 
@@ -180,15 +180,20 @@ def diff_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_KOCH.format(n=4)}, segs AS (SELECT 'L' || lvl AS curve_id, seg_idx, x1, y1, x2, y2 FROM koch WHERE lvl >= 2), {sql.BOXES}, params AS (SELECT curve_id, 0.5e0 AS initial_delta, 2e0 AS delta_factor, 5 AS num_steps FROM box),
+    f"""WITH RECURSIVE {_KOCH.format(n=4)}, segs AS (SELECT 'L' || lvl AS curve_id, seg_idx, round(x1, 9) + 0.0 AS x1, round(y1, 9) + 0.0 AS y1, round(x2, 9) + 0.0 AS x2, round(y2, 9) + 0.0 AS y2 FROM koch WHERE lvl >= 2), {sql.BOXES}, params AS (SELECT curve_id, 0.5e0 AS initial_delta, 2e0 AS delta_factor, 5 AS num_steps FROM box),
 {sql.ladder()}, {sql.cells()}, e AS (SELECT curve_id, abs(regr_slope(ln(n_boxes), ln(1 / delta)) - 1.2618595071429148e0) / 1.2618595071429148e0 * 100 AS err FROM counts GROUP BY curve_id)
-SELECT CAST(count(*) AS BIGINT) AS n_levels, arg_min(curve_id, err) AS best_level, round(min(err), 6) AS best_error FROM e"""
+SELECT c_nationkey AS nation, CAST(count(*) AS BIGINT) AS n_curves, CAST(count(DISTINCT curve_id) AS BIGINT) AS n_levels, arg_min(curve_id, round(err, 6)) AS best_level, round(min(err), 6) AS best_error
+FROM customer JOIN e ON curve_id = 'L' || (c_custkey % 3 + 2) GROUP BY c_nationkey"""
 )
 def koch_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = generators.koch(spark, 2, "L2").unionByName(generators.koch(spark, 3, "L3")).unionByName(generators.koch(spark, 4, "L4"))
+    """A Koch curve for each customer, measured, and the nations' levels with the least error; points on the grid's lines are told by nine decimals."""
+    of = _levels(spark, sf_dir, 4, 2)
+    segs = rounded(generators.addressed_koch(of, 4), 9)
     params = curves.bounding_boxes(segs).withColumns({"initial_delta": F.lit(0.5), "delta_factor": F.lit(2.0), "num_steps": F.lit(5)})
-    dims = boxcount.dimensions(segs, params).where("valid").withColumn("err", F.abs(F.col("dimension") - 1.2618595071429148) / 1.2618595071429148 * 100)
-    return rounded(dims.agg(F.count(F.lit(1)).alias("n_levels"), F.min_by("curve_id", "err").alias("best_level"), F.min("err").alias("best_error")))
+    dims = boxcount.dimensions(segs, params).where("valid").withColumn("err", F.round(F.abs(F.col("dimension") - 1.2618595071429148) / 1.2618595071429148 * 100, 6))
+    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("curve_id"), F.col("c_nationkey").alias("nation"))
+    named = dims.join(of, "curve_id").join(owners, "curve_id").withColumn("level", F.concat(F.lit("L"), "level"))
+    return rounded(named.groupBy("nation").agg(F.count(F.lit(1)).alias("n_curves"), F.countDistinct("level").alias("n_levels"), F.min_by("level", F.struct("err", "level")).alias("best_level"), F.min("err").alias("best_error")))
 
 
 _DAYS = """fr AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) AS DOUBLE) AS time, CAST(count(*) AS BIGINT) AS n_segments, max(value) AS dimension FROM events GROUP BY 1, 2),
@@ -230,30 +235,40 @@ def evolution_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(temporal.deltas(_frames(spark, sf_dir)))
 
 
-@query("SELECT CAST(k AS BIGINT) AS k, round(1.999e0 + k, 6) AS time, CAST(1999 + 1000 * k AS BIGINT) AS stamp, CASE WHEN k % 3 <> 1 THEN 'run/RT160x200-' || (1999 + 1000 * k) || '.vtk' END AS path FROM (SELECT unnest(range(0, 11)) AS k)")
+@query(
+    """WITH have AS (SELECT DISTINCT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d FROM events WHERE user_id % 5 = 0)
+SELECT CAST(k AS BIGINT) AS k, CAST(k AS DOUBLE) AS time, CAST(1000 * k AS BIGINT) AS stamp, CASE WHEN d IS NOT NULL THEN 'run/RT160x200-' || (1000 * k) || '.vtk' END AS path FROM (SELECT unnest(range(0, 61)) AS k) LEFT JOIN have ON d = k"""
+)
 def frame_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.range(11).where("id % 3 <> 1").select(F.format_string("run/RT160x200-%d.vtk", 1999 + 1000 * F.col("id")).alias("path"))
-    return rounded(temporal.discover(temporal.wanted_stamps(spark, 1.999, 11.999, 1.0), files))
+    """The first 61 days of a series of frames that has a file for each day on which one of a fifth of the users had an event."""
+    days = table(spark, sf_dir, "events").where("user_id % 5 = 0").select(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("d"))
+    files = days.where("d >= 0").select(F.format_string("run/RT160x200-%d.vtk", 1000 * F.col("d")).alias("path"))
+    return rounded(temporal.discover(temporal.wanted_stamps(spark, 0.0, 60.0, 1.0), files))
 
 
-_TEXT = "# title\n\n0 0 1 0\n  1,0,2.5,1e-1 99\n-.5 5. 7\n1 2 3\nseg 1: 2 3 4\n"
+#: A line of a customer's text for each order: a comment, four numbers with other things between them, three numbers, and four numbers after blanks.
+_LINE = "CASE o_orderkey % 4 WHEN 0 THEN chr(35) || ' ' || o_orderkey WHEN 1 THEN o_orderkey || ',' || o_custkey || ' x ' || (o_orderkey % 7) || ';-' || (o_custkey % 5) || ' 99' WHEN 2 THEN o_orderkey || ' ' || o_custkey || ' 7' ELSE '  ' || o_orderkey || ' .5 1e2 ' || o_custkey END"
+_LINES = f"l AS (SELECT CAST(o_custkey AS VARCHAR) AS curve_id, o_orderdate AS d, o_orderkey AS k, {_LINE} AS line FROM orders)"
 
 
 @query(
-    """WITH t AS (SELECT string_split(chr(35) || ' title' || chr(10) || chr(10) || '0 0 1 0' || chr(10) || '  1,0,2.5,1e-1 99' || chr(10) || '-.5 5. 7' || chr(10) || '1 2 3' || chr(10) || 'seg 1: 2 3 4' || chr(10), chr(10)) AS lines),
-l AS (SELECT i, trim(lines[i]) AS s FROM (SELECT lines, unnest(range(1, len(lines) + 1)) AS i FROM t)),
-n AS (SELECT i, regexp_extract_all(s, '[-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?') AS v FROM l WHERE s <> '' AND NOT starts_with(s, '#'))
-SELECT 'x' AS curve_id, CAST(row_number() OVER (ORDER BY i) - 1 AS BIGINT) AS seg_idx, CAST(v[1] AS DOUBLE) AS x1, CAST(v[2] AS DOUBLE) AS y1, CAST(v[3] AS DOUBLE) AS x2, CAST(v[4] AS DOUBLE) AS y2 FROM n WHERE len(v) >= 4"""
+    f"""WITH {_LINES}, n AS (SELECT curve_id, d, k, regexp_extract_all(line, '[-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?') AS v FROM l WHERE NOT starts_with(line, '#'))
+SELECT curve_id, CAST(row_number() OVER (PARTITION BY curve_id ORDER BY d, k) - 1 AS BIGINT) AS seg_idx, CAST(v[1] AS DOUBLE) AS x1, CAST(v[2] AS DOUBLE) AS y1, CAST(v[3] AS DOUBLE) AS x2, CAST(v[4] AS DOUBLE) AS y2 FROM n WHERE len(v) >= 4"""
 )
 def parse_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_segments.parse(spark.createDataFrame([("x", _TEXT)], "curve_id string, text string"))
+    """Texts of segments, one for each customer with a line for each order, read leniently."""
+    line = F.expr(_LINE.replace("chr(35)", "'#'"))
+    lines = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("curve_id"), F.struct("o_orderdate", "o_orderkey", line.alias("line")).alias("l"))
+    texts = lines.groupBy("curve_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+    return text_segments.parse(texts)
 
 
-@query("SELECT 'x' AS curve_id, CAST(i AS BIGINT) AS seg_idx, CAST(i AS DOUBLE) AS x1, 0.5e0 AS y1, CAST(i + 1 AS DOUBLE) AS x2, 1.25e0 AS y2 FROM (SELECT unnest(range(0, 4)) AS i)")
+@query(f"WITH {sql.ORDER_CURVES} {_OUT}")
 def write_segments_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = spark.range(4).selectExpr("'x' as curve_id", "id as seg_idx", "cast(id as double) as x1", "0.5D as y1", "cast(id + 1 as double) as x2", "1.25D as y2")
-    texts = text_segments.lines(segs, "four", 1.0).groupBy("curve_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return text_segments.parse(texts, strict=True)
+    """The curves of customers' orders as texts with a header, and these read strictly."""
+    texts = text_segments.lines(order_curves(spark, sf_dir), "orders", 1.0).groupBy("curve_id")
+    texts = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return rounded(text_segments.parse(texts, strict=True))
 
 
 @query(

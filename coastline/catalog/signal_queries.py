@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from coastline.catalog import sql
 from coastline.catalog.registering import register_into
 from coastline.catalog.tables import event_curves, rounded, table
-from coastline.operators import curvature, selfsim, spread
+from coastline.operators import curvature, quantiles, selfsim, spread
 
 QUERIES, ORACLES = {}, {}
 query = register_into(QUERIES, ORACLES)
+_SHARES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
 
 _UNIQUE = """ends AS (SELECT curve_id, seg_idx * 2 AS p, x1 AS x, y1 AS y FROM segs UNION ALL SELECT curve_id, seg_idx * 2 + 1, x2, y2 FROM segs),
 firsts AS (SELECT curve_id, x, y, min(p) AS f FROM ends GROUP BY curve_id, x, y),
@@ -181,6 +182,13 @@ def event_hurst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selfsim.hurst(event_signals(spark, sf_dir)).where("n_estimates = 3").select("series_id", "hurst_consensus", "mean_r2"))
 
 
+@query("SELECT event_type, CAST(count(value) AS BIGINT) AS n, " + ", ".join(f"round(quantile_cont(CAST(value AS DOUBLE), {p}), 6) + 0.0 AS q{round(p * 100)}" for p in _SHARES) + " FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def value_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of the values of each type of event, of which there are few, with no type in one task."""
+    out = quantiles.exact(table(spark, sf_dir, "events"), "event_type", "value", _SHARES)
+    return rounded(out.select("event_type", "n", *[F.col("quantiles")[i].alias(f"q{round(p * 100)}") for i, p in enumerate(_SHARES)]))
+
+
 @query(ORACLES["curvature_features"])
 def curvature_features_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points numbered by ranges and windows over chunks: no task holds a curve."""

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coastline.catalog.feedback_queries import _LOG, _METHODS, _methods, log
-from coastline.catalog.generator_queries import _KOCH, _TARGET
+from coastline.catalog import sql
+from coastline.catalog.generator_queries import _TARGET
 from coastline.catalog.registering import register_into
 from coastline.catalog.tables import rounded, table
-from coastline.operators import consensus, contour, convergence, generators, rules
+from coastline.operators import consensus, contour, convergence, curves, generators, rules
 from coastline.plans import studies
 from coastline.sources import logs, segments
 
@@ -153,13 +154,14 @@ def significance_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_KOCH.format(n=2)} SELECT CAST(seg_idx AS BIGINT) AS seg_idx, round(x1, 6) + 0.0 AS x1, round(y1, 6) + 0.0 AS y1, round(x2, 6) + 0.0 AS x2, round(y2, 6) + 0.0 AS y2 FROM koch WHERE lvl = 2"""
+    f"""WITH pts AS (SELECT CAST(c_nationkey AS VARCHAR) AS curve_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS pos, CAST(c_acctbal AS DOUBLE) AS y FROM customer), {sql.SEGMENTS}
+SELECT curve_id, seg_idx, x1, round(y1, 6) + 0.0 AS y1, x2, round(y2, 6) + 0.0 AS y2 FROM segs"""
 )
 def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A curve written as a text file and read again."""
+    """The curves of nations' balances written as text files and read again."""
     at = f"{_scratch(spark)}/{uuid.uuid4().hex}"
-    segments.write(generators.koch(spark, 2), at, "Koch", _TARGET)
-    return rounded(segments.read(spark, f"{at}/curve_id=koch/*.txt").select("seg_idx", "x1", "y1", "x2", "y2"))
+    segments.write(curves.segments_from_points(curves.numbered_points(table(spark, sf_dir, "customer"), "c_nationkey", ["c_custkey"], "c_acctbal")), at, "balances", 1.0)
+    return rounded(segments.read(spark, f"{at}/curve_id=*/*.txt", name=r"curve_id=([^/]+)/"))
 
 
 @query(f"WITH {_LOG} SELECT interface_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (success) AS BIGINT) AS successes FROM log GROUP BY interface_type")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from coastline.operators import spread
+from coastline.operators import quantiles, spread
 from coastline.operators.curves import endpoints
 
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
@@ -89,7 +89,7 @@ METHODS = {"finite_difference": finite_difference, "three_point": three_point, "
 
 
 def features(segs: DataFrame, method: str = "finite_difference", ranged: bool = False) -> DataFrame:
-    """Moments, percentiles and local variation of each curve's curvature.
+    """Moments, percentiles and local variation of each curve's curvature; ``ranged``: points and percentiles by ranges, over all tasks.
 
     The rolling deviation takes complete windows of min(5, n // 3) points; the
     window's width is one of four, so each has a frame of its own.
@@ -105,13 +105,19 @@ def features(segs: DataFrame, method: str = "finite_difference", ranged: bool =
         return df.withColumn("local", local)
 
     k = spread.in_chunks(k, "curve_id", "pos", 0, 4, rolling)
-    marks = k.groupBy("curve_id").agg(F.expr("percentile(curvature, array(0.25D, 0.75D))").alias("q"))
+    if ranged:
+        found = quantiles.exact(k, "curve_id", "curvature", [p / 100 for p in (25, 75, *PERCENTILES)])
+        marks = spread.written(found.select("curve_id", F.slice("quantiles", 1, 2).alias("q"), F.slice("quantiles", 3, len(PERCENTILES)).alias("p")))
+        percentiles = F.any_value("p")
+    else:
+        marks = k.groupBy("curve_id").agg(F.expr("percentile(curvature, array(0.25D, 0.75D))").alias("q"))
+        percentiles = F.expr(f"percentile(curvature, array({', '.join(f'{p / 100}D' for p in PERCENTILES)}))")
     k = k.join(marks, "curve_id")
     c = F.col("curvature")
     out = k.groupBy("curve_id").agg(
         F.avg(c).alias("mean_curvature"), F.var_pop(c).alias("curvature_variance"), F.max(c).alias("max_curvature"), (F.max(c) - F.min(c)).alias("curvature_range"),
         (F.count(F.when(c > F.col("q")[1], 1)) / F.count(F.lit(1))).alias("high_curvature_fraction"), F.skewness(c).alias("curvature_skewness"),
-        F.when(F.count(F.lit(1)) > 3, F.kurtosis(c)).alias("curvature_kurtosis"), F.expr(f"percentile(curvature, array({', '.join(f'{p / 100}D' for p in PERCENTILES)}))").alias("curvature_percentiles"),
+        F.when(F.count(F.lit(1)) > 3, F.kurtosis(c)).alias("curvature_kurtosis"), percentiles.alias("curvature_percentiles"),
         F.when(F.max("m") > 5, F.avg("local")).otherwise(F.var_pop(c)).alias("local_complexity_variation"), (F.count(F.when(c < F.col("q")[0], 1)) / F.count(F.lit(1))).alias("smooth_region_fraction"),
     )
     return out

@@ -28,9 +28,9 @@ def parse(texts: DataFrame, strict: bool = False) -> DataFrame:
     return lines.select("curve_id", (F.row_number().over(w) - 1).cast("bigint").alias("seg_idx"), *[F.element_at("v", k + 1).cast("double").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """All segment files under a path; a curve is named by its file."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("curve_id"), F.col("value").alias("text"))
+def read(spark: SparkSession, path: str, strict: bool = False, name: str = r"([^/]+)$") -> DataFrame:
+    """All segment files under a path; a curve is named by its file, or by the group that ``name`` finds in the file's path."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("curve_id"), F.col("value").alias("text"))
     return parse(files, strict)
 
 

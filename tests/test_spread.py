@@ -1,10 +1,11 @@
 """Ordered work over chunks of a key: the same rows as over the whole key, and a hot key over many groups."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from coastline.operators import curvature, curves, selfsim, spread
+from coastline.operators import curvature, curves, quantiles, selfsim, spread
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +84,21 @@ def test_curvature_is_the_same_in_chunks_and_by_ranges(signal, monkeypatch):
     close(keyed(curvature.features(segs, ranged=True).drop("curvature_percentiles").fillna(0), "curve_id"), features)
 
 
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    groups = {"hot": rng.normal(size=500).round(1), "one": np.array([2.5]), "two": np.array([1.0, 4.0]), "same": np.full(9, 0.1)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None), (None, 1.0)]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: (r.n, r.quantiles) for r in quantiles.exact(spark.createDataFrame(rows, "g string, v double"), "g", "v", shares).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in groups.items()}
+    for k, (_, q) in got.items():
+        assert q == pytest.approx(np.quantile(groups[k], shares))
+    assert got["same"][1] == [0.1] * 6
+    assert quantiles.exact(spark.createDataFrame([], "g string, v double"), "g", "v", [0.5]).count() == 0
+    with pytest.raises(ValueError):
+        quantiles.exact(spark.createDataFrame([], "g string, v double"), "g", "v", [1.5])
+
+
 def test_a_hot_key_is_many_groups(signal):
     """No chunk has more rows than its length and the halo, whatever share of the rows its key has."""
     sizes = spread.haloed(signal, "idx", 2, 2, 16).groupBy("series_id", "chunk").count()

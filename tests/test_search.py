@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_oracle import rows
 
 from coastline.catalog import generator_queries
+from coastline.catalog.tables import rounded
 from coastline.operators import boxcount, contour, curves, generators, search
 from coastline.plans import studies
 
@@ -71,3 +72,30 @@ def test_contours_beside_missing_nodes_and_frames_without_one(spark):
     assert not any(0 < s.x1 < 2 and 0 < s.y1 < 2 and 0 < s.x2 < 2 and 0 < s.y2 < 2 for s in segs)  # no cell has the missing corner
     rows = {r.time: r for r in studies.evolution(field, applied=False).collect()}
     assert rows[2.0].n_segments == 0 and rows[2.0].dimension is None and rows[1.0].n_segments == len(segs)
+
+
+def test_counts_of_curves_in_pieces(spark, monkeypatch):
+    """A curve of more segments than a piece, turned by angles as well; its counts are those of testing each cell."""
+    segs = generators.addressed_hilbert(spark.sql("select explode(array('a', 'b')) as curve_id, 3 as level")).unionByName(generators.addressed_koch(spark.sql("select 'k' as curve_id, 1 as level"), 1))
+    scales = boxcount.ladder(curves.expanded(curves.bounding_boxes(segs)).withColumns({"initial_delta": F.lit(0.4), "delta_factor": F.lit(1.7), "num_steps": F.lit(4)})).select("curve_id", "k", "delta", "xmin", "xmax", "ymin", "ymax")
+    many = segs.crossJoin(spark.range(3).select(F.col("id").alias("angle")))
+    many = curves.rotated(many, F.col("angle") * 20.0, curves.centres(curves.bounding_boxes(segs)))
+    want = {tuple(r) for r in boxcount.occupied(many, scales, keys=("angle", "k")).groupBy("curve_id", "k", "angle").agg(F.count(F.lit(1))).collect()}
+    for stretch in (1 << 14, 5):
+        monkeypatch.setattr(boxcount, "STRETCH", stretch)
+        got = boxcount.box_counts(many, scales, keys=("k", "angle")).select("curve_id", "k", "angle", "n_boxes")
+        assert {tuple(r) for r in got.collect()} == want and len(want) == 36
+
+
+def test_counts_where_rounding_decides(spark):
+    """Heights at a column's side that are the edge of two rows but for rounding: the test of each cell decides."""
+    segs = spark.createDataFrame([("a", 35, 36.0, 59.04, 37.0, 6.94), ("b", 29, 30.0, 115.68, 31.0, 8.38)], "curve_id string, seg_idx long, x1 double, y1 double, x2 double, y2 double")
+    grids = spark.createDataFrame([("a", 0, 0.875, 1.0, 57.0, 1.69, 386.13), ("b", 0, 1.0, 1.0, 65.0, 1.38, 297.0)], "curve_id string, k int, delta double, xmin double, xmax double, ymin double, ymax double")
+    assert {r.curve_id: r.n_boxes for r in boxcount.box_counts(segs, grids).collect()} == {"a": 62, "b": 110}
+
+
+def test_rounded_is_the_sqls(spark):
+    values = [2.0959375, 0.8646875, 1.4403125, 4.0715625, -2.0959375, 0.1234565, 1e300, 1.5e308, float("nan"), 12345678.1234565]
+    got = [r[0] for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")).orderBy("i").select("v").collect()]
+    want = [r[0] for r in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [values]).fetchall()]
+    assert [repr(v) for v in got] == [repr(v) for v in want]

@@ -21,6 +21,7 @@ def turned(segs: DataFrame, angles: Sequence[float] = ANGLES) -> DataFrame:
 def counts_by_angle(segs: DataFrame, scales: DataFrame, angles: Sequence[float] = ANGLES) -> DataFrame:
     """(curve, scale, angle) -> n_boxes in the curve's expanded domain; scales: curve_id, k, delta."""
     domain = curves.expanded(curves.bounding_boxes(segs)).select("curve_id", "xmin", "xmax", "ymin", "ymax")
+    segs = segs.repartition(boxcount.partitions(segs), "curve_id")  # dealt before they are turned: the turned ones are many times as many
     return boxcount.box_counts(turned(segs, angles), scales.join(domain, "curve_id"), ("curve_id",), ("angle_idx", "rotation", "k"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import cmath
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,15 +118,41 @@ def _net(text: str) -> int:
 
 #: Numbers of one curve that a task makes at a time.
 STRETCH = 1 << 16
+#: Segments of a curve that is copied from a table of the levels; longer curves are made from their numbers.
+COPIED = 1 << 14
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _numbers(curves: DataFrame, total: F.Column) -> DataFrame:
     """The curves' rows once for each seg_idx from 0 to ``total`` - 1; a long curve is dealt over tasks by its stretches."""
     rows = curves.withColumn("_n", total.cast("long")).where("_n > 0")
-    rows = rows.withColumn("_k", F.explode(F.expr(f"sequence(0L, (_n - 1) div {STRETCH})"))).repartition("curve_id", "_k")
+    # few rows make many: dealt by a number of partitions that isn't made smaller by their bytes
+    rows = rows.withColumn("_k", F.explode(F.expr(f"sequence(0L, (_n - 1) div {STRETCH})"))).repartition(_tasks(curves), "curve_id", "_k")
     return rows.withColumn("seg_idx", F.explode(F.expr(f"sequence(_k * {STRETCH}, least(_n, (_k + 1) * {STRETCH}) - 1)"))).drop("_n", "_k")
 
 
+def _by_level(curves: DataFrame, counts: Sequence[int], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``make`` of (curve_id, level), where curves of one level are alike: once for each level, whose segments the curves then copy.
+
+    counts: segments of each level from 0 on. The table of levels has no more than ``COPIED``
+    segments a level, whatever the number of curves; longer curves are each made on their own.
+    """
+    short = max((k for k, n in enumerate(counts) if n <= COPIED), default=-1)
+    rows = curves.select("curve_id", F.expr(f"element_at(sequence(0, {len(counts) - 1}), cast(level as int) + 1)").alias("level"))
+    parts = []
+    if short >= 0:
+        levels = curves.sparkSession.range(short + 1).select(F.col("id").cast("string").alias("curve_id"), F.col("id").cast("int").alias("level"))
+        shapes = make(levels).withColumn("level", F.col("curve_id").cast("int")).drop("curve_id")
+        copies = rows.where(F.col("level") <= short).repartition(_tasks(curves), "curve_id").join(F.broadcast(shapes), "level")
+        parts.append(copies.select("curve_id", "seg_idx", "x1", "y1", "x2", "y2"))
+    if short < len(counts) - 1:
+        parts.append(make(rows.where(F.col("level") > short)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def addressed(curves: DataFrame, name: str, most: int, scale: F.Column | float = 1.0) -> DataFrame:
     """Segments of an L-system's curves, each from its number alone; curves: (curve_id, level up to ``most``).
 
@@ -134,7 +160,8 @@ def addressed(curves: DataFrame, name: str, most: int, scale: F.Column | float =
     known numbers of segments and known displacements, so the part that holds i, where it
     begins and how it is turned follow from two small tables, which grow with
     ``most`` and not with the curve. Rows are a range, dealt over all tasks; there is
-    no string, no window and no recursion over rows. ``scale`` is a segment's length.
+    no string, no window and no recursion over rows. Levels of few segments are made
+    once and copied (``_by_level``). ``scale`` is a segment's length, by its curve's level.
     """
     axiom, rules, degrees, draws = SYSTEMS[name]
     if any(_net(r) for r in rules.values()):
@@ -155,16 +182,20 @@ def addressed(curves: DataFrame, name: str, most: int, scale: F.Column | float =
     entry = lambda r: f"named_struct('first', {r[0]}L, 'x', {r[1]!r}D, 'y', {r[2]!r}D, 'h', {r[3]}, 's', {r[4]})"
     tables = "array(" + ", ".join("array(" + ", ".join(map(entry, table[s, k])) + ")" for k in range(1, most + 2) for s in symbols) + ")"
     totals = "array(" + ", ".join(f"{count['axiom', k]}L" for k in range(1, most + 2)) + ")"
-    rows = _numbers(curves.select("curve_id", F.col("level").cast("int").alias("level")), F.expr(f"element_at({totals}, level + 1)"))
     part = f"element_at(filter(element_at({tables}, (k - 1) * {len(symbols)} + a.s + 1), c -> c.first <= a.r), -1)"
     turned = f"radians({degrees}D * a.h)"
     step = f"""transform(array({part}), c -> named_struct('r', a.r - c.first, 's', c.s, 'h', a.h + c.h,
       'x', a.x + c.x * cos({turned}) - c.y * sin({turned}), 'y', a.y + c.x * sin({turned}) + c.y * cos({turned})))[0]"""
     start = f"named_struct('r', seg_idx, 's', {len(symbols) - 1}, 'h', 0, 'x', 0D, 'y', 0D)"
-    rows = rows.withColumn("p", F.expr(f"aggregate(sequence(level + 1, 1, -1), {start}, (a, k) -> {step})"))
-    rows = rows.withColumn("u", F.lit(scale) if isinstance(scale, float) else scale)
     ends = {"x1": "u * p.x", "y1": "u * p.y", "x2": f"u * (p.x + cos(radians({degrees}D * p.h)))", "y2": f"u * (p.y + sin(radians({degrees}D * p.h)))"}
-    return rows.select("curve_id", "seg_idx", *[F.expr(e).alias(n) for n, e in ends.items()])
+
+    def make(own: DataFrame) -> DataFrame:
+        rows = _numbers(own, F.expr(f"element_at({totals}, level + 1)"))
+        rows = rows.withColumn("p", F.expr(f"aggregate(sequence(level + 1, 1, -1), {start}, (a, k) -> {step})"))
+        rows = rows.withColumn("u", F.lit(scale) if isinstance(scale, float) else scale)
+        return rows.select("curve_id", "seg_idx", *[F.expr(e).alias(n) for n, e in ends.items()])
+
+    return _by_level(curves, [count["axiom", k] for k in range(1, most + 2)], make)
 
 
 def addressed_koch(curves: DataFrame, most: int) -> DataFrame:
@@ -172,9 +203,11 @@ def addressed_koch(curves: DataFrame, most: int) -> DataFrame:
     return addressed(curves, "dragon_lsystem", most, F.pow(F.lit(3.0), 1 - F.col("level")))
 
 
-def addressed_hilbert(curves: DataFrame) -> DataFrame:
-    """Hilbert curves by the digits of their points; curves: (curve_id, level), of 4 ** level points each."""
-    rows = _numbers(curves.select("curve_id", F.col("level").cast("int").alias("level")), F.expr("cast(pow(4, level) as bigint) - 1"))
+def addressed_hilbert(curves: DataFrame, most: int | None = None) -> DataFrame:
+    """Hilbert curves by the digits of their points; curves: (curve_id, level), of 4 ** level points each.
+
+    Where the greatest level is given as ``most``, levels of few segments are made once and copied.
+    """
     half = {c: f"a.{c} / 2" for c in ("xi", "xj", "yi", "yj")}
     frames = [
         ("a.x0", "a.y0", half["yi"], half["yj"], half["xi"], half["xj"]),
@@ -190,8 +223,14 @@ def addressed_hilbert(curves: DataFrame) -> DataFrame:
         frame = f"aggregate(sequence(level, 1, -1), named_struct('x0', 0D, 'y0', 0D, 'xi', 1D, 'xj', 0D, 'yi', 0D, 'yj', 1D), (a, k) -> {quarters}[{digit}])"
         return F.expr(f"transform(array({frame}), a -> named_struct('x', a.x0 + (a.xi + a.yi) / 2, 'y', a.y0 + (a.xj + a.yj) / 2))[0]")
 
-    ends = rows.withColumns({"p": point("seg_idx"), "q": point("(seg_idx + 1)")})
-    return ends.select("curve_id", "seg_idx", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+    def make(own: DataFrame) -> DataFrame:
+        rows = _numbers(own, F.expr("cast(pow(4, level) as bigint) - 1"))
+        ends = rows.withColumns({"p": point("seg_idx"), "q": point("(seg_idx + 1)")})
+        return ends.select("curve_id", "seg_idx", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+
+    if most is None:
+        return make(curves.select("curve_id", F.col("level").cast("int").alias("level")))
+    return _by_level(curves, [4**k - 1 for k in range(most + 1)], make)
 
 
 def addressed_lines(curves: DataFrame, length: float = 3.0) -> DataFrame:

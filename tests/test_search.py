@@ -61,6 +61,22 @@ def test_segments_by_their_digits_are_the_turtles(spark, name, monkeypatch):
         assert [tuple(r) for r in got.where(F.col("curve_id") == curve).orderBy("seg_idx").drop("curve_id").collect()] == want
 
 
+@pytest.mark.parametrize("copied", [0, 20, 1 << 14])
+def test_levels_are_made_once_and_curves_dealt_over_all_tasks(spark, monkeypatch, copied):
+    """Curves copied from the table of levels are those made from their numbers, and few bytes of curves don't end up in one task."""
+    of = spark.range(40).selectExpr("cast(id as string) as curve_id", "cast(id % 4 as int) as level")
+    direct = generators.addressed_hilbert(of)
+    monkeypatch.setattr(generators, "COPIED", copied)
+    got = generators.addressed_hilbert(of, 3)
+    assert got.exceptAll(direct).count() == direct.exceptAll(got).count() == 0 < got.count()
+    koch = generators.addressed_koch(of, 3)
+    for r in koch.groupBy("curve_id").agg(F.count(F.lit(1)).alias("n"), F.max("x2").alias("x"), F.max("seg_idx").alias("last")).collect():
+        assert r.n == 4 ** (int(r.curve_id) % 4) == r.last + 1 and r.x == pytest.approx(3)
+    assert all(df.select(F.spark_partition_id()).distinct().count() > 2 for df in (got, koch))
+    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
+        generators.addressed_koch(of, 2).count()
+
+
 def test_contours_beside_missing_nodes_and_frames_without_one(spark):
     nodes = [(1.0, i, j, float(i), float(j), float(i + j) / 6) for i in range(4) for j in range(4) if (i, j) != (1, 1)]
     nodes += [(2.0, i, j, float(i), float(j), 0.0) for i in range(3) for j in range(3)]

@@ -11,8 +11,8 @@ from coastline.catalog import curve_queries, signal_queries, spectrum_queries
 from coastline.catalog.feedback_queries import _L, log
 from coastline.catalog.registering import register_into
 from coastline.catalog.study_queries import _scratch
-from coastline.catalog.tables import rounded
-from coastline.operators import comparison, feedback, selfsim, sensitivity
+from coastline.catalog.tables import rounded, table
+from coastline.operators import comparison, feedback, selfsim, sensitivity, spread
 from coastline.streaming import closed_loop
 
 QUERIES, ORACLES = {}, {}
@@ -98,8 +98,9 @@ def feedback_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All feedback through micro-batches into an exactly-once log; every hundredth record is then replaced by a curated one."""
     at = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     records = log(spark, sf_dir)
-    records.drop("accuracy_score", "success", "failure_mode").repartitionByRange(4, "record_id").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    files = max(4, -(-table(spark, sf_dir, "orders").count() // spread.ROWS))  # four batches, of as many files as keep each of them small
+    records.drop("accuracy_score", "success", "failure_mode").repartitionByRange(files, "record_id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{at}/in")
     running = closed_loop.sink(stream, f"{at}/log", f"{at}/state")
     running.awaitTermination()
     closed_loop.inject(records.where("record_id % 100 = 7").withColumn("success", F.lit(True)), f"{at}/log", 1)

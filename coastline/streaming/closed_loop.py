@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from coastline.operators import feedback
+from coastline.operators import feedback, spread
 
 BATCH, VERSION = "batch_id", "curated_version"
 
@@ -70,12 +70,15 @@ def read(spark: SparkSession, path: str, key: str, before: int | None = None) ->
         if c not in all_.columns:
             all_ = all_.withColumn(c, F.lit(None).cast("int"))
     names = [c for c in all_.columns if c not in (key, BATCH, VERSION)]
+    keyed = all_.where(F.col(key).isNotNull())
+    # the greatest whole row is found by sorting: dealt first, so that a task sorts no more than its part
+    keyed = keyed.repartition(spread.tasks(keyed), key)
 
     def newest(df: DataFrame) -> DataFrame:
         row = F.struct(F.coalesce(VERSION, F.lit(-1)).alias("v"), F.coalesce(BATCH, F.lit(-1)).alias("b"), *names)
         return df.groupBy(key).agg(F.max(row).alias("_r")).select(key, *[F.col(f"_r.{n}").alias(n) for n in names], F.nullif(F.col("_r.b"), F.lit(-1)).alias(BATCH), F.nullif(F.col("_r.v"), F.lit(-1)).alias(VERSION))
 
-    return newest(all_.where(F.col(key).isNotNull())).unionByName(all_.where(F.col(key).isNull()))
+    return newest(keyed).unionByName(all_.where(F.col(key).isNull()))
 
 
 def suggested(batch: DataFrame, log: DataFrame | None, default: dict[str, float]) -> DataFrame:

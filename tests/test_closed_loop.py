@@ -1,6 +1,8 @@
 """The log as a stream's sink: restarts, batches run again, curated records by key, suggestions from earlier batches."""
 
-from coastline.operators import feedback
+from pyspark.sql import functions as F
+
+from coastline.operators import feedback, spread
 from coastline.streaming import closed_loop
 
 SCHEMA = "record_id bigint, interface_type string, dimension_result double, theoretical_dimension double, r_squared double, extra string"
@@ -58,3 +60,12 @@ def test_suggestions_come_from_earlier_batches(spark, tmp_path):
     run(spark, at, score=score)
     got = {r.record_id: r.suggested_parameters.initial_delta for r in closed_loop.read(spark, f"{at}/log", "record_id").collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 9.0}
+
+
+def test_partitions_of_a_log_that_is_read_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    at = str(tmp_path)
+    put(spark, [(i, "a", 1.5, 1.5, 0.9, "x") for i in range(60)], f"{at}/in")
+    assert len(run(spark, at)) == 60
+    monkeypatch.setattr(spread, "ROWS", 5)
+    got = closed_loop.read(spark, f"{at}/log", "record_id")
+    assert got.count() == 60 and got.select(F.spark_partition_id()).distinct().count() > 4

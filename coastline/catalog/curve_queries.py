@@ -86,7 +86,7 @@ def boxdim_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(sql.EVENT_CURVES, sql.BOXES, _params(), sql.ladder(), sql.cells(), _FIT, recursive=True) + "SELECT curve_id, round(slope, 6) AS dimension, round(intercept, 6) AS intercept, round(r2, 6) AS r_squared FROM fit")
 def boxdim_ungated(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = event_curves(spark, sf_dir)
-    fit = boxcount.regression(boxcount.box_counts(segs, boxcount.ladder(quarter_params(segs))), ["curve_id"])
+    fit = boxcount.regression(boxcount.box_counts(segs, boxcount.ladder(quarter_params(segs)), gathered=True), ["curve_id"])
     return rounded(fit.select("curve_id", F.col("slope").alias("dimension"), "intercept", F.col("r2").alias("r_squared")))
 
 
@@ -302,7 +302,7 @@ _SLOPES = "slopes AS (SELECT curve_id, k, (ln(n_boxes) - lag(ln(n_boxes)) OVER w
 @query(_with(sql.EVENT_CURVES, sql.BOXES, _params(), sql.ladder(), sql.cells(), _SLOPES, recursive=True) + "SELECT curve_id, CAST(k AS INTEGER) AS k, round(slope, 6) + 0.0 AS slope FROM slopes WHERE slope IS NOT NULL")
 def local_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = event_curves(spark, sf_dir)
-    return rounded(boxcount.local_slopes(boxcount.box_counts(segs, boxcount.ladder(quarter_params(segs)))))
+    return rounded(boxcount.local_slopes(boxcount.box_counts(segs, boxcount.ladder(quarter_params(segs)), gathered=True)))
 
 
 @query(
@@ -311,7 +311,7 @@ def local_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def slope_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = event_curves(spark, sf_dir)
-    return rounded(boxcount.slope_consistency(boxcount.box_counts(segs, boxcount.ladder(quarter_params(segs)))))
+    return rounded(boxcount.slope_consistency(boxcount.box_counts(segs, boxcount.ladder(quarter_params(segs)), gathered=True)))
 
 
 @query(

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from coastline.operators import curvature, curves, quantiles, selfsim, spread
+from coastline.catalog import curve_queries
+from coastline.catalog.tables import event_curves
+from coastline.operators import boxcount, curvature, curves, quantiles, selfsim, spread
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +105,19 @@ def test_a_hot_key_is_many_groups(signal):
     """No chunk has more rows than its length and the halo, whatever share of the rows its key has."""
     sizes = spread.haloed(signal, "idx", 2, 2, 16).groupBy("series_id", "chunk").count()
     assert sizes.where("series_id = 'hot'").count() == -(-300 // 16) and sizes.agg(F.max("count")).first()[0] <= 20
+
+
+def test_partitions_of_curves_and_counts_grow_with_the_rows(spark, data, monkeypatch):
+    """Tables of any size in partitions of about ``ROWS`` rows, a curve in one of them, and the same counts."""
+
+    def found():
+        segs = event_curves(spark, data)
+        return segs, boxcount.box_counts(segs, boxcount.ladder(curve_queries.quarter_params(segs)), gathered=True)
+
+    want = {tuple(r) for r in found()[1].select("curve_id", "k", "n_boxes").collect()}
+    monkeypatch.setattr(spread, "ROWS", 100)
+    segs, counts = found()
+    assert {tuple(r) for r in counts.select("curve_id", "k", "n_boxes").collect()} == want
+    for df in (segs, counts):
+        at = df.select("curve_id", F.spark_partition_id().alias("p"))
+        assert at.select("p").distinct().count() > 4 and at.distinct().count() == at.select("curve_id").distinct().count()

@@ -89,10 +89,14 @@ def hurst_dfa(signal: DataFrame) -> DataFrame:
 
 
 def hurst(signal: DataFrame) -> DataFrame:
-    """The three estimates of each standardised signal, their mean weighted by fit, and the confidence 1 / estimates."""
+    """The three estimates of each standardised signal, their mean weighted by fit, and the confidence 1 / estimates.
+
+    Each estimate, one row a signal, is written, so that no task makes all three at once.
+    """
     z = standardised(signal)
-    ids = signal.select("series_id").distinct()
-    out = ids.join(hurst_sf(z), "series_id", "left").join(hurst_va(z), "series_id", "left").join(_dfa(z), "series_id", "left")
+    out = signal.select("series_id").distinct()
+    for estimate in (hurst_sf(z), hurst_va(z), _dfa(z)):
+        out = out.join(spread.written(estimate), "series_id", "left")
     w = lambda k: F.coalesce(F.col(f"r2_{k}"), F.lit(0.0))
     total = w("sf") + w("va") + w("dfa")
     mean = sum((F.coalesce(F.col(f"hurst_{k}"), F.lit(0.0)) * w(k) for k in ("va", "dfa")), F.coalesce(F.col("hurst_sf"), F.lit(0.0)) * w("sf")) / F.when(total > 0, total)
@@ -176,6 +180,6 @@ def parameters(df: DataFrame) -> DataFrame:
 
 def row(signal: DataFrame) -> DataFrame:
     """Each signal's whole self-similarity: three exponents with their fits, consensus, scaling range, strength, character and kinds."""
-    out = hurst(signal).join(scaling_range(standardised(signal).drop("n")), "series_id", "left")
+    out = hurst(signal).join(spread.written(scaling_range(standardised(signal).drop("n"))), "series_id", "left")
     out = out.withColumn("self_similarity_strength", F.abs(F.col("hurst_consensus") - 0.5) * F.col("scaling_quality"))
     return properties(character(out))

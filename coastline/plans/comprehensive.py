@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coastline.operators import boxcount, consensus, curvature, curves, feedback, features, rules, selfsim, spectrum
+from coastline.operators import boxcount, consensus, curvature, curves, feedback, features, rules, selfsim, spectrum, spread
 
 METHOD = ("curve_id", "method", "initial_delta", "delta_factor", "num_steps", "confidence")
 
@@ -18,7 +18,8 @@ def method_rows(segs: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """Parameters and confidence of each curve by each method, in long form.
 
     A method that can't handle a curve gives no row or one without confidence,
-    which the consensus leaves out; the other methods go on.
+    which the consensus leaves out; the other methods go on. Each method's rows, one a
+    curve, are written, so that no task holds the sorts and tables of all methods at once.
     """
     box = curves.bounding_boxes(segs)
     scale = box.select("curve_id", F.when(F.col("width") > 0, F.col("width")).otherwise(1.0).alias("domain_scale"))
@@ -27,13 +28,16 @@ def method_rows(segs: DataFrame, log: DataFrame | None = None) -> DataFrame:
     wave = spectrum.wavelet_parameters(spectrum.wavelet_features(heights).where("error is null"))
     bend = curvature.confidence(curvature.parameters(curvature.features(segs).join(scale, "curve_id")))
     signal = spectrum.height_function(segs, 256).select(F.col("curve_id").alias("series_id"), F.posexplode("heights").alias("idx", "value")).withColumn("idx", F.col("idx").cast("bigint"))
+    signal = spread.written(signal)
+    # no signal is long here: dealt by signal, so that blocks of all sizes are summed where they are
+    signal = signal.repartition(spread.tasks(signal), "series_id")
     own = selfsim.row(signal).withColumnRenamed("series_id", "curve_id").join(scale, "curve_id")
     own = self_similarity_confidence(selfsim.parameters(own))
     typed = rules.classify(features.features(segs))
     plain = feedback.adaptive_parameters(typed, log) if log is not None else rules.fallback_parameters(typed)
     rows = [_long(spectral, "spectrum"), _long(wave, "wavelet"), _long(bend, "curvature"), _long(own, "self_similarity"), _long(plain.withColumn("confidence", F.lit(0.7)), "traditional")]
-    out = rows[0]
-    for r in rows[1:]:
+    out, *others = [spread.written(r) for r in rows]
+    for r in others:
         out = out.unionByName(r)
     return out
 

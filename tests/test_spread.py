@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coastline.catalog import curve_queries
 from coastline.catalog.tables import event_curves
 from coastline.operators import boxcount, curvature, curves, quantiles, selfsim, spread
+from coastline.plans import comprehensive
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +122,12 @@ def test_partitions_of_curves_and_counts_grow_with_the_rows(spark, data, monkeyp
     for df in (segs, counts):
         at = df.select("curve_id", F.spark_partition_id().alias("p"))
         assert at.select("p").distinct().count() > 4 and at.distinct().count() == at.select("curve_id").distinct().count()
+
+
+def test_no_task_has_the_work_of_several_methods(spark, data, capsys):
+    """What the consensus reads are written rows, one a curve and method: its tasks hold no method's sorts."""
+    rows = comprehensive.method_rows(event_curves(spark, data))
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "Union" in plan and "Window" not in plan and "Aggregate" not in plan
+    assert {r.n for r in rows.groupBy("curve_id").agg(F.countDistinct("method").alias("n")).collect()} == {5}

@@ -264,6 +264,11 @@ def candidates(left: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return within_reach(cut(pairs.distinct()), cut(parities(own, size)), percent)
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """Components as edges: they link what the links behind them do, and are nearly in their last form already, so that few steps follow."""
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, percent: int = SIMILARITY
 ) -> DataFrame:
@@ -278,9 +283,8 @@ def near_duplicates(
     members = checkpointed(banded.join(ends, "bucket"))
     proposed = cut(members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     texts = checkpointed(texts.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
-    links = cut(confirmed(plausible(proposed, nodes), texts, size, percent))
     tried = proposed
-    found = components(links)
+    found = components(cut(confirmed(plausible(proposed, nodes), texts, size, percent)))
     for turn in range(TURNS):
         own = members.select("bucket", "node", "n").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
         parts = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("k"), F.max("c").alias("most"))
@@ -297,14 +301,14 @@ def near_duplicates(
         new = cut(confirmed(plausible(more, nodes), texts, size, percent))
         if new.isEmpty():
             break
-        tried, links = tried.unionByName(more), links.unionByName(new)
-        found = components(links)
+        tried = tried.unionByName(more)
+        found = components(_stars(found).unionByName(new))
     own = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     unsettled = own.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("k")).where("first < last and k > 2")
     left = cut(own.join(cut(unsettled.select("bucket")), "bucket").select("node", "component").distinct())
     new = cut(confirmed(cut(candidates(left, texts, size, percent)), texts, size, percent))
     if not new.isEmpty():
-        found = components(links.unionByName(new))
+        found = components(_stars(found).unionByName(new))
     named = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = marked.select("id", "key", "n_shingles").join(named, "key", "left")
     linked = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

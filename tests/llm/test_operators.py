@@ -783,3 +783,13 @@ def test_pages_of_breaks_hidden_parts_and_headlines(page, want):
     extractor = html_extract.Extractor(html_extract.trained())
     assert extractor.text(page) == want
     assert extractor.text(page) == want  # repeated pages get the same answer
+
+
+def test_components_go_on_from_the_stars_of_earlier_ones(spark):
+    """Later links added to components found before give what all links at once give."""
+    from coastline.llm.components import components
+
+    chain = [(i, i + 1) for i in range(0, 40) if i % 7]
+    early, late = spark.createDataFrame(chain, "a bigint, b bigint"), spark.createDataFrame([(6, 30), (40, 50), (13, 14), (60, 61)], "a bigint, b bigint")
+    want = {tuple(r) for r in components(early.unionByName(late)).collect()}
+    assert {tuple(r) for r in components(minhash._stars(components(early)).unionByName(late)).collect()} == want and len(want) > 30

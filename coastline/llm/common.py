@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A run of characters other than ASCII white space.
@@ -48,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_told(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates of its rows that are taken as they are written, so that no job of their own reads them again."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in facts.items()]))
+    return out, seen.get
+
+
 def fresh(n: int = 1) -> list[str]:
     """Names of columns that no caller's table has."""
     return [f"_{uuid.uuid4().hex}" for _ in range(n)]

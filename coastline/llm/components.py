@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coastline.llm.common import cut
+from coastline.llm.common import cut, cut_told
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,18 +27,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
 
 
-def _state(edges: DataFrame) -> tuple:
+def _told(edges: DataFrame) -> tuple[DataFrame, dict]:
     # how many edges there are and a sum over their hashes tell whether a step changed anything
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    return cut_told(edges, n=F.count(F.lit(1)), h=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, component): the smallest node reachable, for each node but the smallest itself."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    state = _state(edges)
-    while state[0]:
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct())
-        before, state = state, _state(edges)
+    edges, state = _told(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    while state["n"]:
+        before = state
+        edges, state = _told(_small_star(_large_star(edges).distinct()).distinct())
         if state == before:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coastline.llm.common import checkpointed, cut
+from coastline.llm.common import checkpointed, cut, cut_told
 from coastline.llm.components import components
 from coastline.llm.shingles import SHINGLE, mix, shingle_set, word_hashes
 
@@ -283,7 +283,7 @@ def near_duplicates(
     members = checkpointed(banded.join(ends, "bucket"))
     proposed = cut(members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     texts = checkpointed(texts.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
-    tried = proposed
+    tried, rows_of = proposed, F.count(F.lit(1))
     found = components(cut(confirmed(plausible(proposed, nodes), texts, size, percent)))
     for turn in range(TURNS):
         own = members.select("bucket", "node", "n").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -295,19 +295,19 @@ def near_duplicates(
         alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # no sets of other sizes can be similar enough
         across = mixed.join(centres, (F.col("bucket") == F.col("k")) & (F.col("component") != F.col("theirs")) & alike)
         more = across.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        more = cut(more.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
+        more, told = cut_told(more.join(tried, ["a", "b"], "left_anti"), n=rows_of)
+        if not told["n"]:
             break
-        new = cut(confirmed(plausible(more, nodes), texts, size, percent))
-        if new.isEmpty():
+        new, told = cut_told(confirmed(plausible(more, nodes), texts, size, percent), n=rows_of)
+        if not told["n"]:
             break
         tried = tried.unionByName(more)
         found = components(_stars(found).unionByName(new))
     own = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     unsettled = own.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("k")).where("first < last and k > 2")
     left = cut(own.join(cut(unsettled.select("bucket")), "bucket").select("node", "component").distinct())
-    new = cut(confirmed(cut(candidates(left, texts, size, percent)), texts, size, percent))
-    if not new.isEmpty():
+    new, told = cut_told(confirmed(cut(candidates(left, texts, size, percent)), texts, size, percent), n=rows_of)
+    if told["n"]:
         found = components(_stars(found).unionByName(new))
     named = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = marked.select("id", "key", "n_shingles").join(named, "key", "left")

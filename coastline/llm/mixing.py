@@ -11,9 +11,10 @@ iteration that is kept within a bracket.
 Documents of one source and one size have the same rate, so everything up to
 the rounding runs on the table of (source, size, number of documents): its
 size grows with the number of different sizes, not with the corpus, and it is
-aggregated before it is shuffled. A Newton step is an aggregation of that table
-by source, with one row a source coming out; steps are taken until all sources
-are within ``TOLERANCE`` of their targets.
+aggregated before it is shuffled. D different sizes take D * D / 2 words at least,
+so a source of 5e9 words (30 GB) has 100,000 of them at the very most, and they are
+one row: the Newton steps are folds over it, in one job for all sources, taken until each
+source is within ``TOLERANCE`` of its target. A job a step would grow the driver.
 
 Rounding: sizes are walked from the largest down, each cell taking the whole
 number of copies that brings the running total nearest to its running target,
@@ -42,7 +43,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coastline.llm.common import WORD, cut
+from coastline.llm.common import WORD, cut, cut_told
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -83,48 +84,67 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share
     return out.select("source", "source_size", "weight", target.alias("target"))
 
 
-def tilt(cells: DataFrame, max_repeats: float = MAX_REPEATS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(source, size, n, source_size, target) -> with the rate of each cell.
+def sizes_of(cells: DataFrame) -> DataFrame:
+    """(source, size, n) -> a row per source: source_size, mean, and cells, an array of (size, n) from the largest size down."""
+    n, z = F.col("n"), F.col("size")
+    mean = F.sum(n * z.cast("decimal(19,0)") * z).cast("double") / F.nullif(F.sum(n * z), F.lit(0))
+    return cells.groupBy("source").agg(F.sum(n * z).alias("source_size"), mean.alias("mean"), F.reverse(F.array_sort(F.collect_list(F.struct("size", "n")))).alias("cells"))
+
+
+def _power(lam: Column, x: Column) -> Column:
+    return F.exp(F.least(lam * x, F.lit(50.0)))
+
+
+def tilt(sources: DataFrame, max_repeats: float = MAX_REPEATS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(source_size, mean, cells, target, ...) -> with full and lam, the multiplier.
 
     Newton on log(words taken) against the log of the target, which is nearly
     linear in the multiplier; a step that leaves the bracket known so far is
     replaced by its middle. A target at the cap needs no multiplier.
     """
-    cap, n, z = F.lit(float(max_repeats)), F.col("n"), F.col("size")
-    exact = lambda c: F.sum(c.cast("decimal(34,8)")).cast("double")  # noqa: E731 - the same in any order of the rows
-    means = cells.groupBy("source").agg((F.sum(n * z.cast("decimal(19,0)") * z).cast("double") / F.nullif(F.sum(n * z), F.lit(0))).alias("mean"), F.max("target").alias("aim"), (F.max("target") >= F.max("source_size") * cap).alias("full"))
-    state = cut(means.select(F.col("source").alias("_s"), "mean", "aim", "full", F.lit(0.0).alias("lam"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi")))
-    own = F.col("source").eqNullSafe(F.col("_s"))
-    x = F.when(F.col("mean") > 0, z / F.col("mean")).otherwise(F.lit(0.0))
-    power = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
-    for _ in range(MOST_STEPS):
-        sums = cells.join(state, own).groupBy("_s", "mean", "aim", "full", "lam", "lo", "hi").agg(
-            exact(n * z * F.least(cap, power)).alias("took"), exact(F.when(power < cap, n * z * x * power).otherwise(F.lit(0.0))).alias("slope")
-        )
-        above = F.col("took") > F.col("aim")
-        sums = sums.withColumns({"lo": F.when(above, F.col("lo")).otherwise(F.col("lam")), "hi": F.when(above, F.col("lam")).otherwise(F.col("hi"))})
-        newton = F.when((F.col("slope") > 0) & (F.col("took") > 0) & (F.col("aim") > 0), F.col("lam") - F.log(F.col("took") / F.col("aim")) * F.col("took") / F.col("slope"))
-        moved = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
-        there = F.col("full") | F.col("mean").isNull() | (F.abs(F.col("took") - F.col("aim")) <= tolerance * F.col("aim")) | (F.col("hi") - F.col("lo") < 1e-15)
-        state = cut(sums.select("_s", "mean", "aim", "full", F.when(there, F.col("lam")).otherwise(moved).alias("lam"), "lo", "hi", there.alias("there")))
-        if state.where("not there").isEmpty():
-            break
-        state = state.drop("there")
-    rate = F.when(z == 0, F.lit(1.0)).when(F.col("full"), cap).otherwise(F.least(cap, power))
-    return cells.join(state, own).select("source", "size", "n", "source_size", "target", rate.alias("rate"))
-
-
-def round_cells(cells: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFrame:
+    cap, aim = F.lit(float(max_repeats)), F.col("target")
+    full = aim >= F.col("source_size") * cap
+    x = lambda c: F.when(F.col("mean") > 0, c["size"] / F.col("mean")).otherwise(F.lit(0.0))
+    weighed = F.transform("cells", lambda c: F.struct((c["n"] * c["size"]).cast("double").alias("w"), x(c).alias("x")))
+    out = sources.withColumns({"full": full, "_weighed": weighed})
+
+    def more(sums: Column, c: Column, lam: Column) -> Column:
+        power = _power(lam, c["x"])
+        return F.struct((sums["took"] + c["w"] * F.least(cap, power)).alias("took"), (sums["slope"] + F.when(power < cap, c["w"] * c["x"] * power).otherwise(F.lit(0.0))).alias("slope"))
+
+    def moved(at: Column, took: Column, slope: Column) -> Column:
+        above = took > aim
+        lo, hi = F.when(above, at["lo"]).otherwise(at["lam"]), F.when(above, at["lam"]).otherwise(at["hi"])
+        newton = F.when((slope > 0) & (took > 0) & (aim > 0), at["lam"] - F.log(took / aim) * took / slope)
+        to = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+        there = (F.abs(took - aim) <= tolerance * aim) | (hi - lo < 1e-15)
+        return F.struct(F.when(there, at["lam"]).otherwise(to).alias("lam"), lo.alias("lo"), hi.alias("hi"), there.alias("there"))
+
+    def step(at: Column, _: Column) -> Column:
+        sums = F.aggregate("_weighed", F.struct(F.lit(0.0).alias("took"), F.lit(0.0).alias("slope")), lambda s, c: more(s, c, at["lam"]))
+        # an array of one, so that the sums are taken once a step
+        return F.when(at["there"], at).otherwise(F.element_at(F.transform(F.array(sums), lambda s: moved(at, s["took"], s["slope"])), 1))
+
+    start = F.struct(F.lit(0.0).alias("lam"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi"), (F.col("full") | F.col("mean").isNull()).alias("there"))
+    lam = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_STEPS)), start, step, lambda at: at["lam"])
+    return out.withColumn("lam", lam).drop("_weighed")
+
+
+def round_cells(sources: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """Rates -> whole copies per cell, largest sizes first, carrying the error in words.
 
     The fold runs over runs of ``RUN`` different sizes of one source. Each run
     ends within half of its smallest size of its own target.
     """
-    order = Window.partitionBy("source").orderBy(F.col("size").desc())
-    cells = cells.withColumn("_run", F.floor((F.row_number().over(order) - 1) / RUN))
-    row = F.struct((-F.col("size")).alias("minus"), "size", "n", "rate")
-    lists = cells.groupBy("source", "_run", "source_size", "target").agg(F.array_sort(F.collect_list(row)).alias("_cells"))
+    run = F.transform(F.sequence(F.lit(0), F.size("cells") - 1, F.lit(RUN)), lambda k: F.slice("cells", k + 1, RUN))
+    lists = sources.select("source", "source_size", "target", "mean", "full", "lam", F.explode(run).alias("_cells"))
     start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<size:bigint,n:bigint,rate:double,copies:bigint>>").alias("done"))
+    cap = F.lit(float(max_repeats))
+
+    def rated(c: Column) -> Column:
+        power = _power(F.col("lam"), F.when(F.col("mean") > 0, c["size"] / F.col("mean")).otherwise(F.lit(0.0)))
+        rate = F.when(c["size"] == 0, F.lit(1.0)).when(F.col("full"), cap).otherwise(F.least(cap, power))
+        return F.struct(c["size"].alias("size"), c["n"].alias("n"), rate.alias("rate"))
 
     def step(acc: Column, c: Column) -> Column:
         words = c["n"] * c["rate"] * c["size"] + acc["owed"]
@@ -133,7 +153,7 @@ def round_cells(cells: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFrame
         owed = F.when(c["size"] == 0, acc["owed"]).otherwise(words - copies * c["size"])
         return F.struct(owed.alias("owed"), F.concat(acc["done"], F.array(F.struct(c["size"].alias("size"), c["n"].alias("n"), c["rate"].alias("rate"), copies.alias("copies")))).alias("done"))
 
-    done = F.aggregate("_cells", start, step, lambda acc: acc["done"])
+    done = F.aggregate(F.transform("_cells", rated), start, step, lambda acc: acc["done"])
     return lists.select("source", "source_size", "target", F.inline(done))
 
 
@@ -179,12 +199,12 @@ def mix(
     sized = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("h"))
     keys = cut(sized.select("id", "source", "size", "h"))
     cells = keys.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    targets = source_targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, max_repeats)
-    t = targets.withColumnRenamed("source", "_s")
-    cells = cut(cells.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "weight"))
-    copies = cut(round_cells(tilt(cells, max_repeats), max_repeats))
-    done = cut(limits(keys, copies, bucket_rows).withColumnsRenamed({"source": "_s", "size": "_z"}))
-    if done.count() <= BROADCAST_CELLS:
+    sources = cut(sizes_of(cells))
+    t = source_targets(sources.select("source", "source_size"), weights, share, max_repeats).select(F.col("source").alias("_s"), "target")
+    sources = sources.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    copies = cut(round_cells(tilt(sources, max_repeats), max_repeats))
+    done, told = cut_told(limits(keys, copies, bucket_rows).withColumnsRenamed({"source": "_s", "size": "_z"}), n=F.count(F.lit(1)))
+    if told["n"] <= BROADCAST_CELLS:
         done = F.broadcast(done)
     out = (sized if kept else keys.withColumn("row", F.struct(F.lit(0).alias("id")))).join(done, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     # rows of one hash are told apart by their place; there is one, as a rule, and its share is 1

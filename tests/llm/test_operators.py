@@ -793,3 +793,23 @@ def test_components_go_on_from_the_stars_of_earlier_ones(spark):
     early, late = spark.createDataFrame(chain, "a bigint, b bigint"), spark.createDataFrame([(6, 30), (40, 50), (13, 14), (60, 61)], "a bigint, b bigint")
     want = {tuple(r) for r in components(early.unionByName(late)).collect()}
     assert {tuple(r) for r in components(minhash._stars(components(early)).unionByName(late)).collect()} == want and len(want) > 30
+
+
+def test_a_mix_takes_few_jobs(spark, docs):
+    """The driver keeps something of every job: how many there are may not hang on the steps of the multipliers (over 50 before)."""
+    spark.sparkContext.setJobGroup("few-jobs", "mixing")
+    try:
+        mixing.mix(docs).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 32
+
+
+def test_facts_are_told_as_a_table_is_written(spark):
+    from coastline.llm.common import cut_told
+
+    df = spark.range(1000).repartition(7)
+    facts = {"n": F.count(F.lit(1)), "h": F.sum("id")}
+    for part, want in ((df, {"n": 1000, "h": 499500}), (df.where("id % 3 = 0").groupBy("id").count(), {"n": 334, "h": 166833}), (df.where("id < 0"), {"n": 0, "h": None}), (spark.createDataFrame([], "id bigint"), {"n": 0, "h": None})):
+        out, told = cut_told(part, **facts)
+        assert told == want and out.count() == want["n"]

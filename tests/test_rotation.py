@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coastline.operators import boxcount, curves, generators, rotation, spans
+from coastline.operators import boxcount, curves, generators, rotation, search, spans
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,19 @@ def test_batches_of_spans_count_alike(monkeypatch):
         monkeypatch.setattr(spans, "PAIRS", pairs)
         monkeypatch.setattr(spans, "BATCH", batch)
         assert spans.counted(segs, start, length, grids, body, grid).tolist() == want.tolist()
+
+
+def test_fits_of_a_grid_stay_in_the_tasks_that_count(spark, monkeypatch):
+    """No table of counts is joined to the combinations; a curve in pieces, whose counts are, has the same fits."""
+    segs = generators.addressed_koch(spark.sql("select explode(array('a', 'b')) as curve_id, 2 as level"), 2).withColumns({c: F.when(F.col("curve_id") == "b", F.col(c) * 7).otherwise(F.col(c)) for c in ("x1", "y1", "x2", "y2")})
+    grid = generators.parameter_grid(spark, [*search.grid_deltas(1.0)[::3], 1.5], search.FACTORS[::3], search.STEPS[::2])
+    found = {}
+    for stretch in (1 << 14, 5):
+        monkeypatch.setattr(boxcount, "STRETCH", stretch)
+        scored = search.evaluate_own(segs, grid, 1.2618595)
+        if stretch > 5:
+            assert plan(scored).count("FlatMapCoGroupsInArrow") == 1 and "SortMergeJoin" not in plan(scored) and "BroadcastHashJoin" not in plan(scored)
+        found[stretch] = {(r.curve_id, r.combo_idx, r.num_steps): (r.initial_delta, r.delta_factor, r.dimension, r.r_squared) for r in scored.collect()}
+    assert found[5].keys() == found[1 << 14].keys() and len(found[5]) > 20
+    for k, v in found[5].items():
+        assert found[1 << 14][k] == pytest.approx(v, rel=1e-9)

@@ -61,9 +61,14 @@ def compare(segs: DataFrame, angles: Sequence[float] = ANGLES, **scales) -> Data
 
 def by_angle(segs: DataFrame, scales: DataFrame, angles: Sequence[float] = ANGLES) -> DataFrame:
     """Spread of the dimension over the angles: n_angles, least, largest, mean, deviation, and the angle of the least."""
-    counts = counts_by_angle(segs, scales, angles)
+    return over_angles(counts_by_angle(segs, scales, angles))
+
+
+def over_angles(counts: DataFrame) -> DataFrame:
+    """The spread over the angles of each curve's counts; of angles whose dimensions differ by rounding only the first counts as the least."""
     fit = boxcount.regression(counts, ["curve_id", "angle_idx", "rotation"])
+    # the order in which rows are added up decides about the last digits
     return fit.groupBy("curve_id").agg(
         F.count(F.lit(1)).alias("n_angles"), F.min("slope").alias("min_dimension"), F.max("slope").alias("max_dimension"), F.avg("slope").alias("mean_dimension"), F.stddev_pop("slope").alias("std_dimension"),
-        F.min_by("rotation", F.struct("slope", "angle_idx")).alias("min_angle"),
+        F.min_by("rotation", F.struct(F.round("slope", 9), "angle_idx")).alias("min_angle"),
     )

@@ -79,3 +79,11 @@ def test_fits_of_a_grid_stay_in_the_tasks_that_count(spark, monkeypatch):
     assert found[5].keys() == found[1 << 14].keys() and len(found[5]) > 20
     for k, v in found[5].items():
         assert found[1 << 14][k] == pytest.approx(v, rel=1e-9)
+
+
+def test_of_angles_as_good_as_equal_the_first_is_the_least(spark):
+    """Angles with the same counts tie, in whatever order their rows are added up."""
+    rows = spark.range(300).selectExpr("cast(id as string) as curve_id", "explode(sequence(0, 7)) as k").selectExpr("*", "1D / (5 * pow(1.5D, k)) as delta", "cast(5 * pow(1.5D, k) + pmod(hash(curve_id, k), 4) as bigint) as n_boxes")
+    counts = rows.select("*", F.posexplode(F.array(*[F.lit(a) for a in (0.0, 55.0, 60.0)])).alias("angle_idx", "rotation")).withColumn("n_boxes", F.when(F.col("angle_idx") == 0, F.expr("n_boxes * (k + 1)")).otherwise(F.col("n_boxes")))
+    found = rotation.over_angles(counts.repartition(7, F.hash("curve_id", "k", "rotation")))
+    assert {r.min_angle for r in found.collect()} == {55.0}

@@ -87,3 +87,16 @@ def test_of_angles_as_good_as_equal_the_first_is_the_least(spark):
     counts = rows.select("*", F.posexplode(F.array(*[F.lit(a) for a in (0.0, 55.0, 60.0)])).alias("angle_idx", "rotation")).withColumn("n_boxes", F.when(F.col("angle_idx") == 0, F.expr("n_boxes * (k + 1)")).otherwise(F.col("n_boxes")))
     found = rotation.over_angles(counts.repartition(7, F.hash("curve_id", "k", "rotation")))
     assert {r.min_angle for r in found.collect()} == {55.0}
+
+
+def test_scales_and_domains_come_from_one_pass_over_boxes(spark, segs):
+    """Neither domains nor centres are joined to scales or to segments."""
+    assert "Join" not in plan(rotation.rotation_dimension(spark.createDataFrame(segs.collect(), segs.schema)))
+
+
+def test_least_counts_need_no_sorting(spark, segs):
+    own = spark.createDataFrame(segs.collect(), segs.schema)
+    least = rotation.least_counts(rotation.counts_by_angle(own, rotation.default_scales(own)))
+    assert "SortAggregate" not in plan(least)
+    counts = spark.createDataFrame([("c", 0, 0.5, i, a, n) for i, (a, n) in enumerate(((0.0, 9), (45.0, 7), (90.0, 7)))], "curve_id string, k int, delta double, angle_idx int, rotation double, n_boxes long")
+    assert [tuple(r) for r in rotation.least_counts(counts, (0.0, 45.0, 90.0)).collect()] == [("c", 0, 0.5, 7, 45.0, 9, 9)]
